@@ -1 +1,8 @@
 """lodepanel: point-in-time panel analytics on PySpark DataFrames."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to the executors by value, which therefore need no copy of it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
