@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules
+from . import decontaminate, quality_rules, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_quality_rules": quality_rules.op2_quality_rules,
+    "op3_simhash": simhash.op3_simhash,
 }
 
 ORACLES: dict[str, str] = {
+    "op1_decontaminate": decontaminate.OP1_SQL,
     "op2_quality_rules": quality_rules.OP2_SQL,
 }
