@@ -8,15 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import decontaminate, mixing, quality_rules, sharding, simhash, tokens, url_filter
+from . import decontaminate, html_tree, mixing, quality_rules, sharding, simhash, tokens, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_simhash": simhash.op3_simhash,
+    "op4_html_tree": html_tree.op4_html_tree,
     "op5_token_counts": tokens.op5_token_counts,
     "op6_mixing": mixing.op6_mixing,
     "op7_url_filter": url_filter.op7_url_filter,
+    "op9_toxicity": toxicity.op9_toxicity,
     "op10_sharding": sharding.op10_sharding,
     "pipeline": corpus_pipeline.run,
 }
