@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import decontaminate, html_tree, mixing, quality_rules, sharding, simhash, tokens, toxicity, url_filter
+from . import cotraining, decontaminate, html_tree, mixing, quality_rules, sharding, simhash, tokens, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -18,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_counts": tokens.op5_token_counts,
     "op6_mixing": mixing.op6_mixing,
     "op7_url_filter": url_filter.op7_url_filter,
+    "op8_cotraining": cotraining.op8_cotraining,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_sharding": sharding.op10_sharding,
     "pipeline": corpus_pipeline.run,
