@@ -235,6 +235,7 @@ def style_tree(pages: DataFrame) -> DataFrame:
             rows: list[tuple] = []
             for host, page in zip(batch.column("host").to_pylist(), batch.column("html"), strict=True):
                 mark, found = elements(page.as_py())
+                rows.append((host, mark, 0, 0, 0))  # the page itself
                 rows.extend((host, mark, *x) for x in found)
             names = ("host", "page", "path", "layout", "content")
             types = (pa.string(), *[pa.int64()] * 4)
@@ -242,6 +243,8 @@ def style_tree(pages: DataFrame) -> DataFrame:
 
     seen = pages.select("host", "html").mapInArrow(run, "host string, page long, path long, layout long, content long").distinct()
     counts = settled(seen.groupBy("host", "path", "layout", "content").agg(F.count(F.lit(1)).alias("n")))
+    sizes = counts.where("path = 0").select(F.col("host").alias("h"), F.col("n").alias("m")).where(F.col("m") >= MIN_PAGES)
+    counts = counts.where("path <> 0")
 
     def entropy(kind: str) -> DataFrame:
         n = counts.groupBy("host", "path", kind).agg(F.sum("n").alias("n"))
@@ -251,10 +254,8 @@ def style_tree(pages: DataFrame) -> DataFrame:
     shown = entropy("content").select(F.col("host").alias("h"), F.col("path").alias("p"), "m", F.col("content").alias("shown"))
     importance = entropy("layout").drop("m").join(shown, (F.col("host") == F.col("h")) & (F.col("path") == F.col("p"))).where(F.col("m") >= MIN_PAGES)
     value = CONTENT_SHARE * F.col("shown") + (1 - CONTENT_SHARE) * F.col("layout")
-    nodes = settled(importance.select("host", "path", "m", value.alias("importance")))
-    branches = nodes.where(F.col("importance") < LOW_IMPORTANCE).select("host", "path", F.lit(None).cast("long").alias("content"))
-    m = nodes.select(F.col("host").alias("h"), F.col("path").alias("p"), "m")
-    pieces = counts.groupBy("host", "path", "content").agg(F.sum("n").alias("n")).join(m, (F.col("host") == F.col("h")) & (F.col("path") == F.col("p")))
+    branches = importance.where(value < LOW_IMPORTANCE).select("host", "path", F.lit(None).cast("long").alias("content"))
+    pieces = counts.groupBy("host", "path", "content").agg(F.sum("n").alias("n")).join(small(sizes), F.col("host") == F.col("h"))
     repeated = pieces.where(-F.log2(F.col("n") / F.col("m")) < LOW_SURPRISE).select("host", "path", "content")
     return settled(branches.unionByName(repeated))
 

@@ -7,7 +7,7 @@ the toxic one. Windows are counted by how many bytes they gain at least, and a l
 documents that trained no dictionary, turns these counts and the number of windows into a score.
 
 Labels come from a bounded sample: at most `per_class` rows of each label, those of smallest id hash. Near copies
-within the sample (equal MinHash of five-word shingles) count once. Everything else covers all texts.
+within the sample (least and largest hash of five-word shingles both equal) count once. Everything else covers all texts.
 
 Defined results: a null or empty text has one window without words and gets the score of no hits; labels other than
 0 and 1 are ignored, an id with several labels counts as toxic if any is; without labels of both kinds the score is
@@ -62,8 +62,9 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Da
     kinds = [usable.where(F.col("toxic") == k).orderBy(*order).limit(per_class) for k in (0, 1)]
     picked = kinds[0].unionByName(kinds[1]).select(F.col("doc_id").alias("labelled"), F.col("toxic").cast("int").alias("toxic"))
     texts = docs.join(F.broadcast(picked), F.col("doc_id") == F.col("labelled")).select("doc_id", "toxic", F.coalesce("text", F.lit("")).alias("text"))
-    shingles = let(plain_words(F.col("text")), lambda w: F.array_min(windows(w, 5, lambda i: F.xxhash64(*[w[i + k] for k in range(5)]), "bigint")))
-    texts = texts.withColumn("copy", F.coalesce(shingles, F.xxhash64("text")))
+    shingles = let(plain_words(F.col("text")), lambda w: windows(w, 5, lambda i: F.xxhash64(*[w[i + k] for k in range(5)]), "bigint"))
+    ends = let(shingles, lambda h: F.when(F.size(h) > 0, F.xxhash64(F.array_min(h), F.array_max(h))))
+    texts = texts.withColumn("copy", F.coalesce(ends, F.xxhash64("text")))
     one = texts.groupBy("copy").agg(F.min(F.struct("doc_id", "toxic", "text")).alias("one")).select("one.*")
     return settled(one.withColumn("fit", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)) == 0))
 
