@@ -115,7 +115,7 @@ class Gains:
 
         self.words = regex.compile(r"[\p{L}\p{M}\p{N}]+").findall
         shape = z.ZstdCompressionParameters(
-            window_log=12, chain_log=12, hash_log=12, search_log=4, min_match=5, target_length=16, strategy=z.STRATEGY_BTOPT, write_content_size=False
+            window_log=12, chain_log=12, hash_log=12, search_log=4, min_match=6, target_length=16, strategy=z.STRATEGY_BTLAZY2, write_content_size=False
         )
         made = [z.ZstdCompressor(dict_data=z.ZstdCompressionDict(d, dict_type=z.DICT_TYPE_RAWCONTENT), compression_params=shape) for d in (toxic, ordinary)]
         self.toxic, self.ordinary = (c.compress for c in made)
