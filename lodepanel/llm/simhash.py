@@ -84,13 +84,14 @@ def links(fps: DataFrame, radius: int = 2) -> DataFrame:
 
 
 def near_components(rows: DataFrame, id_column: str, radius: int = 2) -> DataFrame:
-    """`rows(…, fp)` with `component_id`, the smallest id whose fingerprint is reachable by links."""
+    """`rows(…, fp)` with `component` (its root fingerprint) and `component_id`, the smallest id reachable by links."""
     each = settled(rows.groupBy("fp").agg(F.min(id_column).alias("least")))
     tree = components(links(each.select("fp"), radius)).select(F.col("node").alias("nfp"), "root")
     tree = settled(tree)
     linked = each.join(tree, F.col("fp") == F.col("nfp")).groupBy("root").agg(F.min("least").alias("component_id"))
-    of_linked = tree.join(linked.withColumnRenamed("root", "r"), F.col("root") == F.col("r")).select(F.col("nfp").alias("lfp"), F.col("component_id").alias("lid"))
-    label = each.join(of_linked, F.col("fp") == F.col("lfp"), "left").select(F.col("fp").alias("ffp"), F.when(F.col("lfp").isNotNull(), F.col("lid")).otherwise(F.col("least")).alias("component_id"))
+    of_linked = tree.join(linked.withColumnRenamed("root", "r"), F.col("root") == F.col("r")).select(F.col("nfp").alias("lfp"), F.col("root").alias("lroot"), F.col("component_id").alias("lid"))
+    least = F.when(F.col("lfp").isNotNull(), F.col("lid")).otherwise(F.col("least"))
+    label = each.join(of_linked, F.col("fp") == F.col("lfp"), "left").select(F.col("fp").alias("ffp"), F.coalesce("lroot", "fp").alias("component"), least.alias("component_id"))
     return rows.join(settled(label), F.col("fp") == F.col("ffp")).drop("ffp")
 
 
@@ -99,7 +100,7 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text: str = "text", rad
     mark = free_name(docs, "row_mark")
     marked = docs.withColumn(mark, row_hash(docs))
     rows = settled(fingerprints(marked.select(F.col(id_column).alias("id"), F.col(mark).alias("mark"), F.col(text).alias("body")), ["id", "mark"], "body"))
-    best = near_components(rows, "id", radius).groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "mark")).alias("b"))
+    best = near_components(rows, "id", radius).groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "mark")).alias("b"))
     best = best.select(F.col("b.id").alias("kid"), F.col("b.mark").alias("kmark"))
     return pick_rows(marked, id_column, mark, best, rows).drop(mark)
 

@@ -130,6 +130,13 @@ def test_keep_one_keeps_one_of_equal_rows(spark):
     assert simhash.keep_one(docs.limit(0)).count() == 0
 
 
+def test_keep_one_tells_components_with_the_same_smallest_id_apart(spark):
+    other = [" ".join(f"{a}{i}" for i in range(30)) for a in ("ant", "bee", "cat", "dog", "elk", "fox")]
+    rows = [(None, other[0]), (None, other[1]), (None, other[2]), (None, other[2]), (1, other[3]), (1, other[4]), (2, other[4]), (3, other[5])]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.text, r.doc_id) for r in kept) == sorted(zip(other, [None, None, None, 1, 1, 3], strict=True))
+
+
 def test_leaks(spark):
     items = spark.createDataFrame(
         [(1, " ".join(f"word{i}" for i in range(10, 40))), (1, " ".join(f"word{i}" for i in range(10, 40))), (2, "Tall men, sing songs of 3 -- and LIGHT"), (3, None), (4, "too short"), (5, "never to be found in any of these texts")],
