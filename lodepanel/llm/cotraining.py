@@ -1,12 +1,15 @@
 """Quality classification by co-training.
 
 Two logistic classifiers see a document by two views: its text (counts and ratios over the whole text) and its
-metadata (language, source, stated length). Each is fitted on labelled documents; over some rounds each hands its
-most confident verdicts on unlabelled documents to the other as pseudo-labels. Both are then calibrated on labelled
-documents that neither was fitted on, and a final curve over the two calibrated log odds scores every document.
+metadata (language, source, stated length). Each is fitted on labelled documents; in each round each hands all its
+confident verdicts on the unlabelled documents of the whole table to the other as pseudo-labels, and is fitted anew.
+Both are then calibrated on labelled documents that neither was fitted on, and a final curve over the two calibrated
+log odds scores every document.
 
-Features and scores are column expressions over all rows. Fitting happens on bounded samples: at most `sample`
-labelled and `sample` unlabelled rows, those of smallest id hash, as numbers only.
+Features and scores are column expressions over all rows. Of the labelled rows at most `sample` are fitted on, those
+of smallest id hash, as numbers only. Unlabelled rows never reach the driver: each Newton step adds up their gradient
+and Hessian where they are. Pseudo-labels of a kind share its part of a mass of half their number, or half the number
+of labelled rows if that is less, so that many rows shape the views without drowning the labels.
 
 Defined results: a null text counts as empty, null metadata as a value of its own; labels other than 0 and 1 are
 ignored, an id with several labels takes the smallest; without labels of both kinds every score is the smoothed
@@ -15,9 +18,11 @@ rate of label 1; repeated rows are scored alike; an empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,8 +31,11 @@ from .quality_rules import SYMBOLS, repeated_words
 
 SAMPLE = 20_000
 ROUNDS = 5
+#: A verdict is handed on if its probability is beyond this, or below the rest to one.
+SURE = 0.95
 LANG_BUCKETS, SOURCE_BUCKETS = 16, 32
 TEXT_VIEW = ("log_words", "word_length", "symbols", "exclaims", "capitals", "digits", "distinct", "repeats", "dup_lines", "line_words")
+META_COLUMNS = ("log_chars", "no_chars", "lang_at", "source_at")
 META_VIEW = ("log_chars", "no_chars", *(f"lang{i}" for i in range(LANG_BUCKETS)), *(f"source{i}" for i in range(SOURCE_BUCKETS)))
 
 
@@ -107,34 +115,108 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float) ->
     return w
 
 
-def _fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> View:
-    centre, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
-    return View(centre, scale, _logistic((x - centre) / scale, y, weight, 1.0))
+def _of_batch(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+    column = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in (*TEXT_VIEW, *META_COLUMNS)}
+    meta, at = np.zeros((batch.num_rows, len(META_VIEW))), np.arange(batch.num_rows)
+    meta[:, 0], meta[:, 1] = column["log_chars"], column["no_chars"]
+    meta[at, 2 + column["lang_at"]] = 1
+    meta[at, 2 + LANG_BUCKETS + column["source_at"]] = 1
+    return {"text": np.column_stack([column[c] for c in TEXT_VIEW]), "meta": meta}
 
 
-def cotrain(x: dict[str, np.ndarray], y: np.ndarray, fit: np.ndarray, unlabelled: dict[str, np.ndarray], rounds: int = ROUNDS) -> Model:
-    """Fit on the labelled rows that `fit` marks and on pseudo-labels; calibrate and combine on the other labelled rows."""
+def _sums(free: DataFrame, of: Callable[[dict[str, np.ndarray]], np.ndarray], size: int) -> np.ndarray:
+    """The sum over all batches of the `size` numbers that `of` makes of a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        for batch in batches:
+            if batch.num_rows:
+                total += of(_of_batch(batch))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size, dtype=np.int32)), pa.array(total)], names=["at", "value"])
+
+    out = np.zeros(size)
+    for r in free.mapInArrow(run, "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).collect():
+        out[r["at"]] = r["value"]
+    return out
+
+
+def _curve(odds: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+
+
+def _slopes(z: np.ndarray, y: np.ndarray, weight: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Gradient and upper half of the Hessian of a weighted logistic likelihood at `w`, one after the other."""
+    z1 = np.column_stack([z, np.ones(len(z))])
+    p = _curve(z1 @ w)
+    return np.concatenate([z1.T @ (weight * (y - p)), ((z1 * (weight * (p * (1 - p) + 1e-9))[:, None]).T @ z1)[np.triu_indices(len(w))]])
+
+
+def _step(slopes: np.ndarray, w: np.ndarray) -> np.ndarray:
+    n = len(w)
+    penalty, hessian = np.diag([1.0] * (n - 1) + [1e-3]), np.zeros((n, n))
+    hessian[np.triu_indices(n)] = slopes[n:]
+    hessian += np.triu(hessian, 1).T
+    return np.linalg.solve(hessian + penalty, slopes[:n] - penalty @ w)
+
+
+def cotrain(x: dict[str, np.ndarray], y: np.ndarray, fit: np.ndarray, free: DataFrame, rounds: int = ROUNDS) -> Model:
+    """Fit on the labelled rows that `fit` marks and on pseudo-labels of `free`; calibrate and combine on the other labelled rows."""
+    names = ("text", "meta")
     other = {"text": "meta", "meta": "text"}
-    rate = y[fit].mean()
-    pseudo: dict[str, dict[int, float]] = {"text": {}, "meta": {}}
+    width = {v: x[v].shape[1] for v in names}
+    length = {v: (width[v] + 1) * (width[v] + 4) // 2 for v in names}
+    rate, n_fit = y[fit].mean(), int(fit.sum())
+
+    def moments(rows: dict[str, np.ndarray]) -> np.ndarray:
+        return np.concatenate([[len(rows["text"])], *[part for v in names for part in (rows[v].sum(axis=0), (rows[v] ** 2).sum(axis=0))]])
+
+    size = 1 + 2 * sum(width.values())
+    total = _sums(free, moments, size) + moments({v: x[v][fit] for v in names})
     views: dict[str, View] = {}
-    pool = len(unlabelled["text"])
-    for turn in range(rounds + 1):
-        for v in ("text", "meta"):
-            given = sorted(pseudo[v])
-            xs = np.vstack([x[v][fit], unlabelled[v][given]])
-            ys = np.concatenate([y[fit], [pseudo[v][i] for i in given]])
-            views[v] = _fit(xs, ys, np.concatenate([np.ones(fit.sum()), np.full(len(given), 0.5)]))
-        if turn == rounds:
+    at = 1
+    for v in names:
+        centre, square = total[at : at + width[v]] / total[0], total[at + width[v] : at + 2 * width[v]] / total[0]
+        scale = np.sqrt(np.maximum(square - centre**2, 0)) + 1e-6
+        at += 2 * width[v]
+        views[v] = View(centre, scale, _logistic((x[v][fit] - centre) / scale, y[fit], np.ones(n_fit), 1.0))
+
+    for _ in range(rounds):
+        judges = dict(views)
+
+        def handed(rows: dict[str, np.ndarray], judges=judges) -> np.ndarray:
+            p = {v: _curve(judges[other[v]].odds(rows[other[v]])) for v in names}
+            return np.array([n for v in names for n in (np.count_nonzero(p[v] > SURE), np.count_nonzero(p[v] < 1 - SURE))], dtype=float)
+
+        counts = _sums(free, handed, 4)
+        share = {}
+        for k, v in enumerate(names):
+            ones, zeros = counts[2 * k], counts[2 * k + 1]
+            mass = 0.5 * min(ones + zeros, n_fit)
+            share[v] = (min(0.5, mass * rate / max(ones, 1)), min(0.5, mass * (1 - rate) / max(zeros, 1)))
+        if not counts.any():
             break
-        for v in ("text", "meta"):
-            p = 1 / (1 + np.exp(-views[v].odds(unlabelled[v])))
-            free = np.array([i not in pseudo[other[v]] for i in range(pool)], dtype=bool)
-            order = np.argsort(p, kind="stable")
-            share = max(1, pool // (20 * rounds))
-            for label, ranked, sure in ((1.0, order[::-1], p > 0.95), (0.0, order, p < 0.05)):
-                most = max(1, int(share * (rate if label else 1 - rate)))
-                pseudo[other[v]].update({int(i): label for i in ranked[free[ranked] & sure[ranked]][:most]})
+        for _ in range(25):
+            now = dict(views)
+
+            def slopes(rows: dict[str, np.ndarray], judges=judges, now=now, share=share) -> np.ndarray:
+                out = []
+                for v in names:
+                    p = _curve(judges[other[v]].odds(rows[other[v]]))
+                    sure = (p > SURE) | (p < 1 - SURE)
+                    label = (p[sure] > SURE).astype(float)
+                    out.append(_slopes((rows[v][sure] - now[v].centre) / now[v].scale, label, np.where(label > 0, *share[v]), now[v].weights))
+                return np.concatenate(out)
+
+            total, at, most = _sums(free, slopes, sum(length.values())), 0, 0.0
+            for v in names:
+                view = views[v]
+                known = _slopes((x[v][fit] - view.centre) / view.scale, y[fit], np.ones(n_fit), view.weights)
+                step = _step(total[at : at + length[v]] + known, view.weights)
+                at += length[v]
+                views[v] = view._replace(weights=view.weights + np.clip(step, -3, 3))
+                most = max(most, float(np.abs(step).max()))
+            if most < 1e-4:
+                break
     held = ~fit
     ones = np.ones(held.sum())
     for v, view in views.items():
@@ -160,12 +242,12 @@ def train(rows: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | f
     first = [F.xxhash64("doc_id"), F.col("doc_id")]
     marked = rows.join(known, F.col("doc_id") == F.col("labelled"), "left").drop("labelled")
     given = marked.where("y IS NOT NULL").orderBy(*first).limit(sample).collect()
-    free = marked.where("y IS NULL").orderBy(*first).limit(sample).collect()
     y = np.array([r["y"] for r in given])
     fit = np.array([i % 5 < 3 for i in range(len(y))], dtype=bool)
     if len(y) < 2 or any(len(set(y[part])) < 2 for part in (fit, ~fit)):
         return float((y.sum() + 1) / (len(y) + 2))
-    return cotrain(_arrays(given), y, fit, _arrays(free))
+    free = settled(marked.where("y IS NULL").select(*TEXT_VIEW, *META_COLUMNS))
+    return cotrain(_arrays(given), y, fit, free)
 
 
 def _odds(view: View, columns: list[Column]) -> Column:

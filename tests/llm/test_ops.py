@@ -313,3 +313,16 @@ def test_cotraining_held_out(spark):
     rate = cotraining.train(rows, labels.where("quality = 1"))
     assert {r.score for r in cotraining.score(rows, rate).collect()} == {rate}
     assert cotraining.score(rows.limit(0), rate).count() == 0
+
+
+def test_cotraining_hears_every_unlabelled_document(spark):
+    """A source without labels, whose ids come after `sample` others, moves the metadata view by what its texts show."""
+    docs = labelled(spark, ["###", "$$$", "|||", "&&&"]).where("doc_id < 8000").withColumn("source", cotraining.F.lit("seen"))
+    labels = docs.where("doc_id < 300").select("doc_id", (toxicity.F.col("doc_id") % 4 != 0).cast("int").alias("quality"))
+    ranked = docs.where("doc_id >= 300").withColumn("r", cotraining.F.expr("row_number() OVER (ORDER BY xxhash64(doc_id))"))
+    late = ranked.where("r > 120 AND doc_id % 4 = 0").select("doc_id").withColumn("late", cotraining.F.lit(True))
+    docs = docs.join(late, "doc_id", "left").withColumn("source", cotraining.F.expr("IF(late, 'unseen', source)")).drop("late")
+    rows = cotraining.settled(cotraining.features(docs))
+    scores = {r.doc_id: r.meta_score for r in cotraining.score(rows, cotraining.train(rows, labels, sample=120)).collect()}
+    unseen = [scores[r.doc_id] for r in late.collect()]
+    assert len(unseen) > 20 and max(unseen) < min(s for i, s in scores.items() if i < 300) - 0.05
