@@ -37,6 +37,9 @@ _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style noscript iframe template textarea title svg math object noembed noframes".split())
+#: Of these, an opening tag with a slash at its end has no content.
+_FOREIGN = frozenset(("svg", "math"))
+_END_OF_RAW = {tag: re.compile(f"</{tag}", re.IGNORECASE | re.ASCII) for tag in _RAW}
 _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -93,7 +96,6 @@ def parse(page: str | None) -> Element:
     """The page as a tree; scripts, styles and other raw content are left out."""
     root = Element("html", "", False, False)
     stack, at, page = [root], 0, page or ""
-    low = None
     while at < len(page):
         found = _TAG.search(page, at)
         text = page[at : found.start() if found else len(page)]
@@ -111,10 +113,10 @@ def parse(page: str | None) -> Element:
                 del stack[depth:]
             continue
         if tag in _RAW:
-            if low is None:
-                low = page.lower()
-            end = low.find(f"</{tag}", at)
-            at = len(page) if end < 0 else (low.find(">", end) + 1 or len(page))
+            if tag in _FOREIGN and found[3].endswith("/"):
+                continue
+            end = _END_OF_RAW[tag].search(page, at)
+            at = (page.find(">", end.end()) + 1 or len(page)) if end else len(page)
             continue
         if tag in ("html", "body"):
             continue

@@ -241,6 +241,13 @@ def test_html(spark):
     assert html_tree.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_raw_elements_end_where_they_end():
+    text = lambda page: html_tree.extract(page, set(), set())
+    dotted = "\u0130" * 9
+    assert text(f"<p>{dotted}</p><SCRIPT>x</Script><p>first words</p><style>y</STYLE ><p>last</p>") == f"{dotted}\nfirst words\nlast"
+    assert text("<p>a</p><svg width='1'/><p>b</p><math/><p>c</p><svg><path/></svg><p>d</p>") == "a\nb\nc\nd"
+
+
 def test_html_copies_do_not_make_a_text_boilerplate(spark):
     page = "<article><h1>Same</h1><p>A long text that is copied</article>"
     rows = [(i, "http://h.org", page) for i in range(40)] + [(100 + i, "http://h.org", f"<article><h1>N{i}</h1><p>Other {i}</article>") for i in range(10)]
