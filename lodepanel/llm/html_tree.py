@@ -7,6 +7,9 @@ importance, and single pieces of text that nearly all pages of a host repeat at
 page, beside what tags, roles and classes already name as menus, notices, adverts, forms or comments. What is left
 of the article (or main element, else the body) is the text.
 
+A host of few pages says little by itself: its importance and its shares of repeated text are shrunk towards what the
+other hosts show at the same path; a path that no other host has is taken for content.
+
 Parsing runs in Arrow batches; the tree is counted by DataFrame aggregations over hashes, pre-aggregated, so a host
 with a third of all pages is spread like any other. Defined results: null, empty or blank html has empty text;
 unclosed and stray tags are repaired as browsers do for the common cases; a null URL belongs to the host ""; equal
@@ -26,7 +29,8 @@ from pyspark.sql import functions as F
 from ._text import settled, small, table
 from .url_filter import host_and_path
 
-MIN_PAGES = 8
+#: What all hosts show of a path counts as so many further pages of a host.
+PRIOR_PAGES = 1.0
 LOW_IMPORTANCE = 0.2
 LOW_SURPRISE = 0.3  # bits: at the same place on over 81 of 100 pages
 CONTENT_SHARE = 0.9
@@ -245,7 +249,7 @@ def style_tree(pages: DataFrame) -> DataFrame:
 
     seen = pages.select("host", "html").mapInArrow(run, "host string, page long, path long, layout long, content long").distinct()
     counts = settled(seen.groupBy("host", "path", "layout", "content").agg(F.count(F.lit(1)).alias("n")))
-    sizes = counts.where("path = 0").select(F.col("host").alias("h"), F.col("n").alias("m")).where(F.col("m") >= MIN_PAGES)
+    sizes = small(settled(counts.where("path = 0").select(F.col("host").alias("h"), F.col("n").alias("size"))))
     counts = counts.where("path <> 0")
 
     def entropy(kind: str) -> DataFrame:
@@ -253,13 +257,36 @@ def style_tree(pages: DataFrame) -> DataFrame:
         sums = n.groupBy("host", "path").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.ln("n")).alias("nln"))
         return sums.select("host", "path", "m", F.try_divide(F.ln("m") - F.col("nln") / F.col("m"), F.ln("m")).alias(kind))
 
-    shown = entropy("content").select(F.col("host").alias("h"), F.col("path").alias("p"), "m", F.col("content").alias("shown"))
-    importance = entropy("layout").drop("m").join(shown, (F.col("host") == F.col("h")) & (F.col("path") == F.col("p"))).where(F.col("m") >= MIN_PAGES)
+    shown = entropy("content").select(F.col("host").alias("h"), F.col("path").alias("p"), F.col("content").alias("shown"))
+    importance = entropy("layout").join(shown, (F.col("host") == F.col("h")) & (F.col("path") == F.col("p")))
     value = CONTENT_SHARE * F.col("shown") + (1 - CONTENT_SHARE) * F.col("layout")
-    branches = importance.where(value < LOW_IMPORTANCE).select("host", "path", F.lit(None).cast("long").alias("content"))
-    pieces = counts.groupBy("host", "path", "content").agg(F.sum("n").alias("n")).join(small(sizes), F.col("host") == F.col("h"))
-    repeated = pieces.where(-F.log2(F.col("n") / F.col("m")) < LOW_SURPRISE).select("host", "path", "content")
-    return settled(branches.unionByName(repeated))
+    value = with_prior(importance.select("host", "path", (F.col("m") - 1).alias("seen"), F.coalesce(value, F.lit(0.0)).alias("value")), 1.0)
+    shrunk = (F.col("seen") * F.col("value") + PRIOR_PAGES * F.col("prior")) / (F.col("seen") + PRIOR_PAGES)
+    branches = value.where(shrunk < LOW_IMPORTANCE).select("host", "path", F.lit(None).cast("long").alias("content"))
+
+    pieces = counts.groupBy("host", "path", "content").agg(F.sum("n").alias("n")).join(sizes, F.col("host") == F.col("h"))
+    pieces = pieces.select("host", "path", "content", F.least("n", "size").alias("n"), "size")
+    # The chance that another page of a host has the same text at the path.
+    again = pieces.groupBy("host", "path").agg(F.max("size").alias("m"), F.sum(F.col("n") * (F.col("n") - 1)).alias("pairs"))
+    again = again.select("host", "path", (F.col("m") - 1).alias("seen"), F.least(F.coalesce(F.try_divide("pairs", F.col("m") * (F.col("m") - 1)), F.lit(0.0)), F.lit(1.0)).alias("value"))
+    again = with_prior(again, 0.0).select(F.col("host").alias("ah"), F.col("path").alias("ap"), "prior")
+    surprise = lambda prior: -F.log2((F.col("n") + PRIOR_PAGES * prior) / (F.col("size") + PRIOR_PAGES))
+    likely = pieces.where(surprise(F.lit(1.0)) < LOW_SURPRISE)
+    repeated = likely.join(again, (F.col("host") == F.col("ah")) & (F.col("path") == F.col("ap"))).where(surprise(F.col("prior")) < LOW_SURPRISE)
+    return settled(branches.unionByName(repeated.select("host", "path", "content")))
+
+
+def with_prior(rows: DataFrame, blank: float) -> DataFrame:
+    """`rows(host, path, seen, value)` with `prior`: the mean of the other hosts at the path, shrunk towards `blank`.
+
+    Means are weighted by `seen`, the pages of a host that can be compared with a first one.
+    """
+    rows = settled(rows)
+    weighted = F.sum(F.col("seen") * F.col("value"))
+    paths = settled(rows.groupBy("path").agg(weighted.alias("all_values"), F.sum("seen").alias("all_seen")).withColumnRenamed("path", "of_path"))
+    others = F.col("all_values") - F.col("seen") * F.col("value") + PRIOR_PAGES * blank
+    prior = others / (F.col("all_seen") - F.col("seen") + PRIOR_PAGES)
+    return rows.join(small(paths), F.col("path") == F.col("of_path")).select("host", "path", "seen", "value", prior.alias("prior"))
 
 
 def main_text(pages: DataFrame, url: str = "url", html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

@@ -255,6 +255,18 @@ def test_html_copies_do_not_make_a_text_boilerplate(spark):
     assert [r.text for r in got] == ["Same\nA long text that is copied"]
 
 
+def test_html_hosts_of_few_pages_learn_from_others(spark):
+    page = "<body><div class='brandline'>{0} is the best of sites</div><p>{1}</p></body>"
+    many = [(100 * h + i, f"http://many{h}.org", page.format(f"many{h}", f"words {h} of {i}")) for h in range(2) for i in range(20)]
+    few = [(900, "http://few.org", page.format("few", "one single page")), (901, "http://two.org", page.format("two", "page a")), (902, "http://two.org", page.format("two", "page b"))]
+    alone = [(950 + i, "http://alone.org", f"<body><section>Same line</section><h2>Other {i}</h2></body>") for i in range(6)]
+    got = {r.page_id: r.text for r in html_tree.main_text(spark.createDataFrame(many + few + alone, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in (105, 900, 901, 902)] == ["words 1 of 5", "one single page", "page a", "page b"]
+    assert [got[950 + i] for i in range(6)] == [f"Other {i}" for i in range(6)]
+    single = html_tree.main_text(spark.createDataFrame(few[:1], "page_id long, url string, html string")).collect()
+    assert [r.text for r in single] == ["few is the best of sites\none single page"]
+
+
 @pytest.fixture(scope="module")
 def library():
     public = pytest.importorskip("public_tokenizers")
