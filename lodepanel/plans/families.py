@@ -139,9 +139,9 @@ def html_clean(spark, folder):
 
 @register("events_once", "SELECT DISTINCT event_id, ts, user_id, event_type, value FROM events")
 def events_once(spark, folder):
-    """The events read as a stream of files, each id once."""
+    """The events read as a stream of files, each id once however far apart it repeats."""
     top = shared_folder(spark, "events-once")
-    stream = ev.once(ev.event_files(spark, folder), "40 days").select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "user_id", "event_type", "value")
+    stream = ev.once(ev.event_files(spark, folder), None).select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "user_id", "event_type", "value")
     return ev.drain(stream, f"{top}/out", f"{top}/state")
 
 

@@ -10,9 +10,16 @@ EVENT = "event_id long, ts timestamp, user_id long, event_type string, value dou
 
 
 def event_files(spark: SparkSession, folder: str, pattern: str = "events.parquet", files_per_batch: int = 8) -> DataFrame:
-    """The `events` files of a folder as a stream; a batch takes a bounded number of files."""
+    """The `events` files of a folder as a stream, or the files in it if `pattern` names a folder; a batch takes a bounded number of files."""
     schema = EVENT.replace("ts timestamp", "ts timestamp_ntz")
-    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", pattern).parquet(folder)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+    inner = f"{folder.rstrip('/')}/{pattern}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(inner)
+    files = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if files.exists(path) and files.getFileStatus(path).isDirectory():
+        rows = stream.parquet(inner)
+    else:
+        rows = stream.option("pathGlobFilter", pattern).parquet(folder)
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -24,10 +31,11 @@ def parse(payloads: DataFrame, column: str = "payload") -> DataFrame:
     return rows.select(F.col(column).alias("payload"), "event.*", F.when(bad, "unreadable or incomplete").alias("error"))
 
 
-def once(events: DataFrame, delay: str = "1 hour", key: str = "event_id") -> DataFrame:
-    """Each id once, with state that the watermark bounds (in a batch: over all rows)."""
-    marked = events.withWatermark("ts", delay)
-    return marked.dropDuplicatesWithinWatermark([key]) if events.isStreaming else events.dropDuplicates([key])
+def once(events: DataFrame, delay: str | None = "1 hour", key: str = "event_id") -> DataFrame:
+    """Each id once, with state that the watermark bounds (in a batch, or without `delay`: over all rows)."""
+    if delay is None or not events.isStreaming:
+        return events.dropDuplicates([key])
+    return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark([key])
 
 
 def tumbling(events: DataFrame, length: str = "1 day", delay: str = "1 hour") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lodepanel.functions.expr import Var, call, evaluate
 from lodepanel.operators import asof, crosssection, portfolio, quality, regime
 from lodepanel.operators import evaluate as ev
+from lodepanel.plans import registry
 from lodepanel.sources import store
 from lodepanel.streaming import events
 
@@ -191,3 +192,13 @@ def test_stream_drops_repeated_ids(spark, tmp_path):
     spark.createDataFrame(rows, events.EVENT).withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.parquet(f"{tmp_path}/in")
     stream = events.once(events.event_files(spark, f"{tmp_path}/in", "*.parquet"))
     assert events.drain(stream, f"{tmp_path}/out", f"{tmp_path}/state").count() == 3
+
+
+def test_events_once_reads_a_folder_of_parts_over_any_span(spark, tmp_path):
+    day = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(days=n)
+    rows = [(i % 150, day(i), 1, "view", 1.0, None) for i in range(300)]
+    table = spark.createDataFrame(rows, events.EVENT).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    for name, files in (("parts", table.repartition(20, "ts")), ("sorted", table.repartitionByRange(20, "ts"))):
+        files.write.parquet(f"{tmp_path}/{name}/events.parquet")
+        got = [r.event_id for r in registry.QUERIES["events_once"](spark, f"{tmp_path}/{name}").select("event_id").collect()]
+        assert sorted(got) == list(range(150))
