@@ -1,17 +1,23 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, of toxic and of ordinary text: each is filled with the word beginnings
-and words whose document counts speak most strongly (by a likelihood-ratio test over labelled documents) for its kind. Every text is cut
-into short windows of words; a window's gain is its compressed length with the ordinary dictionary less that with
-the toxic one. Windows are counted by how many bytes they gain at least, and a logistic curve, calibrated on labelled
-documents that trained no dictionary, turns these counts and the number of windows into a score.
+Two zstandard dictionaries are trained with the library's own trainer. The ordinary one is trained on words of
+ordinary text, the toxic one on the words of toxic text whose beginnings speak for toxic text by a likelihood-ratio
+test over labelled documents. Every text is cut into windows of three words. A window's gain is its compressed length
+with the ordinary dictionary less that with both dictionaries joined. Windows are counted by how many bytes they gain
+at least, and a logistic curve, calibrated on labelled documents that trained no dictionary, turns these counts and the
+number of windows into a score.
+
+Dictionaries serve as content only (no entropy tables), and each window starts with letters that both dictionaries end
+with: a window this short would otherwise be stored as it is, whatever it matches.
 
 Labels come from a bounded sample: at most `per_class` rows of each label, those of smallest id hash. Near copies
 within the sample (least and largest hash of five-word shingles both equal) count once. Everything else covers all texts.
 
-Defined results: a null or empty text has one window without words and gets the score of no hits; labels other than
-0 and 1 are ignored, an id with several labels counts as toxic if any is; without labels of both kinds the score is
-the smoothed rate of toxic labels; repeated rows are scored alike; an empty table gives no rows.
+Defined results: a null or empty text has one window without words and gets the score of no hits; a text of any length
+is cut into windows throughout; null ids are scored but never learned from; labels other than 0 and 1 are ignored, an
+id with several labels counts as toxic if any is; without labels of both kinds, or without a word that speaks for toxic
+text, the score is the smoothed rate of toxic labels; repeated rows and ids are scored row by row; other columns of the
+tables are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,14 +33,19 @@ from pyspark.sql import functions as F
 from ._text import let, plain_words, settled, table, windows
 
 PER_CLASS = 10_000
-WINDOW = 2
-SEGMENTS = 300
-#: Letters of a segment at least.
+#: Words of a window.
+WINDOW = 3
+#: Letters of a word's beginning at least.
 SHORTEST = 4
-#: Least evidence (twice the log likelihood ratio) for a word of a dictionary; chance gives 24 among a million.
+#: Least evidence (twice the log likelihood ratio) for a word's beginning; chance gives 24 among a million.
 EVIDENCE = 25.0
+#: Bytes of the trained dictionaries at most, and the lengths of segment and match that the trainer counts in.
+ORDINARY_BYTES, TOXIC_BYTES = 8192, 4096
+SEGMENT, MATCH = 12, 6
+#: Words a dictionary is trained on at most; beyond it, each word's count is scaled down.
+TRAINING_WORDS = 200_000
 #: Byte gains that are counted as hits, each by itself.
-HITS = (2, 3, 4, 5, 6, 7, 8, 9)
+HITS = (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 12)
 #: Stands before every word and after the last, so that a match from a word's beginning gains more than one within it.
 MARK = "  "
 #: Stands in every window and both dictionaries, so that a window always has a match and each further one pays.
@@ -69,45 +80,49 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Da
     return settled(one.withColumn("fit", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)) == 0))
 
 
-def segments(fit: DataFrame) -> tuple[list[str], list[str]]:
-    """The usual words of both kinds, then
-    what speaks for toxic and for ordinary text: word beginnings and words, strongest last (nearest to the windows).
+def speaking_words(fit: DataFrame) -> tuple[dict[str, int], dict[str, int]]:
+    """(words of toxic texts that speak for toxic text, words of ordinary texts that do not), each with its texts.
+
+    The counts are those of the labelled sample, which bounds what is collected here.
     """
     totals = {r["toxic"]: r["n"] for r in fit.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     nt, no = totals.get(1, 0), totals.get(0, 0)
     if not nt or not no:
-        return [], []
-    starts = F.transform(plain_words(F.col("text")), lambda w: F.transform(F.sequence(F.lit(SHORTEST), F.greatest(F.length(w) + 1, F.lit(SHORTEST))), lambda n: F.substring(F.concat(w, F.lit(" ")), F.lit(1), n)))
-    each = fit.select("toxic", F.explode(F.array_distinct(F.flatten(starts))).alias("segment")).where(F.length("segment") >= SHORTEST)
-    counts = each.groupBy("segment").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("o"))
+        return {}, {}
+    starts = lambda w: F.transform(F.sequence(F.lit(SHORTEST), F.greatest(F.length(w) + 1, F.lit(SHORTEST))), lambda n: F.substring(F.concat(w, F.lit(" ")), F.lit(1), n))
+    words = fit.select("toxic", F.explode(F.array_distinct(plain_words(F.col("text")))).alias("word"))
+    words = settled(words.groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("o")))
+    each = fit.select("toxic", F.explode(F.array_distinct(F.flatten(F.transform(plain_words(F.col("text")), starts)))).alias("start")).where(F.length("start") >= SHORTEST)
+    counts = each.groupBy("start").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("o"))
     k = F.col("t") + F.col("o")
     expected_t, expected_o = k * (nt / (nt + no)), k * (no / (nt + no))
     part = lambda n, e: F.when(F.col(n) > 0, F.col(n) * F.ln(F.col(n) / e)).otherwise(0.0)
-    scored = counts.where(k >= 5).withColumn("g", 2 * (part("t", expected_t) + part("o", expected_o))).where(F.col("g") >= EVIDENCE)
-    side = F.col("t") > expected_t
-    order = [F.col("g").desc(), F.length("segment").desc(), "segment"]
-    best = [[r["segment"] for r in scored.where(s).orderBy(*order).limit(SEGMENTS * 10).collect()] for s in (side, ~side)]
-    toxic, ordinary = (list(reversed(uncontained(found)[:SEGMENTS])) for found in best)
-    usual = counts.where(F.endswith("segment", F.lit(" ")) & (2 * F.col("t") * no <= 3 * F.col("o") * nt))
-    usual = [r["segment"] for r in usual.orderBy((F.col("t") + F.col("o")).desc(), "segment").limit(SEGMENTS).collect()]
-    return usual + toxic, usual + ordinary
+    evidence = 2 * (part("t", expected_t) + part("o", expected_o))
+    speaks = settled(counts.where((k >= 5) & (F.col("t") > expected_t) & (evidence >= EVIDENCE)).select("start"))
+    begun = words.select("word", "t", "o", F.explode(starts(F.col("word"))).alias("start"))
+    toxic = begun.join(speaks, "start", "left_semi").where("t > 0").select("word", F.col("t").alias("n")).distinct()
+    ordinary = words.where((F.col("o") > 0) & (2 * F.col("t") * no <= 3 * F.col("o") * nt)).select("word", F.col("o").alias("n"))
+    ordinary = ordinary.orderBy(F.col("n").desc(), "word").limit(TRAINING_WORDS)
+    return {r["word"]: r["n"] for r in toxic.collect()}, {r["word"]: r["n"] for r in ordinary.collect()}
 
 
-def uncontained(found: list[str]) -> list[str]:
-    """Those that do not lie within an earlier one."""
-    kept: list[str] = []
-    for segment in found:
-        if not any(f" {segment}" in f" {k}" for k in kept):
-            kept.append(segment)
-    return kept
+def trained(words: dict[str, int], size: int) -> bytes:
+    """The dictionary of at most `size` bytes that zstandard's trainer makes of `words`, each given so many times.
 
+    Words too few to train on are the dictionary themselves.
+    """
+    import zstandard as z
 
-def content(words: list[str]) -> bytes:
-    return (MARK.join(["", *(w.strip() for w in words), LEAD])).encode()
+    scale = max(1.0, sum(words.values()) / TRAINING_WORDS)
+    samples = [f"{MARK}{w}{MARK}".encode() for w, n in sorted(words.items()) for _ in range(max(1, round(n / scale)))]
+    try:
+        return z.train_dictionary(size, samples, k=SEGMENT, d=MATCH, level=3).as_bytes()
+    except z.ZstdError:
+        return b"".join(f"{MARK}{w}{MARK}".encode() for w in sorted(words, key=lambda w: (words[w], w)))[-size:]
 
 
 class Gains:
-    """The byte gains of a text's windows."""
+    """The byte gains of a text's windows; `toxic` and `ordinary` are the contents of the two dictionaries."""
 
     def __init__(self, toxic: bytes, ordinary: bytes):
         import regex
@@ -115,7 +130,7 @@ class Gains:
 
         self.words = regex.compile(r"[\p{L}\p{M}\p{N}]+").findall
         shape = z.ZstdCompressionParameters(
-            window_log=12, chain_log=12, hash_log=12, search_log=4, min_match=6, target_length=16, strategy=z.STRATEGY_BTLAZY2, write_content_size=False
+            window_log=15, chain_log=13, hash_log=13, search_log=4, min_match=6, target_length=16, strategy=z.STRATEGY_BTLAZY2, write_content_size=False, write_dict_id=False
         )
         made = [z.ZstdCompressor(dict_data=z.ZstdCompressionDict(d, dict_type=z.DICT_TYPE_RAWCONTENT), compression_params=shape) for d in (toxic, ordinary)]
         self.toxic, self.ordinary = (c.compress for c in made)
@@ -147,8 +162,10 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 
 
 def train(learn: DataFrame) -> Model:
-    words = segments(learn.where("fit"))
-    toxic, ordinary = content(words[0]), content(words[1])
+    speaking, usual = speaking_words(learn.where("fit"))
+    lead = LEAD.encode()
+    base = trained(usual, ORDINARY_BYTES) if usual else b""
+    toxic, ordinary = base + (trained(speaking, TOXIC_BYTES) if speaking else b"") + lead, base + lead
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gains = Gains(toxic, ordinary)
@@ -161,7 +178,7 @@ def train(learn: DataFrame) -> Model:
     rows = sorted(half.collect(), key=lambda r: r["doc_id"])
     y = np.array([r["toxic"] for r in rows], dtype=float)
     rate = (y.sum() + 0.5) / (len(y) + 1)
-    if not rows or y.min() == y.max() or words[0] == words[1]:
+    if not rows or y.min() == y.max() or not speaking:
         flat = (0.0,) * (len(HITS) + 1)
         return Model(toxic, ordinary, flat, (1.0,) * len(flat), (*flat, float(np.log(rate / (1 - rate)))))
     x = np.array([r["facts"] for r in rows])
