@@ -41,7 +41,7 @@ SHORTEST = 4
 EVIDENCE = 25.0
 #: Bytes of the trained dictionaries at most, and the lengths of segment and match that the trainer counts in.
 ORDINARY_BYTES, TOXIC_BYTES = 8192, 4096
-SEGMENT, MATCH = 12, 6
+SEGMENT, MATCH = 16, 6
 #: Words a dictionary is trained on at most; beyond it, each word's count is scaled down.
 TRAINING_WORDS = 200_000
 #: Byte gains that are counted as hits, each by itself.
@@ -109,12 +109,16 @@ def speaking_words(fit: DataFrame) -> tuple[dict[str, int], dict[str, int]]:
 def trained(words: dict[str, int], size: int) -> bytes:
     """The dictionary of at most `size` bytes that zstandard's trainer makes of `words`, each given so many times.
 
-    Words too few to train on are the dictionary themselves.
+    The trainer takes the best segment of each stretch of its input, so the samples are dealt by a hash. Words too few
+    to train on are the dictionary themselves.
     """
+    import zlib
+
     import zstandard as z
 
     scale = max(1.0, sum(words.values()) / TRAINING_WORDS)
-    samples = [f"{MARK}{w}{MARK}".encode() for w, n in sorted(words.items()) for _ in range(max(1, round(n / scale)))]
+    dealt = sorted((zlib.crc32(f"{i} {w}".encode()), w) for w, n in words.items() for i in range(max(1, round(n / scale))))
+    samples = [f"{MARK}{w}{MARK}".encode() for _, w in dealt]
     try:
         return z.train_dictionary(size, samples, k=SEGMENT, d=MATCH, level=3).as_bytes()
     except z.ZstdError:
