@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import rounded, sql_rounded
 from ..operators import asof, regime
+from ..operators.settle import shared_folder
 from ..sources.store import document_text
 from ..sources.tables import BARS_SQL, bars, load
 from ..streaming import events as ev
@@ -30,12 +30,6 @@ def register(name: str, sql: str | None = None):
     return add
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/lodepanel-checkpoints"
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 _SNAPSHOTS = """s AS (
   SELECT o_custkey % 40 AS instrument, CAST(o_orderdate AS DATE) AS date, avg(o_totalprice) AS mean, stddev_samp(o_totalprice) AS sd, count(*) AS coverage,
          count(*) FILTER (WHERE o_orderpriority < '3') AS up, count(*) FILTER (WHERE o_orderpriority >= '5') AS down
