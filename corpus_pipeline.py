@@ -6,12 +6,12 @@ next stage's `docs`. All stages but the last return the columns of `documents`;
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from lodepanel.llm import decontaminate, mixing, quality_rules, sharding, simhash
+from lodepanel.operators.settle import shared_folder
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,15 +51,9 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 ORACLE_SQL: str | None = None
 
 
-def _shared_folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: under spark.checkpoint.dir, or local if that is unset."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/lodepanel-checkpoints"
-    return f"{top.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`, each written and read again."""
-    folder = _shared_folder(spark)
+    folder = shared_folder(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")

@@ -6,6 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType
+
+from ..operators.settle import settled
+
+__all__ = ["let", "words", "plain_words", "windows", "row_hash", "free_name", "settled", "small", "table", "running_total"]
 
 #: White space that ends a word: blank, tab, newline, vertical tab, form feed, carriage return.
 SPACES = " \t\n\x0b\f\r"
@@ -14,6 +19,7 @@ NOT_WORD_RUN = r"[^\p{L}\p{M}\p{N}]+"
 
 #: Rows up to which a table of a few numbers a row is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 32 << 20
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -54,21 +60,28 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """`df` written to the reliable checkpoint folder, so that lost executors cost no recomputation.
-
-    The folder is the session's spark.checkpoint.dir; only a session without one (a local test) gets its own.
-    """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = context.getConf().get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or "file:///tmp/lodepanel-checkpoints")
-    return df.checkpoint()
+def width(df: DataFrame) -> Column:
+    """About the bytes of a row: eight a number, and the letters or members of strings, binaries and arrays."""
+    total: Column = F.lit(8 * len(df.columns)).cast("long")
+    for field in df.schema.fields:
+        c, kind = F.col(f"`{field.name}`"), field.dataType
+        if isinstance(kind, (StringType, BinaryType)):
+            size = F.octet_length(c)
+        elif isinstance(kind, ArrayType):
+            each = F.aggregate(c, F.lit(0), lambda n, x: n + F.octet_length(x) + 16) if isinstance(kind.elementType, StringType) else F.size(c) * 16
+            size = F.when(c.isNotNull(), each)
+        elif isinstance(kind, (MapType, StructType)):
+            size = F.octet_length(F.to_json(c)) if isinstance(kind, StructType) else F.octet_length(F.to_json(F.struct(c)))
+        else:
+            continue
+        total = total + F.coalesce(size, F.lit(0)).cast("long")
+    return total
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """`df` with a broadcast hint if a count shows at most `rows` rows, else as it is (the join shuffles)."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
+    """`df` with a broadcast hint if it is shown to have at most `rows` rows and `most` bytes, else as it is (the join shuffles)."""
+    got = df.limit(rows + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(width(df)), F.lit(0)).alias("bytes")).first()
+    return F.broadcast(df) if got["n"] <= rows and got["bytes"] <= most else df
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -90,9 +103,10 @@ def running_total(df: DataFrame, group: list[str], bucket: str, order: list, val
     within = W.partitionBy(*group, bucket).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     local = df.withColumn(out, F.coalesce(F.sum(value).over(within), F.lit(0)).cast("long"))
     keys = [*group, bucket]
-    right = parts.select(*[F.col(k).alias(f"r_{k}") for k in keys], base)
-    match = [F.col(k).eqNullSafe(F.col(f"r_{k}")) for k in keys]
+    names = {k: free_name(local, f"r_{k}") for k in keys}
+    right = parts.select(*[F.col(k).alias(names[k]) for k in keys], base)
+    match = [F.col(k).eqNullSafe(F.col(names[k])) for k in keys]
     on = match[0]
     for m in match[1:]:
         on = on & m
-    return local.join(right, on).withColumn(out, F.col(out) + F.col(base)).drop(base, *[f"r_{k}" for k in keys])
+    return local.join(right, on).withColumn(out, F.col(out) + F.col(base)).drop(base, *names.values())
