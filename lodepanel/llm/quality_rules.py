@@ -4,8 +4,10 @@ A document fails by its own counts (too few words, too much repetition). Failure
 column `source`); each host's failure rate is shrunk towards all hosts by a beta prior fitted from the hosts
 themselves, and the verdict on a host is joined back to its documents. DataFrame functions only.
 
-Defined results: a null or blank text has no words and fails; null hosts are one host; an empty table gives no
-rows; repeated rows are judged one by one; extra columns are kept.
+Defined results: a null or blank text has no words and fails; a text of any length is counted whole; null hosts are
+one host; an empty table gives no rows; repeated rows are judged one by one; extra columns are kept. `with_counts` and
+`apply_verdicts` replace columns called like their results; `filter_quality` returns the given columns, whatever they
+are called.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.settle import shared_folder
 from ._text import SPACE_RUN, free_name, let, settled, small, table, windows, words
 
 SYMBOLS = r"[#*$%&|<>]"
@@ -115,12 +118,14 @@ def apply_verdicts(counted: DataFrame, hosts: DataFrame, host: str = "source") -
 
 def filter_quality(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
     """The documents that the rules keep, with the columns of `docs`."""
-    bare = docs.select(F.col(text).alias("text"), F.col(host).alias("source"))
-    hosts = host_verdicts(with_counts(bare), "source")
-    own = [free_name(docs, c) for c in ("q_text", "q_source", "q_row")]
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(own[2]), F.col(text).alias("text"), F.col(host).alias("source"))
-    kept = apply_verdicts(with_counts(packed), hosts).where("kept")
-    return kept.select(f"{own[2]}.*")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    packed = docs.select(row.alias("row"), F.col(f"`{text}`").alias("text"), F.col(f"`{host}`").alias("source"))
+    folder = shared_folder(docs.sparkSession, "quality")
+    # Counted once and written: the verdicts on hosts need all counts before the first document can go.
+    with_counts(packed).select("row", "source", "base_failed").write.parquet(folder)
+    counted = docs.sparkSession.read.schema(packed.select("row", "source").schema.add("base_failed", "boolean")).parquet(folder)
+    kept = apply_verdicts(counted, host_verdicts(counted.select("source", "base_failed"))).where("kept")
+    return kept.select("row.*")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
