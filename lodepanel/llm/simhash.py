@@ -74,6 +74,8 @@ def links(fps: DataFrame, radius: int = 2) -> DataFrame:
     """Distinct verified pairs (u, v), u < v, whose components are those of all pairs within an even `radius`."""
     if radius % 2:
         raise ValueError("the radius must be even: a variant reaches half of it")
+    # A settled table comes in few parts; a given number keeps them apart where each row becomes many.
+    fps = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     spread = fps.select("fp", F.explode(variants(F.col("fp"), radius // 2)).alias("variant"))
     centre = settled(
         spread.groupBy("variant").agg(F.min("fp").alias("u"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("variant").alias("met"), "u")
@@ -112,12 +114,15 @@ def pick_rows(marked: DataFrame, id_column: str, mark: str, best: DataFrame, row
     best = settled(
         best.join(repeated, F.col("kid").eqNullSafe(F.col("tid")) & (F.col("kmark") == F.col("tmark")), "left").select("kid", "kmark", F.coalesce("twice", F.lit(False)).alias("twice"))
     )
-    same = F.col(id_column).eqNullSafe(F.col("kid")) & (F.col(mark) == F.col("kmark"))
-    once = marked.join(small(best.where("NOT twice")), same, "left_semi")
+    kid, kmark = free_name(marked, "kid"), free_name(marked, "kmark")
+    best = best.select(F.col("kid").alias(kid), F.col("kmark").alias(kmark), F.col("twice").alias("twice"))
+    named = lambda rows: rows.select(kid, kmark)
+    same = F.col(f"`{id_column}`").eqNullSafe(F.col(kid)) & (F.col(mark) == F.col(kmark))
+    once = marked.join(small(named(best.where("NOT twice"))), same, "left_semi")
     more = best.where("twice")
     if more.isEmpty():
         return once
-    return once.unionByName(marked.join(small(more), same, "left_semi").dropDuplicates([id_column, mark]))
+    return once.unionByName(marked.join(small(named(more)), same, "left_semi").dropDuplicates([id_column, mark]))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
