@@ -6,8 +6,10 @@ source's documents, in hashed order, form one line of words cut into equal block
 block r (again from the first block after the last). A document gets what its blocks' slots take. Ranks and word
 offsets are bucketed running totals: no task holds a whole source. DataFrame functions only.
 
-Defined results: a null or blank text has size 0 and takes 0; null sources are one source, last in order; ids may
-repeat or be null; rows equal in id and size are interchangeable; an empty table gives no rows.
+Defined results: a null or blank text has size 0 and takes 0; a text of any length is one row whose words several
+slots may take; null sources are one source, last in order; ids may repeat or be null: documents stand in the order of
+a hash of id and text, and equal rows count as one with many copies; columns of `mix_documents` come through whatever
+they are called; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,7 +20,8 @@ from pyspark.sql import functions as F
 
 from ._text import free_name, row_hash, running_total, settled, small, table, words
 
-GOLDEN = 0.6180339887498949
+#: 2 ** 64 over the golden ratio, odd.
+GOLDEN = 11400714819323198485
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2
@@ -70,8 +73,10 @@ def schedule(sources: DataFrame, block: int = BLOCK) -> DataFrame:
     n = plan.agg(F.sum("slots")).first()[0] or 0
     cell = lambda c: F.floor(c / F.lit(float(max(n, 1))) * _CELLS).cast("int")
     parts = plan.select("source", "low", "high", F.explode(F.sequence(cell(F.col("low")), cell(F.col("high")))).alias("cell"))
-    product = F.col("id") * F.lit(GOLDEN)
-    points = spark.range(n).select(F.col("id").alias("slot"), ((product - F.floor(product)) * F.lit(float(n))).alias("at"))
+    # Whole numbers throughout, so that the points of a long mix keep their digits.
+    fraction = F.expr(f"CAST(CAST(id AS DECIMAL(18, 0)) * CAST({GOLDEN} AS DECIMAL(20, 0)) % CAST({1 << 64} AS DECIMAL(20, 0)) AS DECIMAL(20, 0))")
+    points = spark.range(n).select(F.col("id").alias("slot"), fraction.alias("f"))
+    points = points.select("slot", F.expr(f"(f * CAST({n} AS DECIMAL(18, 0))) div CAST({1 << 64} AS DECIMAL(20, 0))").alias("at"))
     points = points.withColumn("in_cell", cell(F.col("at")))
     drawn = points.join(small(parts), (F.col("in_cell") == F.col("cell")) & (F.col("at") >= F.col("low")) & (F.col("at") < F.col("high")))
     drawn = drawn.select("source", "slot", F.floor(F.col("slot") / _CHUNK).alias("chunk"), F.lit(1).alias("one"))
@@ -80,6 +85,7 @@ def schedule(sources: DataFrame, block: int = BLOCK) -> DataFrame:
     plan = plan.join(have, F.col("source").eqNullSafe(F.col("hs")), "left").drop("hs").withColumn("have", F.coalesce("have", F.lit(0)))
     plan = settled(plan)
     short = plan.where(F.col("have") < F.col("slots")).select("source", F.explode(F.sequence(F.col("have"), F.col("slots") - 1)).alias("rank"))
+    # The points are spread so evenly that a source lacks few slots, in the order of the logarithm of all.
     added = short.select("source", (F.lit(n) + F.row_number().over(W.orderBy("rank", F.col("source").asc_nulls_last())) - 1).alias("slot"), "rank")
     sizes = small(plan.select(F.col("source").alias("ps"), "blocks", "source_size", "goal", "over", "slots"))
     slots = ranked.unionByName(added).join(sizes, F.col("source").eqNullSafe(F.col("ps"))).where(F.col("rank") < F.col("slots"))
@@ -91,14 +97,21 @@ def schedule(sources: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def mix(sized: DataFrame, targets: DataFrame, block: int = BLOCK, seed: str = "") -> DataFrame:
     """`sized(id, source, size, …)` with source_size, target, taken and first_slot (null if nothing is taken)."""
-    own = [c for c in sized.columns]
+    own = [c for c in sized.columns if c != "mark"]
+    # Equal rows are one row of the line, so that no id or text can fill a part.
+    sized = sized.groupBy(*sized.columns).agg(F.count(F.lit(1)).alias("mix_times")) if "mark" in sized.columns else sized.withColumn("mix_times", F.lit(1).cast("long"))
+    sized = settled(sized)
     rows = sized.count()
     digits = 1
     while 16**digits * 4096 < rows:
         digits += 1
-    keyed = sized.withColumn("mix_key", F.md5(F.concat(F.lit(seed), F.coalesce(F.col("id").cast("string"), F.lit("")))))
-    keyed = keyed.withColumn("mix_part", F.substring("mix_key", 1, digits))
-    line = settled(running_total(keyed, ["source"], "mix_part", ["mix_key", "size"], "size", "start").drop("mix_key", "mix_part"))
+    mark = F.col("mark").cast("string") if "mark" in sized.columns else F.lit("")
+    keyed = sized.withColumn("mix_key", F.md5(F.concat(F.lit(seed), F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(" "), mark)))
+    keyed = keyed.withColumn("mix_part", F.substring("mix_key", 1, digits)).withColumn("mix_all", F.col("size") * F.col("mix_times"))
+    line = running_total(keyed, ["source"], "mix_part", ["mix_key", "size"], "mix_all", "start")
+    line = line.withColumn("nth_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("mix_times") - 1)))
+    line = settled(line.select(*own, *[c for c in ("mark",) if c in sized.columns], (F.col("start") + F.col("nth_copy") * F.col("size")).alias("start")))
+    own = [*own, *[c for c in ("mark",) if c in sized.columns]]
     end = F.col("start") + F.col("size")
     cuts = F.sequence(F.floor(F.col("start") / block), F.floor((end - 1) / block))
     pieces = line.where("size > 0").withColumn("nth", F.explode(cuts)).withColumn("at", F.col("nth") * block)
@@ -128,9 +141,11 @@ def mix_documents(docs: DataFrame, id_column: str = "doc_id", source: str = "sou
     times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(F.lit(0)).cast("int")
     copies = mixed.groupBy("id", "mark").agg(F.sum(times).cast("int").alias("times"), F.count(F.lit(1)).alias("rows"))
     copies = settled(copies.where("times > 0"))
+    cid, cmark = free_name(marked, "cid"), free_name(marked, "cmark")
+
     def found(plan: DataFrame) -> DataFrame:
-        plan = plan.select(F.col("id").alias("cid"), F.col("mark").alias("cmark"), F.col("times").alias(again))
-        return marked.join(plan, F.col(id_column).eqNullSafe(F.col("cid")) & (F.col(mark) == F.col("cmark")))
+        plan = plan.select(F.col("id").alias(cid), F.col("mark").alias(cmark), F.col("times").alias(again))
+        return marked.join(plan, F.col(f"`{id_column}`").eqNullSafe(F.col(cid)) & (F.col(mark) == F.col(cmark)))
 
     out = found(copies.where("rows = 1"))
     repeated = copies.where("rows > 1")
@@ -142,14 +157,17 @@ def mix_documents(docs: DataFrame, id_column: str = "doc_id", source: str = "sou
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document of `documents` with its source's target and the words the mix takes of it."""
     docs = table(spark, sf_dir, "documents")
-    sized = settled(docs.select(F.col("doc_id").alias("id"), "source", word_count(F.col("text")).alias("size")))
+    mark = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    sized = settled(docs.select(F.col("doc_id").alias("id"), "source", word_count(F.col("text")).alias("size"), mark.alias("mark")))
     out = mix(sized, settled(source_targets(sized)))
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "first_slot")
 
 
 OP6_SQL = r"""
 WITH s AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         md5(coalesce(doc_id::VARCHAR, '') || ' ' || md5(coalesce(text, ''))) AS key
+  FROM documents),
 src AS (
   SELECT source, sum(size)::BIGINT AS source_size,
          [3, 1, 2][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS w
@@ -173,7 +191,7 @@ cum AS (
   FROM cnt WHERE slots > 0),
 n AS (SELECT sum(slots)::BIGINT AS n FROM cum),
 pt AS (
-  SELECT slot, (slot * 0.6180339887498949::DOUBLE - floor(slot * 0.6180339887498949::DOUBLE)) * n::DOUBLE AS point
+  SELECT slot, ((slot::HUGEINT * 11400714819323198485::HUGEINT % 18446744073709551616::HUGEINT) * n::HUGEINT) // 18446744073709551616::HUGEINT AS point
   FROM (SELECT unnest(range(n)) AS slot, n FROM n)),
 drawn AS (
   SELECT cum.source, slot, row_number() OVER (PARTITION BY cum.source ORDER BY slot) - 1 AS rank
@@ -192,7 +210,7 @@ cut AS (
          least(64, CASE WHEN over = 0 THEN goal WHEN turn = 0 THEN source_size ELSE over END - (rank - turn * blocks) * 64) AS words
   FROM slot),
 line AS (
-  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5(coalesce(doc_id::VARCHAR, '')), size
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, size
                                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
   FROM s),
 piece AS (
