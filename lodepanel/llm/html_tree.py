@@ -1,26 +1,34 @@
 """HTML extraction with site style trees.
 
-The pages of a host are merged into one tree: an element is known by its path of tags and classes, and counts once
-for each different page. An element's importance is the entropy of what it shows across the host's pages (content)
-and of how its children are laid out (presentation), in units of the largest possible entropy. Branches of low
-importance, and single pieces of text that nearly all pages of a host repeat at one place, are removed from each
-page, beside what tags, roles and classes already name as menus, notices, adverts, forms or comments. What is left
-of the article (or main element, else the body) is the text.
+The pages of a host are merged into one tree of whole documents: a node is known by its path of tags and classes (runs
+of digits in them are alike) and counts once for each different page. A node's content is the pieces of text that stand
+in it directly; where a piece has links, each shows as the directory it points to, for the words of a link speak of
+another page. A piece that n of a node's m pages show has the importance 1 - ln n / ln m. A node's presentation is the
+sequence of its children; its importance is the entropy of the sequences over the m pages, in units of ln m. A branch's
+importance is that of all content below it (weighted by pages) and of all presentation below it, composed bottom up.
+
+What tags, roles and classes say, and whether a node lies beside the page's article or main element, is a prior: it
+lowers the branch's importance by the share of its pages that say so. Branches of low importance go from each page, and
+so do single pieces of text that nearly all pages of a host repeat at one place. What is left is the text.
 
 A host of few pages says little by itself: its importance and its shares of repeated text are shrunk towards what the
 other hosts show at the same path; a path that no other host has is taken for content.
 
 Parsing runs in Arrow batches; the tree is counted by DataFrame aggregations over hashes, pre-aggregated, so a host
 with a third of all pages is spread like any other. Defined results: null, empty or blank html has empty text;
-unclosed and stray tags are repaired as browsers do for the common cases; a null URL belongs to the host ""; equal
-pages of a host count once for its tree; repeated rows are extracted row by row; an empty table gives no rows.
+unclosed and stray tags are repaired as browsers do for the common cases; elements that are not shown (hidden,
+aria-hidden, display:none) have no text; a null URL belongs to the host ""; equal pages of a host count once for its
+tree; repeated rows are extracted row by row; pages of any length and depth are read whole, by loops without recursion;
+a branch passes its importance on to its 64 nearest ancestors; columns named in `keep` come through whatever they are
+called, but for `text` and `n_chars`, which are the result's; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -34,16 +42,27 @@ PRIOR_PAGES = 1.0
 LOW_IMPORTANCE = 0.2
 LOW_SURPRISE = 0.3  # bits: at the same place on over 81 of 100 pages
 CONTENT_SHARE = 0.9
+#: What a branch loses of its importance where names, on all its pages, speak against it.
+NAMED = 0.85
+REACH = 64
+#: Rules of all hosts up to which they are broadcast.
+BROADCAST_RULES = 500_000
+#: Nodes remembered by a task before it forgets them all (their ancestors are then told again).
+MEMORY = 1_000_000
+
+#: Kinds of counted facts.
+PAGE, LAYOUT, TEXT, LINKS, LINKED_TEXT, NAMED_OUT, ABOVE = range(7)
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+_DIGITS = re.compile(r"[0-9]+")
+_DIRECTORY = re.compile(r"^[^?#]*/")
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style noscript iframe template textarea title svg math object noembed noframes".split())
-#: Of these, an opening tag with a slash at its end has no content.
-_FOREIGN = frozenset(("svg", "math"))
+_RAW = frozenset("script style noscript iframe template textarea title noembed noframes".split())
 _END_OF_RAW = {tag: re.compile(f"</{tag}", re.IGNORECASE | re.ASCII) for tag in _RAW}
+_IN_HEAD = frozenset("base link meta".split()) | _RAW
 _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -70,36 +89,46 @@ _NOT_NAMES = frozenset("with has no without".split())
 
 
 class Element:
-    __slots__ = ("tag", "path", "noise", "items", "inside")
+    __slots__ = ("tag", "name", "path", "above", "named_out", "shown", "loose", "inside", "link", "items")
 
-    def __init__(self, tag: str, path: str, noise: bool, inside: bool):
-        self.tag, self.path, self.noise, self.inside = tag, path, noise, inside
+    def __init__(self, tag: str, name: str, above: Element | None):
+        self.tag, self.name, self.above = tag, name, above
+        self.path = _hash(name, above.path) if above else 0
+        self.named_out, self.shown, self.loose, self.link = False, True, False, None
+        self.inside = above is not None and (above.inside or above.tag in _ROOTS)
         self.items: list[Element | str] = []
 
 
-def _describe(tag: str, attributes: str, inside: bool) -> tuple[str, bool]:
-    """(the element's name in a path, whether it is noise by itself)."""
-    noise = tag in _NOISE_TAGS or (tag == "header" and not inside)
-    if not attributes or attributes.isspace():
-        return tag, noise
-    got = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)}
-    names = f"{got.get('class', '')} {got.get('id', '')}"
-    if tag not in ("html", "body", *_ROOTS) or tag == "article":
-        for name in names.split():
+def _hash(text: str, seed: int = 0) -> int:
+    """A signed 64-bit hash."""
+    import xxhash
+
+    return xxhash.xxh64_intdigest(text, seed & (1 << 64) - 1) - (1 << 63)
+
+
+def _open(tag: str, attributes: str, above: Element) -> Element:
+    got = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)} if attributes and not attributes.isspace() else {}
+    classes = got.get("class", "")
+    element = Element(tag, _DIGITS.sub("0", f"{tag}.{classes}" if classes else tag), above)
+    element.named_out = tag in _NOISE_TAGS or (tag == "header" and not element.inside)
+    if tag not in _ROOTS or tag == "article":
+        for name in f"{classes} {got.get('id', '')}".split():
             tokens = {t.lower() for t in _TOKEN.findall(name)}
             if tokens & _NOISE_NAMES and not tokens & _NOT_NAMES:
-                noise = True
-    if got.get("role", "").lower() in _NOISE_ROLES or "hidden" in got or got.get("aria-hidden", "").lower() == "true":
-        noise = True
-    if "display:none" in got.get("style", "").lower().replace(" ", ""):
-        noise = True
-    return f"{tag}.{got['class']}" if got.get("class") else tag, noise
+                element.named_out = True
+    if got.get("role", "").lower() in _NOISE_ROLES:
+        element.named_out = True
+    element.shown = not ("hidden" in got or got.get("aria-hidden", "").lower() == "true" or "display:none" in got.get("style", "").lower().replace(" ", ""))
+    if tag == "a" and "href" in got:
+        found = _DIRECTORY.match(got["href"])
+        element.link = "\u2197" + (found[0] if found else "")
+    return element
 
 
 def parse(page: str | None) -> Element:
     """The page as a tree; scripts, styles and other raw content are left out."""
-    root = Element("html", "", False, False)
-    stack, at, page = [root], 0, page or ""
+    root = Element("html", "", None)
+    stack, at, page, head = [root], 0, page or "", None
     while at < len(page):
         found = _TAG.search(page, at)
         text = page[at : found.start() if found else len(page)]
@@ -116,9 +145,9 @@ def parse(page: str | None) -> Element:
             if depth:
                 del stack[depth:]
             continue
+        if head is not None and tag not in _IN_HEAD and head in stack:
+            del stack[stack.index(head) :]
         if tag in _RAW:
-            if tag in _FOREIGN and found[3].endswith("/"):
-                continue
             end = _END_OF_RAW[tag].search(page, at)
             at = (page.find(">", end.end()) + 1 or len(page)) if end else len(page)
             continue
@@ -133,151 +162,265 @@ def parse(page: str | None) -> Element:
                 if stack[i].tag in stop:
                     break
         if tag in _VOID:
-            stack[-1].items.append(" " if tag != "hr" else Element("hr", f"{stack[-1].path}/hr", False, stack[-1].inside))
+            stack[-1].items.append(" " if tag != "hr" else Element("hr", "hr", stack[-1]))
             continue
-        parent = stack[-1]
-        name, noise = _describe(tag, found[3], parent.inside)
-        element = Element(tag, f"{parent.path}/{name}", noise, parent.inside or tag in _ROOTS)
-        parent.items.append(element)
+        element = _open(tag, found[3], stack[-1])
+        stack[-1].items.append(element)
+        if tag == "head":
+            head = element
         if not found[3].endswith("/") or tag in _BLOCK:
             stack.append(element)
+    _set_apart(root)
     return root
 
 
-def _clean(parts: list[str]) -> str:
-    return " ".join(entities.unescape("".join(parts)).split())
-
-
-def blocks(element: Element, drop) -> list[str]:
-    """The texts of an element's blocks in page order, without noise and what `drop(element, its text)` removes."""
-    out: list[str] = []
-    open_: list[str] = []
-
-    def flush() -> None:
-        if open_ and (text := _clean(open_)):
-            out.append(text)
-        open_.clear()
-
-    # (element, position of its next item, blocks before it)
-    stack = [(element, 0, 0)]
-    while stack:
-        here, k, before = stack.pop()
-        if k == len(here.items):
-            if here.tag in _BLOCK:
-                flush()
-                if len(stack) and drop(here, "\n".join(out[before:])):
-                    del out[before:]
-            continue
-        stack.append((here, k + 1, before))
-        item = here.items[k]
-        if isinstance(item, str):
-            open_.append(item)
-        elif not item.noise:
-            if item.tag in _BLOCK:
-                flush()
-            stack.append((item, 0, len(out)))
-        elif item.tag in _BLOCK:
-            flush()
-    flush()
-    return out
-
-
-def _contents(root: Element) -> list[Element]:
-    """The elements that hold the text: outermost articles, else main elements, else the whole page."""
+def _set_apart(root: Element) -> None:
+    """Where a page has outermost articles, else main elements: what lies beside them is named out."""
     for tag in _ROOTS:
         found, todo = [], [root]
         while todo:
             here = todo.pop()
-            if here.noise:
+            if here.named_out or not here.shown:
                 continue
             if here.tag == tag:
                 found.append(here)
             else:
-                todo.extend(x for x in reversed(here.items) if isinstance(x, Element))
+                todo.extend(x for x in here.items if isinstance(x, Element))
         if found:
-            return found
-    return [root]
+            above, roots = set(), set(found)
+            for here in found:
+                while (here := here.above) is not None and here not in above:
+                    above.add(here)
+            for here in above:
+                here.loose = True
+                for x in here.items:
+                    if isinstance(x, Element) and x not in above and x not in roots:
+                        x.named_out = True
+            return
+
+
+class Piece(NamedTuple):
+    """A run of text that stands in one node: the node, its path, the block it shows in, its raw text, and with links' targets."""
+
+    owner: Element
+    path: int
+    block: int
+    raw: str
+    shape: str | None
+
+
+def pieces(root: Element, gone: Callable[[Element], bool]) -> list[Piece]:
+    """The pieces of text in page order, but for branches that are `gone`."""
+    out: list[Piece] = []
+    parts: list[tuple[str, str | None]] = []
+    block = 0
+
+    def flush(owner: Element) -> None:
+        if parts:
+            raw, path = "".join(t for t, _ in parts), _hash("#text", owner.path) if owner.loose else owner.path
+            if raw and not raw.isspace():
+                shape = None
+                if any(link for _, link in parts):
+                    kept: list[str] = []
+                    for text, link in parts:
+                        if link is None or not kept or kept[-1] != link:
+                            kept.append(text if link is None else link)
+                    shape = "".join(kept)
+                out.append(Piece(owner, path, block, raw, shape))
+            elif raw:
+                out.append(Piece(owner, path, block, raw, None))  # white space between two pieces of a block
+            parts.clear()
+
+    # (element, position of its next item, the node its text belongs to, link around it)
+    stack: list[tuple[Element, int, Element, str | None]] = [(root, 0, root, None)]
+    while stack:
+        here, k, owner, link = stack.pop()
+        if k == len(here.items):
+            if here is owner:
+                flush(owner)
+                block += here.tag in _BLOCK
+            continue
+        stack.append((here, k + 1, owner, link))
+        item = here.items[k]
+        if isinstance(item, str):
+            parts.append((item, link))
+        elif item.tag in _BLOCK or item.named_out:
+            flush(owner)
+            block += item.tag in _BLOCK
+            if item.shown and not gone(item):
+                stack.append((item, 0, item, item.link or link))
+        elif item.shown:
+            stack.append((item, 0, owner, item.link or link))
+    flush(root)
+    return out
 
 
-def _hash(text: str) -> int:
-    import xxhash
+def _clean(raw: str) -> str:
+    return " ".join(entities.unescape(raw).split())
+
 
-    return xxhash.xxh64_intdigest(text) - (1 << 63)
+class Facts(NamedTuple):
+    """What a page adds to its host's tree; nodes and values are hashes."""
 
+    page: int
+    #: (path, kind, value)
+    rows: set[tuple[int, int, int]]
+    #: path -> itself and its nearest ancestors
+    above: dict[int, list[int]]
 
-def elements(page: str | None) -> tuple[int, list[tuple[int, int, int]]]:
-    """(hash of the page's text, (path, layout of children, content) of each block element), all as hashes."""
-    seen: set[tuple[int, int, int]] = set()
+
+def facts(page: str | None) -> Facts:
+    rows: set[tuple[int, int, int]] = set()
+    layouts: dict[int, set[str]] = {}
+    above: dict[int, list[int]] = {}
+    used: set[int] = set()
     whole: list[str] = []
+    for piece in pieces(parse(page), lambda _: False):
+        if not (text := _clean(piece.raw)):
+            continue
+        whole.append(text)
+        if piece.shape is None:
+            rows.add((piece.path, TEXT, _hash(text)))
+        else:
+            rows.add((piece.path, LINKS, _hash(_clean(piece.shape))))
+            rows.add((piece.path, LINKED_TEXT, _hash(text)))
+        here: Element | None = piece.owner
+        if here.loose:
+            rows.add((piece.path, NAMED_OUT, 0))
+            layouts.setdefault(piece.path, set()).add("")
+            above.setdefault(piece.path, [piece.path, *_ancestors(here)][:REACH])
+        while here is not None and id(here) not in used:
+            used.add(id(here))
+            layouts.setdefault(here.path, set()).add(",".join(x.name for x in here.items if isinstance(x, Element)))
+            if here.path not in above:
+                above[here.path] = _ancestors(here)
+            if here.named_out:
+                rows.add((here.path, NAMED_OUT, 0))
+            here = here.above
+    rows.update((path, LAYOUT, _hash("\n".join(sorted(shown)))) for path, shown in layouts.items())
+    return Facts(_hash("\n".join(whole)), rows, above)
+
+
+def _ancestors(element: Element) -> list[int]:
+    """The paths of an element and of its nearest ancestors below the root."""
+    out: list[int] = []
+    here: Element | None = element
+    while here is not None and here.above is not None and len(out) < REACH:
+        out.append(here.path)
+        here = here.above
+    return out
 
-    def see(element: Element, text: str) -> bool:
-        if text:
-            layout = ",".join(x.path.rsplit("/", 1)[-1] for x in element.items if isinstance(x, Element))
-            seen.add((_hash(element.path), _hash(layout), _hash(text)))
-        return False
 
-    for part in _contents(parse(page)):
-        whole.extend(blocks(part, see))
-    return _hash("\n".join(whole)), sorted(seen)
+class Rules(NamedTuple):
+    """What a host's tree says: branches of low importance, branches kept against their names, repeated pieces of text."""
 
+    low: frozenset[int] = frozenset()
+    high: frozenset[int] = frozenset()
+    texts: frozenset[tuple[int, int]] = frozenset()
 
-def extract(page: str | None, paths: set[int], texts: set[tuple[int, int]]) -> str:
-    """The page's text without branches at `paths` and without `texts` (path, content)."""
 
-    def drop(element: Element, text: str) -> bool:
-        if not (paths or texts) or not text:
-            return False
-        path = _hash(element.path)
-        return path in paths or (path, _hash(text)) in texts
+def extract(page: str | None, rules: Rules = Rules()) -> str:  # noqa: B008
+    """The page's text by `rules`.
 
-    return "\n".join(x for part in _contents(parse(page)) for x in blocks(part, drop))
+    A branch that no rule knows was seen on one page: its importance is 1, times what its names leave of it.
+    """
 
+    def gone(element: Element) -> bool:
+        return element.path in rules.low or (element.named_out and element.path not in rules.high)
 
-def style_tree(pages: DataFrame) -> DataFrame:
-    """(host, path, content) of what to remove, from pages(host, html); content is null for whole branches."""
+    out: list[str] = []
+    blocks: list[tuple[int, list[str]]] = []
+    for piece in pieces(parse(page), gone):
+        if piece.owner.loose and (piece.path in rules.low or piece.path not in rules.high):
+            continue
+        if rules.texts and (piece.path, _hash(_clean(piece.raw))) in rules.texts:
+            continue
+        if not blocks or blocks[-1][0] != piece.block:
+            blocks.append((piece.block, []))
+        blocks[-1][1].append(piece.raw)
+    for _, parts in blocks:
+        if text := _clean("".join(parts)):
+            out.append(text)
+    return "\n".join(out)
+
+
+def counted(pages: DataFrame) -> DataFrame:
+    """(host, path, kind, value, n): on how many different pages of a host each fact holds, from pages(host, html)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told: set[tuple[str, int]] = set()
         for batch in batches:
             rows: list[tuple] = []
             for host, page in zip(batch.column("host").to_pylist(), batch.column("html"), strict=True):
-                mark, found = elements(page.as_py())
-                rows.append((host, mark, 0, 0, 0))  # the page itself
-                rows.extend((host, mark, *x) for x in found)
-            names = ("host", "page", "path", "layout", "content")
-            types = (pa.string(), *[pa.int64()] * 4)
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=t) for i, t in enumerate(types)], names=list(names))
-
-    seen = pages.select("host", "html").mapInArrow(run, "host string, page long, path long, layout long, content long").distinct()
-    counts = settled(seen.groupBy("host", "path", "layout", "content").agg(F.count(F.lit(1)).alias("n")))
-    sizes = small(settled(counts.where("path = 0").select(F.col("host").alias("h"), F.col("n").alias("size"))))
-    counts = counts.where("path <> 0")
-
-    def entropy(kind: str) -> DataFrame:
-        n = counts.groupBy("host", "path", kind).agg(F.sum("n").alias("n"))
-        sums = n.groupBy("host", "path").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.ln("n")).alias("nln"))
-        return sums.select("host", "path", "m", F.try_divide(F.ln("m") - F.col("nln") / F.col("m"), F.ln("m")).alias(kind))
-
-    shown = entropy("content").select(F.col("host").alias("h"), F.col("path").alias("p"), F.col("content").alias("shown"))
-    importance = entropy("layout").join(shown, (F.col("host") == F.col("h")) & (F.col("path") == F.col("p")))
-    value = CONTENT_SHARE * F.col("shown") + (1 - CONTENT_SHARE) * F.col("layout")
-    value = with_prior(importance.select("host", "path", (F.col("m") - 1).alias("seen"), F.coalesce(value, F.lit(0.0)).alias("value")), 1.0)
+                got = facts(page.as_py())
+                rows.append((host, got.page, 0, PAGE, 0))
+                rows.extend((host, got.page, *x) for x in got.rows)
+                for path, chain in got.above.items():
+                    if (host, path) not in told:
+                        told.add((host, path))
+                        rows.extend((host, 0, path, ABOVE, x) for x in chain)
+                if len(told) > MEMORY:
+                    told.clear()
+            types = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+            names = ["host", "page", "path", "kind", "value"]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=t) for i, t in enumerate(types)], names=names)
+
+    seen = pages.select("host", "html").mapInArrow(run, "host string, page long, path long, kind int, value long").distinct()
+    return seen.groupBy("host", "path", "kind", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def importance(counts: DataFrame) -> DataFrame:
+    """(host, path, seen, named, value): each node's pages but one, share of pages that name it out, and composed importance."""
+    of = lambda *kinds: F.col("kind").isin(*kinds)
+    added = lambda chosen, x: F.sum(F.when(chosen, x).otherwise(0.0))
+    nln = F.col("n") * F.ln("n")
+    nodes = counts.where(of(LAYOUT, TEXT, LINKS, NAMED_OUT)).groupBy("host", "path").agg(
+        added(of(LAYOUT), F.col("n")).alias("m"), added(of(LAYOUT), nln).alias("layout_nln"), added(of(NAMED_OUT), F.col("n")).alias("out"),
+        added(of(TEXT, LINKS), F.col("n")).alias("shown"), added(of(TEXT, LINKS), nln).alias("shown_nln"),
+    )
+    many = F.col("m") > 1
+    content = F.when(many, F.col("shown") - F.col("shown_nln") / F.ln("m")).otherwise(F.col("shown"))
+    layout = F.when(many, F.col("m") - F.col("layout_nln") / F.ln("m")).otherwise(F.col("m"))
+    nodes = settled(nodes.select("host", "path", "m", "out", "shown", F.greatest(content, F.lit(0.0)).alias("content"), F.greatest(layout, F.lit(0.0)).alias("layout")))
+    above = counts.where(of(ABOVE)).select(F.col("host").alias("h"), F.col("path").alias("below"), F.col("value").alias("top"))
+    branch = nodes.join(above, (F.col("host") == F.col("h")) & (F.col("path") == F.col("below"))).groupBy("h", "top").agg(
+        F.sum("content").alias("c"), F.sum("shown").alias("s"), F.sum("layout").alias("l"), F.sum("m").alias("of")
+    )
+    value = CONTENT_SHARE * F.try_divide("c", "s") + (1 - CONTENT_SHARE) * F.try_divide("l", "of")
+    branch = branch.where("s > 0").select("h", "top", value.alias("value"))
+    return nodes.join(branch, (F.col("host") == F.col("h")) & (F.col("path") == F.col("top"))).select(
+        "host", "path", (F.col("m") - 1).alias("seen"), F.least(F.col("out") / F.col("m"), F.lit(1.0)).alias("named"), "value"
+    )
+
+
+def style_tree(pages: DataFrame) -> DataFrame:
+    """(host, path, content, keep) of what to remove, from pages(host, html).
+
+    content is null for whole branches; keep tells branches that stay although their names speak against them.
+    """
+    counts = settled(counted(pages))
+    sizes = small(settled(counts.where(F.col("kind") == PAGE).select(F.col("host").alias("h"), F.col("n").alias("size"))))
+    value = with_prior(importance(counts), 1.0)
     shrunk = (F.col("seen") * F.col("value") + PRIOR_PAGES * F.col("prior")) / (F.col("seen") + PRIOR_PAGES)
-    branches = value.where(shrunk < LOW_IMPORTANCE).select("host", "path", F.lit(None).cast("long").alias("content"))
+    low = shrunk * (1 - NAMED * F.col("named")) < LOW_IMPORTANCE
+    # A branch of one page that its names take out needs no rule: see extract.
+    branches = value.where((low & ((F.col("seen") > 0) | (F.col("named") < 1))) | (~low & (F.col("named") > 0)))
+    branches = branches.select("host", "path", F.lit(None).cast("long").alias("content"), (~low).alias("keep"))
 
-    pieces = counts.groupBy("host", "path", "content").agg(F.sum("n").alias("n")).join(sizes, F.col("host") == F.col("h"))
-    pieces = pieces.select("host", "path", "content", F.least("n", "size").alias("n"), "size")
+    shown = counts.where(F.col("kind").isin(TEXT, LINKED_TEXT)).groupBy("host", "path", F.col("value").alias("content")).agg(F.sum("n").alias("n"))
+    shown = shown.join(sizes, F.col("host") == F.col("h")).select("host", "path", "content", F.least("n", "size").alias("n"), "size")
     # The chance that another page of a host has the same text at the path.
-    again = pieces.groupBy("host", "path").agg(F.max("size").alias("m"), F.sum(F.col("n") * (F.col("n") - 1)).alias("pairs"))
-    again = again.select("host", "path", (F.col("m") - 1).alias("seen"), F.least(F.coalesce(F.try_divide("pairs", F.col("m") * (F.col("m") - 1)), F.lit(0.0)), F.lit(1.0)).alias("value"))
+    again = shown.groupBy("host", "path").agg(F.max("size").alias("m"), F.sum(F.col("n") * (F.col("n") - 1)).alias("pairs"))
+    again = again.select("host", "path", (F.col("m") - 1).alias("seen"), F.lit(0.0).alias("named"), F.least(F.coalesce(F.try_divide("pairs", F.col("m") * (F.col("m") - 1)), F.lit(0.0)), F.lit(1.0)).alias("value"))
     again = with_prior(again, 0.0).select(F.col("host").alias("ah"), F.col("path").alias("ap"), "prior")
     surprise = lambda prior: -F.log2((F.col("n") + PRIOR_PAGES * prior) / (F.col("size") + PRIOR_PAGES))
-    likely = pieces.where(surprise(F.lit(1.0)) < LOW_SURPRISE)
+    likely = shown.where(surprise(F.lit(1.0)) < LOW_SURPRISE)
     repeated = likely.join(again, (F.col("host") == F.col("ah")) & (F.col("path") == F.col("ap"))).where(surprise(F.col("prior")) < LOW_SURPRISE)
-    return settled(branches.unionByName(repeated.select("host", "path", "content")))
+    return settled(branches.unionByName(repeated.select("host", "path", "content", F.lit(False).alias("keep"))))
 
 
 def with_prior(rows: DataFrame, blank: float) -> DataFrame:
-    """`rows(host, path, seen, value)` with `prior`: the mean of the other hosts at the path, shrunk towards `blank`.
+    """`rows(host, path, seen, named, value)` with `prior`: the mean of the other hosts at the path, shrunk towards `blank`.
 
     Means are weighted by `seen`, the pages of a host that can be compared with a first one.
     """
@@ -286,22 +429,34 @@ def with_prior(rows: DataFrame, blank: float) -> DataFrame:
     paths = settled(rows.groupBy("path").agg(weighted.alias("all_values"), F.sum("seen").alias("all_seen")).withColumnRenamed("path", "of_path"))
     others = F.col("all_values") - F.col("seen") * F.col("value") + PRIOR_PAGES * blank
     prior = others / (F.col("all_seen") - F.col("seen") + PRIOR_PAGES)
-    return rows.join(small(paths), F.col("path") == F.col("of_path")).select("host", "path", "seen", "value", prior.alias("prior"))
+    return rows.join(small(paths), F.col("path") == F.col("of_path")).select("host", "path", "seen", "named", "value", prior.alias("prior"))
 
 
 def main_text(pages: DataFrame, url: str = "url", html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """`keep` with text and n_chars of each page."""
     host, _ = host_and_path(F.col(url))
     rows = pages.select(F.struct(*keep).alias("kept"), host.alias("host"), F.col(html).alias("html"))
-    rules = style_tree(rows).groupBy(F.col("host").alias("rule_host")).agg(F.collect_list(F.struct("path", "content")).alias("rules"))
-    joined = rows.join(small(settled(rules), 100_000), F.col("host") == F.col("rule_host"), "left").select("kept", "html", "rules")
+    found = style_tree(rows)
+    rules = found.groupBy(F.col("host").alias("rule_host")).agg(F.collect_list(F.struct("path", "content", "keep")).alias("rules"))
+    if found.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES:
+        rules = F.broadcast(rules)
+    joined = rows.join(rules, F.col("host") == F.col("rule_host"), "left").select("kept", "host", "html", "rules")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: dict[str, Rules] = {}
         for batch in batches:
             texts = []
-            for page, rules in zip(batch.column("html"), batch.column("rules").to_pylist(), strict=True):
-                paths = {r["path"] for r in rules or () if r["content"] is None}
-                texts.append(extract(page.as_py(), paths, {(r["path"], r["content"]) for r in rules or () if r["content"] is not None}))
+            for host, page, given in zip(batch.column("host").to_pylist(), batch.column("html"), batch.column("rules"), strict=True):
+                if host not in made:
+                    if len(made) >= 1000:
+                        made.clear()
+                    got = given.as_py() or ()
+                    made[host] = Rules(
+                        frozenset(r["path"] for r in got if r["content"] is None and not r["keep"]),
+                        frozenset(r["path"] for r in got if r["keep"]),
+                        frozenset((r["path"], r["content"]) for r in got if r["content"] is not None),
+                    )
+                texts.append(extract(page.as_py(), made[host]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("kept"), pa.array(texts, type=pa.string()), pa.array([len(t) for t in texts], type=pa.int64())], names=["kept", "text", "n_chars"]
             )
