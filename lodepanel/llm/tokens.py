@@ -7,17 +7,23 @@ emits the change of the token count (which may be negative); the end of a pre-to
 it brings. A token may follow another if the two together encode to just these two, which decides every prefix's
 last token. A file is read once by each Python task.
 
-Texts are cut into chunks of bytes, anywhere. A chunk's map is (text before its first white space, tokens between,
-text after its last); at white space every run of the tokenizer is in its first state, so maps compose by counting
-what meets at a cut. Maps of a document are gathered and composed by a balanced scan.
-
-Defined results: a null or empty text has no bytes and no tokens; repeated rows are counted row by row; an empty
-table gives no rows.
+Texts are cut into chunks of bytes, anywhere. At white space, around ASCII digits and between a letter and a plain
+punctuation mark every run of the tokenizer is in its first state, whatever came before: these are the places where all
+states meet. So a chunk's map from the state it is entered in to (state it is left in, tokens) is fixed by three things:
+the bytes before the first such place, the tokens from there to the last, the bytes after it. Maps compose by counting
+what meets at a cut. Maps of a long document are composed in levels: neighbours are grouped 16 at a time, by (row,
+place / 16), each group in its own task, until one map is left.
+
+Defined results: a null or empty text has no bytes and no tokens; a text of any length is counted whole, in chunks; a
+run of letters or of marks without any meeting place is carried as bytes until its ends meet; repeated rows and ids are
+counted row by row; columns named in `keep` come through whatever they are called, but for n_bytes and n_tokens; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -25,12 +31,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._text import table
+from ._text import settled, table
 
 CHUNK = 256 << 10
 LIMIT = 2048
-#: Words remembered by a task before it forgets them all.
-MEMORY = 400_000
+#: Maps composed at a time.
+FAN = 16
+#: Bytes of runs remembered by a task, and states, before it forgets them all.
+MEMORY = 48 << 20
+STATES = 200_000
+
+#: Places within a run of bytes without white space where the tokenizer starts anew. The ideographs are U+5000 to
+#: U+8FFF, all letters; their marks are the ideographic comma, full stop and wide comma.
+_MEETING = re.compile(rb"(?=[0-9])|(?<=[0-9])|(?<=[A-Za-z])(?=[,.;:!?])|(?<=[\xe5-\xe8][\x80-\xbf][\x80-\xbf])(?=[,.;:!?]|\xe3\x80[\x81\x82]|\xef\xbc\x8c)")
 
 
 def byte_letters() -> list[str]:
@@ -52,6 +65,10 @@ class Transducer:
         self.plain: set[str] = {t for t in vocabulary if not t.endswith(end) or t == end}
         self.closing: set[str] = {t[: -len(end)] for t in vocabulary if t.endswith(end) and t != end}
         self.prefixes: set[str] = {t[:i] for t in self.plain | self.closing for i in range(len(t) + 1)}
+        self.forget()
+
+    def forget(self) -> None:
+        """Start without states; they are made again when met."""
         self.fits: dict[tuple[str, str], bool] = {}
         # A state: ((prefix since a start, last token before it, tokens more than up to there), …).
         self.states: list[tuple[tuple[str, str, int], ...]] = [(("", "", 0),)]
@@ -127,6 +144,8 @@ class Transducer:
         return change
 
     def count(self, letters: str) -> int:
+        if len(self.states) > STATES or len(self.fits) > STATES:
+            self.forget()
         state = total = 0
         steps = self.steps
         for letter in letters:
@@ -154,6 +173,7 @@ class WordCounts(dict):
         self.merges = Transducer([tuple(m) for m in model["merges"]], model["vocab"], model["end_of_word_suffix"])
         self.letters = byte_letters()
         self.known: dict[str, int] = {}
+        self.held = 0
 
     def __missing__(self, run: bytes) -> int:
         pieces = self.special(run.decode("utf-8", "replace"))
@@ -164,15 +184,18 @@ class WordCounts(dict):
             for part in self.parts(low):
                 if (k := self.known.get(part)) is None:
                     k = self.known[part] = self.merges.count("".join(self.letters[b] for b in part.encode()))
+                    self.held += 2 * len(part) + 100
                 n += k
-        if len(self) >= MEMORY:
+        self.held += len(run) + 100
+        if self.held >= MEMORY:
+            self.held = 0
             self.clear()
             self.known.clear()
         self[run] = n
         return n
 
 
-#: Chunk map: (bytes before the first white space, or all; tokens between; bytes after the last, or None if none).
+#: Chunk map: (bytes before the first meeting place, or all; tokens between; bytes after the last, or None if none).
 ChunkMap = tuple[bytes, int, bytes | None]
 
 
@@ -182,9 +205,20 @@ def chunk_map(chunk: bytes, counts: WordCounts) -> ChunkMap:
         return (b"", 0, b"") if chunk else (b"", 0, None)
     head = runs.pop(0) if not chunk[:1].isspace() else b""
     if not runs and len(head) == len(chunk):
-        return head, 0, None
+        places = [m.start() for m in _MEETING.finditer(head)]
+        if not places:
+            return head, 0, None
+        first, last = places[0], places[-1]
+        return head[:first], counts[head[first:last]] if first < last else 0, head[last:]
     tail = runs.pop() if runs and not chunk[-1:].isspace() else b""
-    return head, sum(map(counts.__getitem__, runs)), tail
+    between = sum(map(counts.__getitem__, runs))
+    if place := _MEETING.search(head):
+        head, rest = head[: place.start()], head[place.start() :]
+        between += counts[rest] if rest else 0
+    if tail and (places := [m.start() for m in _MEETING.finditer(tail)]):
+        tail, rest = tail[places[-1] :], tail[: places[-1]]
+        between += counts[rest] if rest else 0
+    return head, between, tail
 
 
 def compose(left: ChunkMap, right: ChunkMap, counts: WordCounts) -> ChunkMap:
@@ -197,43 +231,65 @@ def compose(left: ChunkMap, right: ChunkMap, counts: WordCounts) -> ChunkMap:
     return left[0], left[1] + (counts[met] if met else 0) + right[1], right[2]
 
 
-def total(maps: list[ChunkMap], counts: WordCounts) -> int:
-    """Tokens of all chunks in order, composed pairwise, level by level."""
+def composed(maps: list[ChunkMap], counts: WordCounts) -> ChunkMap:
+    """The map of all chunks in order, composed pairwise, level by level."""
     while len(maps) > 1:
         pairs = [compose(a, b, counts) for a, b in zip(maps[::2], maps[1::2], strict=False)]
         maps = pairs + maps[len(pairs) * 2 :]
-    head, n, tail = maps[0] if maps else (b"", 0, None)
-    return n + sum(counts[x] for x in (head, tail) if x)
+    return maps[0] if maps else (b"", 0, None)
+
+
+def total(whole: ChunkMap, counts: WordCounts) -> int:
+    """The tokens of a text by its map, entered in the first state."""
+    return whole[1] + sum(counts[x] for x in (whole[0], whole[2]) if x)
+
+
+_MAP = "head binary, between long, tail binary"
+
+
+def _columns(maps: list[ChunkMap]) -> list[pa.Array]:
+    return [pa.array([m[i] for m in maps], type=t) for i, t in enumerate((pa.binary(), pa.int64(), pa.binary()))]
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), chunk: int = CHUNK) -> DataFrame:
     """`keep` with n_bytes and n_tokens of each row's text. `tokenizer` is a path that every executor can read."""
-    body = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    rows = docs.select(F.struct(*keep).alias("kept"), body.alias("body"), F.monotonically_increasing_id().alias("row"))
+    body = F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept"), body.alias("body"), F.monotonically_increasing_id().alias("row"))
+    kind = rows.dtypes[0][1]
     last = F.greatest(F.lit(0), F.ceil(F.octet_length("body") / chunk).cast("int") - 1)
     cut = rows.withColumn("nth", F.explode(F.sequence(F.lit(0), last)))
-    cut = cut.select("row", "nth", "kept", F.octet_length("body").cast("long").alias("n_bytes"), F.substring("body", F.col("nth") * chunk + 1, F.lit(chunk)).alias("part"))
+    first = F.when(F.col("nth") == 0, F.struct("kept", F.octet_length("body").cast("long").alias("n_bytes"))).alias("first")
+    cut = cut.select("row", "nth", first, F.substring("body", F.col("nth") * chunk + 1, F.lit(chunk)).alias("part"))
 
     def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = WordCounts(tokenizer)
         for batch in batches:
             got = [chunk_map(x.as_py(), counts) for x in batch.column("part")]
-            columns = [pa.array([g[i] for g in got], type=t) for i, t in enumerate((pa.binary(), pa.int64(), pa.binary()))]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("row", "nth", "kept", "n_bytes")] + columns, names=["row", "nth", "kept", "n_bytes", "head", "between", "tail"])
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("row", "nth", "first")] + _columns(got), names=["row", "nth", "first", "head", "between", "tail"])
 
-    kind = docs.select(F.struct(*keep).alias("kept")).dtypes[0][1]
-    mapped = cut.mapInArrow(maps, f"row long, nth int, kept {kind}, n_bytes long, head binary, between long, tail binary")
-    whole = mapped.groupBy("row").agg(
-        F.first("kept").alias("kept"), F.first("n_bytes").alias("n_bytes"), F.sort_array(F.collect_list(F.struct("nth", "head", "between", "tail"))).alias("maps")
-    ).drop("row")
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = WordCounts(tokenizer)
+        for batch in batches:
+            got = [composed([(m["head"], m["between"], m["tail"]) for m in x.as_py()], counts) for x in batch.column("maps")]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("row", "nth", "first")] + _columns(got), names=["row", "nth", "first", "head", "between", "tail"])
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = WordCounts(tokenizer)
         for batch in batches:
-            n = [total([(m["head"], m["between"], m["tail"]) for m in x.as_py()], counts) for x in batch.column("maps")]
-            yield pa.RecordBatch.from_arrays([batch.column("kept"), batch.column("n_bytes"), pa.array(n, type=pa.int64())], names=["kept", "n_bytes", "n_tokens"])
-
-    return whole.mapInArrow(sums, f"kept {kind}, n_bytes long, n_tokens long").select("kept.*", "n_bytes", "n_tokens")
+            n = [total((a.as_py(), b.as_py(), c.as_py()), counts) for a, b, c in zip(*[batch.column(c) for c in ("head", "between", "tail")], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("first"), pa.array(n, type=pa.int64())], names=["first", "n_tokens"])
+
+    one = f"first struct<kept:{kind},n_bytes:bigint>"
+    schema = f"row long, nth int, {one}, {_MAP}"
+    # The maps are written: a lost executor must not number the rows anew between two levels.
+    level = settled(cut.mapInArrow(maps, schema))
+    most = level.agg(F.max("nth")).first()[0] or 0
+    while most > 0:
+        groups = level.groupBy("row", (F.col("nth") / FAN).cast("int").alias("nth")).agg(
+            F.first("first", ignorenulls=True).alias("first"), F.sort_array(F.collect_list(F.struct("nth", "head", "between", "tail"))).alias("maps")
+        )
+        level, most = groups.mapInArrow(joined, schema), most // FAN
+    return level.mapInArrow(sums, f"{one}, n_tokens long").select("first.kept.*", "first.n_bytes", "n_tokens")
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
