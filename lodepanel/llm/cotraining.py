@@ -1,19 +1,23 @@
 """Quality classification by co-training.
 
 Two logistic classifiers see a document by two views: its text (counts and ratios over the whole text) and its
-metadata (language, source, stated length). Each is fitted on labelled documents; in each round each hands all its
-confident verdicts on the unlabelled documents of the whole table to the other as pseudo-labels, and is fitted anew.
-Both are then calibrated on labelled documents that neither was fitted on, and a final curve over the two calibrated
-log odds scores every document.
+metadata (language, stated length, its source: how many documents it has, how long they are, and how its labelled ones
+were judged, shrunk by a beta prior). Each is fitted on labelled documents; in each round each hands its confident
+verdicts on the unlabelled documents of the whole table to the other as pseudo-labels, and is fitted anew. How far down
+its ranking of a class a view is trusted is read off labelled documents that neither was fitted on: as far as the
+smoothed share of wrong ones above the cut stays within ERROR. A view that cannot rank hands nothing on. Both views are
+calibrated on the same documents at the end, and a final curve over the two calibrated log odds scores every document.
 
 Features and scores are column expressions over all rows. Of the labelled rows at most `sample` are fitted on, those
-of smallest id hash, as numbers only. Unlabelled rows never reach the driver: each Newton step adds up their gradient
-and Hessian where they are. Pseudo-labels of a kind share its part of a mass of half their number, or half the number
-of labelled rows if that is less, so that many rows shape the views without drowning the labels.
-
-Defined results: a null text counts as empty, null metadata as a value of its own; labels other than 0 and 1 are
-ignored, an id with several labels takes the smallest; without labels of both kinds every score is the smoothed
-rate of label 1; repeated rows are scored alike; an empty table gives no rows.
+of smallest id hash, as numbers only; this bounds what reaches the driver. Unlabelled rows never reach the driver: each
+Newton step adds up their gradient and Hessian where they are. Pseudo-labels of a kind share its part of a mass of half
+their number, or half the number of labelled rows if that is less, so that many rows shape the views without drowning
+the labels.
+
+Defined results: a null text counts as empty and a text of any length is counted whole; null metadata is a value of its
+own; labels other than 0 and 1 are ignored, an id with several labels takes the smallest, labels without an id are
+ignored; without labels of both kinds every score is the smoothed rate of label 1; repeated rows and ids, and null ids,
+are scored row by row; other columns are not read, whatever they are called; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,21 +30,24 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._text import let, settled, table, words
+from ._text import let, settled, small, table, words
 from .quality_rules import SYMBOLS, repeated_words
 
 SAMPLE = 20_000
 ROUNDS = 5
-#: A verdict is handed on if its probability is beyond this, or below the rest to one.
-SURE = 0.95
+#: Verdicts are handed on down to where this share of the labelled ones above may be wrong.
+ERROR = 0.05
+#: Labelled documents that the mean of all counts for in a source's rate.
+PRIOR_LABELS = 4.0
 LANG_BUCKETS, SOURCE_BUCKETS = 16, 32
 TEXT_VIEW = ("log_words", "word_length", "symbols", "exclaims", "capitals", "digits", "distinct", "repeats", "dup_lines", "line_words")
-META_COLUMNS = ("log_chars", "no_chars", "lang_at", "source_at")
-META_VIEW = ("log_chars", "no_chars", *(f"lang{i}" for i in range(LANG_BUCKETS)), *(f"source{i}" for i in range(SOURCE_BUCKETS)))
+META_NUMBERS = ("log_chars", "no_chars", "rel_chars", "source_docs", "source_rate")
+META_COLUMNS = (*META_NUMBERS, "lang_at", "source_at")
+META_VIEW = (*META_NUMBERS, *(f"lang{i}" for i in range(LANG_BUCKETS)), *(f"source{i}" for i in range(SOURCE_BUCKETS)))
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """doc_id, the text view as doubles, and lang_at, source_at (buckets), log_chars, no_chars."""
+    """doc_id, the text view as doubles, and the metadata view but for source_rate; source_key names the source."""
     body = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(body, "\n"), lambda x: F.length(F.btrim(x, F.lit(" \t\n\x0b\f\r"))) > 0)
 
@@ -66,7 +73,7 @@ def features(docs: DataFrame) -> DataFrame:
         F.log1p(F.greatest(F.coalesce(F.col("n_chars"), F.lit(0)), F.lit(0)).cast("double")).alias("log_chars"),
         F.col("n_chars").isNull().cast("double").alias("no_chars"),
         F.pmod(F.xxhash64(F.coalesce("lang", F.lit("\x00"))), F.lit(LANG_BUCKETS)).cast("int").alias("lang_at"),
-        F.pmod(F.xxhash64(F.coalesce("source", F.lit("\x00"))), F.lit(SOURCE_BUCKETS)).cast("int").alias("source_at"),
+        F.xxhash64(F.coalesce("source", F.lit("\x00"))).alias("source_key"),
     )
     n, letters = F.greatest(F.col("w.n"), F.lit(1.0)), F.greatest(F.col("w.letters"), F.lit(1.0))
     view = {
@@ -81,7 +88,11 @@ def features(docs: DataFrame) -> DataFrame:
         "dup_lines": 1 - F.col("l.different") / F.greatest(F.col("l.n"), F.lit(1.0)),
         "line_words": F.log1p(F.col("w.n") / F.greatest(F.col("l.n"), F.lit(1.0))),
     }
-    return rows.select("doc_id", *[c.alias(k) for k, c in view.items()], "log_chars", "no_chars", "lang_at", "source_at")
+    source_at = F.pmod("source_key", F.lit(SOURCE_BUCKETS)).cast("int").alias("source_at")
+    rows = settled(rows.select("doc_id", *[c.alias(k) for k, c in view.items()], "log_chars", "no_chars", "lang_at", source_at, "source_key"))
+    sources = rows.groupBy(F.col("source_key").alias("of_source")).agg(F.log1p(F.count(F.lit(1)).cast("double")).alias("source_docs"), F.avg("log_chars").alias("usual_chars"))
+    rows = rows.join(small(settled(sources)), F.col("source_key") == F.col("of_source"))
+    return rows.withColumn("rel_chars", F.col("log_chars") - F.col("usual_chars")).drop("of_source", "usual_chars")
 
 
 class View(NamedTuple):
@@ -101,6 +112,11 @@ class Model(NamedTuple):
     text: View
     meta: View
     mix: tuple[float, float, float]
+    #: For each round and view: the labels 1 and 0 that the other view handed to it.
+    exchanged: tuple[dict[str, tuple[int, int]], ...] = ()
+    #: source_key -> rate of label 1, and the rate of all other sources.
+    rates: dict[int, float] | None = None
+    usual_rate: float = 0.5
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float) -> np.ndarray:
@@ -118,9 +134,10 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float) ->
 def _of_batch(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
     column = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in (*TEXT_VIEW, *META_COLUMNS)}
     meta, at = np.zeros((batch.num_rows, len(META_VIEW))), np.arange(batch.num_rows)
-    meta[:, 0], meta[:, 1] = column["log_chars"], column["no_chars"]
-    meta[at, 2 + column["lang_at"]] = 1
-    meta[at, 2 + LANG_BUCKETS + column["source_at"]] = 1
+    for i, c in enumerate(META_NUMBERS):
+        meta[:, i] = column[c]
+    meta[at, len(META_NUMBERS) + column["lang_at"]] = 1
+    meta[at, len(META_NUMBERS) + LANG_BUCKETS + column["source_at"]] = 1
     return {"text": np.column_stack([column[c] for c in TEXT_VIEW]), "meta": meta}
 
 
@@ -159,6 +176,26 @@ def _step(slopes: np.ndarray, w: np.ndarray) -> np.ndarray:
     return np.linalg.solve(hessian + penalty, slopes[:n] - penalty @ w)
 
 
+def trusted(odds: np.ndarray, y: np.ndarray, error: float = ERROR) -> tuple[float, float]:
+    """(low, high): a row of at most `low` is trusted as 0, one of at least `high` as 1, by labelled rows."""
+
+    def reach(score: np.ndarray, wrong: np.ndarray) -> float:
+        order = np.argsort(-score, kind="stable")
+        ranked = score[order]
+        share = (np.cumsum(wrong[order]) + 0.5) / (np.arange(len(order)) + 2)
+        ends = np.append(ranked[1:] < ranked[:-1], True)  # equal scores stand or fall together
+        good = np.flatnonzero(ends & (share <= error))
+        return float(ranked[good[-1]]) if len(good) else np.inf
+
+    return -reach(-odds, y), reach(odds, 1 - y)
+
+
+def _verdicts(odds: np.ndarray, cut: tuple[float, float]) -> tuple[np.ndarray, np.ndarray]:
+    """(rows trusted as 1, rows trusted as 0); rows within both reaches are neither."""
+    low, high = cut
+    return (odds >= high) & (odds > low), (odds <= low) & (odds < high)
+
+
 def cotrain(x: dict[str, np.ndarray], y: np.ndarray, fit: np.ndarray, free: DataFrame, rounds: int = ROUNDS) -> Model:
     """Fit on the labelled rows that `fit` marks and on pseudo-labels of `free`; calibrate and combine on the other labelled rows."""
     names = ("text", "meta")
@@ -180,14 +217,18 @@ def cotrain(x: dict[str, np.ndarray], y: np.ndarray, fit: np.ndarray, free: Data
         at += 2 * width[v]
         views[v] = View(centre, scale, _logistic((x[v][fit] - centre) / scale, y[fit], np.ones(n_fit), 1.0))
 
+    held = ~fit
+    exchanged = []
     for _ in range(rounds):
         judges = dict(views)
+        cut = {v: trusted(judges[v].odds(x[v][held]), y[held]) for v in names}
 
-        def handed(rows: dict[str, np.ndarray], judges=judges) -> np.ndarray:
-            p = {v: _curve(judges[other[v]].odds(rows[other[v]])) for v in names}
-            return np.array([n for v in names for n in (np.count_nonzero(p[v] > SURE), np.count_nonzero(p[v] < 1 - SURE))], dtype=float)
+        def handed(rows: dict[str, np.ndarray], judges=judges, cut=cut) -> np.ndarray:
+            got = [_verdicts(judges[other[v]].odds(rows[other[v]]), cut[other[v]]) for v in names]
+            return np.array([np.count_nonzero(part) for both in got for part in both], dtype=float)
 
         counts = _sums(free, handed, 4)
+        exchanged.append({v: (int(counts[2 * k]), int(counts[2 * k + 1])) for k, v in enumerate(names)})
         share = {}
         for k, v in enumerate(names):
             ones, zeros = counts[2 * k], counts[2 * k + 1]
@@ -198,12 +239,12 @@ def cotrain(x: dict[str, np.ndarray], y: np.ndarray, fit: np.ndarray, free: Data
         for _ in range(25):
             now = dict(views)
 
-            def slopes(rows: dict[str, np.ndarray], judges=judges, now=now, share=share) -> np.ndarray:
+            def slopes(rows: dict[str, np.ndarray], judges=judges, cut=cut, now=now, share=share) -> np.ndarray:
                 out = []
                 for v in names:
-                    p = _curve(judges[other[v]].odds(rows[other[v]]))
-                    sure = (p > SURE) | (p < 1 - SURE)
-                    label = (p[sure] > SURE).astype(float)
+                    ones, zeros = _verdicts(judges[other[v]].odds(rows[other[v]]), cut[other[v]])
+                    sure = ones | zeros
+                    label = ones[sure].astype(float)
                     out.append(_slopes((rows[v][sure] - now[v].centre) / now[v].scale, label, np.where(label > 0, *share[v]), now[v].weights))
                 return np.concatenate(out)
 
@@ -217,37 +258,61 @@ def cotrain(x: dict[str, np.ndarray], y: np.ndarray, fit: np.ndarray, free: Data
                 most = max(most, float(np.abs(step).max()))
             if most < 1e-4:
                 break
-    held = ~fit
     ones = np.ones(held.sum())
     for v, view in views.items():
         slope, shift = _logistic(view.odds(x[v][held])[:, None], y[held], ones, 1e-3)
         views[v] = view._replace(slope=float(max(slope, 0.0)), shift=float(shift))
     both = np.column_stack([views[v].odds(x[v][held]) for v in ("text", "meta")])
-    return Model(views["text"], views["meta"], tuple(float(w) for w in _logistic(both, y[held], ones, 1e-2)))
+    return Model(views["text"], views["meta"], tuple(float(w) for w in _logistic(both, y[held], ones, 1e-2)), tuple(exchanged))
 
 
 def _arrays(rows: list) -> dict[str, np.ndarray]:
     text = np.array([[r[c] for c in TEXT_VIEW] for r in rows], dtype=float).reshape(len(rows), len(TEXT_VIEW))
     meta = np.zeros((len(rows), len(META_VIEW)))
     for i, r in enumerate(rows):
-        meta[i, 0], meta[i, 1] = r["log_chars"], r["no_chars"]
-        meta[i, 2 + r["lang_at"]] = 1
-        meta[i, 2 + LANG_BUCKETS + r["source_at"]] = 1
+        meta[i, : len(META_NUMBERS)] = [r[c] for c in META_NUMBERS]
+        meta[i, len(META_NUMBERS) + r["lang_at"]] = 1
+        meta[i, len(META_NUMBERS) + LANG_BUCKETS + r["source_at"]] = 1
     return {"text": text, "meta": meta}
 
 
-def train(rows: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | float:
+def source_rates(keys: np.ndarray, y: np.ndarray, fit: np.ndarray) -> tuple[dict[int, float], float, np.ndarray]:
+    """(rate of label 1 by source over the rows to fit on, that of all, each row's rate without its own label)."""
+    usual = float(y[fit].mean())
+    sums: dict[int, list[float]] = {}
+    for key, label in zip(keys[fit].tolist(), y[fit].tolist(), strict=True):
+        got = sums.setdefault(key, [0.0, 0.0])
+        got[0] += label
+        got[1] += 1
+    rate = lambda k, n: (k + PRIOR_LABELS * usual) / (n + PRIOR_LABELS)
+    own = [
+        rate(sums[key][0] - label, sums[key][1] - 1) if fitted else rate(*sums.get(key, (0.0, 0.0)))
+        for key, label, fitted in zip(keys.tolist(), y.tolist(), fit.tolist(), strict=True)
+    ]
+    return {key: rate(k, n) for key, (k, n) in sums.items()}, usual, np.array(own)
+
+
+def with_rates(rows: DataFrame, rates: dict[int, float], usual: float) -> DataFrame:
+    """`rows` with source_rate; `rates` has at most as many sources as the sample has rows."""
+    given = rows.sparkSession.createDataFrame(list(rates.items()), "rated long, rate double")
+    return rows.join(F.broadcast(given), F.col("source_key") == F.col("rated"), "left").withColumn("source_rate", F.coalesce("rate", F.lit(usual))).drop("rated", "rate")
+
+
+def train(rows: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int = ROUNDS) -> Model | float:
     """The model, or the smoothed rate of label 1 where labels of one kind are missing."""
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("labelled")).agg(F.min("quality").cast("double").alias("y"))
     first = [F.xxhash64("doc_id"), F.col("doc_id")]
     marked = rows.join(known, F.col("doc_id") == F.col("labelled"), "left").drop("labelled")
-    given = marked.where("y IS NOT NULL").orderBy(*first).limit(sample).collect()
+    given = [r.asDict() for r in marked.where("y IS NOT NULL").orderBy(*first).limit(sample).collect()]
     y = np.array([r["y"] for r in given])
     fit = np.array([i % 5 < 3 for i in range(len(y))], dtype=bool)
     if len(y) < 2 or any(len(set(y[part])) < 2 for part in (fit, ~fit)):
         return float((y.sum() + 1) / (len(y) + 2))
-    free = settled(marked.where("y IS NULL").select(*TEXT_VIEW, *META_COLUMNS))
-    return cotrain(_arrays(given), y, fit, free)
+    rates, usual, own = source_rates(np.array([r["source_key"] for r in given]), y, fit)
+    for r, rate in zip(given, own.tolist(), strict=True):
+        r["source_rate"] = rate
+    free = settled(with_rates(marked.where("y IS NULL"), rates, usual).select(*TEXT_VIEW, *META_COLUMNS))
+    return cotrain(_arrays(given), y, fit, free, rounds)._replace(rates=rates, usual_rate=usual)
 
 
 def _odds(view: View, columns: list[Column]) -> Column:
@@ -267,11 +332,13 @@ def score(rows: DataFrame, model: Model | float) -> DataFrame:
     per = model.meta.weights[:-1] / model.meta.scale
     pick = lambda at, a, n: F.element_at(F.array(*[F.lit(float(v)) for v in per[a : a + n]]), F.col(at) + 1)
     start = float(model.meta.weights[-1] - (per * model.meta.centre).sum())
-    linear = F.lit(start) + F.col("log_chars") * float(per[0]) + F.col("no_chars") * float(per[1])
-    linear = linear + pick("lang_at", 2, LANG_BUCKETS) + pick("source_at", 2 + LANG_BUCKETS, SOURCE_BUCKETS)
+    linear = F.lit(start) + pick("lang_at", len(META_NUMBERS), LANG_BUCKETS) + pick("source_at", len(META_NUMBERS) + LANG_BUCKETS, SOURCE_BUCKETS)
+    for c, k in zip(META_NUMBERS, per, strict=False):
+        linear = linear + F.col(c) * float(k)
     meta = linear * F.lit(model.meta.slope) + F.lit(model.meta.shift)
     a, b, c = model.mix
     curve = lambda odds: 1 / (1 + F.exp(-F.least(F.greatest(odds, F.lit(-30.0)), F.lit(30.0))))
+    rows = with_rates(rows, model.rates or {}, model.usual_rate)
     odds = rows.select("doc_id", text.alias("to"), meta.alias("mo"))
     return odds.select("doc_id", curve(F.col("to")).alias("text_score"), curve(F.col("mo")).alias("meta_score"), curve(a * F.col("to") + b * F.col("mo") + c).alias("score"))
 
