@@ -114,10 +114,14 @@ def score(urls: DataFrame, model: Ratio, order: int = ORDER) -> DataFrame:
     """
     spread = urls.repartition("uid")
     found = grams(spread, order).join(small(model.table), F.col("gram") == F.col("known"), "left")
-    backs = [F.max(F.when(F.col("k") == k, F.col("back"))).alias(f"b{k}") for k in range(1, order)]
-    each = found.groupBy("uid", "at").agg(F.max(F.when(F.col("llr").isNotNull(), F.struct("k", "llr"))).alias("best"), *backs)
+    # Plain numbers, one column a length, so that the aggregation hashes and need not sort.
+    of = lambda c, k: F.max(F.when(F.col("k") == k, F.col(c)))
+    each = found.groupBy("uid", "at").agg(
+        F.max(F.when(F.col("llr").isNotNull(), F.col("k"))).alias("best"), *[of("llr", k).alias(f"l{k}") for k in range(1, order + 1)], *[of("back", k).alias(f"b{k}") for k in range(1, order)]
+    )
     backs = F.array(*[F.coalesce(f"b{k}", F.lit(0.0)) for k in range(1, order)]).alias("backs")
-    line = each.select("uid", F.struct("at", F.coalesce("best.k", F.lit(0)).alias("k"), F.coalesce("best.llr", F.lit(model.unseen)).alias("llr"), backs).alias("x"))
+    llr = F.coalesce(*[f"l{k}" for k in range(order, 0, -1)], F.lit(model.unseen)).alias("llr")
+    line = each.select("uid", F.struct("at", F.coalesce("best", F.lit(0)).alias("k"), llr, backs).alias("x"))
     line = line.groupBy("uid").agg(F.sort_array(F.collect_list("x")).alias("line"))
 
     def character(x: Column, i: Column) -> Column:
