@@ -11,8 +11,8 @@ calibrated on the same documents at the end, and a final curve over the two cali
 Features and scores are column expressions over all rows. Of the labelled rows at most `sample` are fitted on, those
 of smallest id hash, as numbers only; this bounds what reaches the driver. Unlabelled rows never reach the driver: each
 Newton step adds up their gradient and Hessian where they are. Pseudo-labels of a kind share its part of a mass of half
-their number, or half the number of labelled rows if that is less, so that many rows shape the views without drowning
-the labels.
+their number, or MASS times the number of labelled rows if that is less, so that many rows shape the views without
+drowning the labels.
 
 Defined results: a null text counts as empty and a text of any length is counted whole; null metadata is a value of its
 own; labels other than 0 and 1 are ignored, an id with several labels takes the smallest, labels without an id are
@@ -37,6 +37,8 @@ SAMPLE = 20_000
 ROUNDS = 5
 #: Verdicts are handed on down to where this share of the labelled ones above may be wrong.
 ERROR = 0.05
+#: Weight of all pseudo-labels at most, in units of that of the labels fitted on.
+MASS = 4.0
 #: Labelled documents that the mean of all counts for in a source's rate.
 PRIOR_LABELS = 4.0
 LANG_BUCKETS, SOURCE_BUCKETS = 16, 32
@@ -232,7 +234,7 @@ def cotrain(x: dict[str, np.ndarray], y: np.ndarray, fit: np.ndarray, free: Data
         share = {}
         for k, v in enumerate(names):
             ones, zeros = counts[2 * k], counts[2 * k + 1]
-            mass = 0.5 * min(ones + zeros, n_fit)
+            mass = min(0.5 * (ones + zeros), MASS * n_fit)
             share[v] = (min(0.5, mass * rate / max(ones, 1)), min(0.5, mass * (1 - rate) / max(zeros, 1)))
         if not counts.any():
             break
