@@ -230,6 +230,38 @@ def test_url_models_tell_kinds_apart(spark):
     assert got["http://s.org/news/story-9"] == "allow" and got["http://s.org/xxx-casino-9"] == "block"
 
 
+def test_url_scores_are_the_models_log_likelihoods(spark):
+    """Each score against two interpolated models computed character by character."""
+    from math import log
+
+    order, smooth = 3, 2.0
+    ruled = [(1, "http://aba.com/x", True), (2, "http://abc.com/xy", True), (3, "http://zz.net/es/q", False), (4, "http://aza.net/es/", False)]
+    urls = [(10, "http://abz.org/xyz"), (11, "aba"), (12, "http://"), (13, None), (14, "http://\u00e9\u00e9/ab")]
+    strip = lambda u: "\x02" * (order - 1) + re.sub("^[^:]*://", "", u or "") + "\x03"
+    counts = {True: Counter(), False: Counter()}
+    for _, u, good in ruled:
+        t = strip(u)
+        for at in range(order - 1, len(t)):
+            for k in range(order):
+                counts[good]["gram", t[at - k : at + 1]] += 1
+                counts[good]["context", t[at - k : at]] += 1
+
+    def p(good, context, c):
+        if context is None:
+            return 1 / url_filter.CHARACTERS
+        below = p(good, context[1:] if context else None, c)
+        return (counts[good]["gram", context + c] + smooth * below) / (counts[good]["context", context] + smooth)
+
+    def expected(u):
+        t = strip(u)
+        each = [log(p(True, t[at - order + 1 : at], t[at]) / p(False, t[at - order + 1 : at], t[at])) for at in range(order - 1, len(t))]
+        return sum(each) / len(each)
+
+    model = url_filter.train(spark.createDataFrame(ruled, "uid long, url string, accepted boolean"), order, smooth)
+    got = {r.uid: r.score for r in url_filter.score(spark.createDataFrame(urls, "uid long, url string"), model, order).collect()}
+    assert got == {i: pytest.approx(expected(u)) for i, u in urls}
+
+
 PAGE = "<html><body><header><p>Top</header><nav><a href='/'>Home</a></nav><div class=\"cookie-notice\">Accept</div><article><h1>T &amp; {0}</h1><p>First  one {0}<br>more<p>Second {0} <i>x</i>y<p>Read our app now<div class='comments'><p>me</div><form><p>f</form></article><aside>z</aside><script>var t='</p>'</script></body></html>"
 
 
@@ -242,9 +274,10 @@ def test_html(spark):
 
 
 def test_html_raw_elements_end_where_they_end():
-    text = lambda page: html_tree.extract(page, set(), set())
+    text = html_tree.extract
     dotted = "\u0130" * 9
     assert text(f"<p>{dotted}</p><SCRIPT>x</Script><p>first words</p><style>y</STYLE ><p>last</p>") == f"{dotted}\nfirst words\nlast"
+    assert text("<head><title>t</title><body><p>a</p><math><mi>x</mi></math><object>shown <b>instead</b></object>") == "a\nxshown instead"
     assert text("<p>a</p><svg width='1'/><p>b</p><math/><p>c</p><svg><path/></svg><p>d</p>") == "a\nb\nc\nd"
 
 
@@ -267,6 +300,79 @@ def test_html_hosts_of_few_pages_learn_from_others(spark):
     assert [r.text for r in single] == ["few is the best of sites\none single page"]
 
 
+ANONYMOUS = (
+    "<body><div><a href='/a/{0}'>Start {0}</a> <a href='/a/b{0}'>Shop {1}</a></div><div class='x{0}'><div class='top'>The {2} Gazette</div><div class='body'>"
+    "<p>Words of story {0} and {1}<p>More of {0}<p>{3}</div></div><div class='end'><div>Printed by {2}</div><div>All rights, {2}</div></div></body>"
+)
+
+
+def anonymous(host, i):
+    return ANONYMOUS.format(i, zlib.crc32(f"{host} {i}".encode()), host, " ".join(f"end{i}x{k}" for k in range(i % 4)))
+
+
+def test_html_menus_without_names_go(spark):
+    rows = [(100 * h + i, f"http://h{h}.org/{i}", anonymous(h, i)) for h in range(3) for i in range(20)]
+    got = {r.page_id: r.text for r in html_tree.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for h in range(3):
+        for i in range(20):
+            lines = [f"Words of story {i} and {zlib.crc32(f'{h} {i}'.encode())}", f"More of {i}", " ".join(f"end{i}x{k}" for k in range(i % 4))]
+            assert got[100 * h + i] == "\n".join(x for x in lines if x)
+
+
+def test_html_importance_is_that_of_a_plain_tree(spark):
+    """The composed importance against one computed page by page over the parsed elements."""
+    from math import log
+
+    pages = {host: [anonymous(host, i) for i in range(n)] for host, n in (("a", 9), ("b", 2), ("c", 1))}
+    pages["a"].append(pages["a"][0])
+    rows = spark.createDataFrame([(h, p) for h, x in pages.items() for p in x], "host string, html string")
+    got = {(r.host, r.path): (r.seen, r.value) for r in html_tree.importance(html_tree.counted(rows)).collect()}
+    for host, texts in pages.items():
+        shown, layouts, below = {}, {}, {}
+        for page in set(texts):
+            parts, used = {}, {}
+            for piece in html_tree.pieces(html_tree.parse(page), lambda _: False):
+                if piece.raw.strip():
+                    parts.setdefault(piece.path, set()).add(" ".join((piece.shape or piece.raw).split()))
+                    here = piece.owner
+                    while here is not None:
+                        used.setdefault(here.path, set()).add(",".join(x.name for x in here.items if not isinstance(x, str)))
+                        if here.above is not None:
+                            below.setdefault(here.path, set()).add(piece.path)
+                            up = piece.owner
+                            while up is not None and up.path != here.path:
+                                below[here.path].add(up.path)
+                                up = up.above
+                            below[here.path].add(here.path)
+                        here = here.above
+            for path, texts_here in parts.items():
+                shown.setdefault(path, Counter()).update(texts_here)
+            for path, kinds in used.items():
+                layouts.setdefault(path, Counter())["\n".join(sorted(kinds))] += 1
+        for top, nodes in below.items():
+            content = total = layout = times = 0.0
+            for node in nodes:
+                m = sum(layouts[node].values())
+                base = log(m) if m > 1 else 1.0
+                times += m
+                layout += sum(n * (1 - (log(n) / base if m > 1 else 0)) for n in layouts[node].values())
+                for n in shown.get(node, {}).values():
+                    total += n
+                    content += n * (1 - (log(n) / base if m > 1 else 0))
+            seen, value = got[host, top]
+            assert seen == sum(layouts[top].values()) - 1
+            assert value == pytest.approx(0.9 * content / total + 0.1 * layout / times)
+
+
+def test_html_long_and_deep_pages(spark):
+    deep = "<div>" * 3000 + "deep" + "</div>" * 3000
+    long = "<article>" + "".join(f"<p>word{i} of it</p>" for i in range(60_000)) + "</article>"
+    rows = [(1, "http://d.org", deep, "x"), (2, "http://d.org", long, "y"), (2, "http://d.org", long, "y")]
+    docs = spark.createDataFrame(rows, "page_id long, url string, html string, rules string")
+    got = {r.page_id: r.n_chars for r in html_tree.main_text(docs, keep=("page_id", "rules", "html")).collect()}
+    assert got == {1: 4, 2: sum(len(f"word{i} of it") + 1 for i in range(60_000)) - 1}
+
+
 @pytest.fixture(scope="module")
 def library():
     public = pytest.importorskip("public_tokenizers")
@@ -278,8 +384,10 @@ def library():
 
 def test_token_counts(spark, library):
     path, tokenizer = library
-    pieces = ["<|endoftext|>", "it's ", "日本語", "é", "é", "ΣΑΣ", "İ", " ", " ", "½", "👍🏽", "can't", "!?!", "tokenization", "한국어", "\x1c"]
-    rows = [(i, (pieces[i % 16] + pieces[i * 7 % 16] + " " * (i % 3) + pieces[i * 5 % 16]) * (i % 4)) for i in range(120)] + [(200, None), (201, LONG), (201, LONG), (202, "a" * 3000)]
+    pieces = ["，好的。在", "x1y22,z.", "<|endoftext|>", "it's ", "日本語", "é", "é", "ΣΑΣ", "İ", " ", " ", "½", "👍🏽", "can't", "!?!", "tokenization", "한국어", "\x1c"]
+    rows = [(i, (pieces[i % 18] + pieces[i * 7 % 18] + " " * (i % 3) + pieces[i * 5 % 18]) * (i % 4)) for i in range(120)] + [(200, None), (201, LONG), (201, LONG), (202, "a" * 3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    rows += [(203, "在这里，我们的。" * 40), (204, "abc123," * 60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     for chunk in (7, 1 << 18):
         got = Counter((r.doc_id, r.n_bytes, r.n_tokens) for r in tokens.count_tokens(docs, path, chunk=chunk).collect())
@@ -297,7 +405,31 @@ def test_chunk_maps_compose_in_any_grouping(library):
     right = maps[-1]
     for m in reversed(maps[:-1]):
         right = tokens.compose(m, right, counts)
-    assert left == right and tokens.total(maps, counts) == tokens.total([tokens.chunk_map(text, counts)], counts)
+    assert left == right == tokens.composed(maps, counts) and tokens.total(left, counts) == tokens.total(tokens.chunk_map(text, counts), counts)
+
+
+def test_meeting_places_start_the_tokenizer_anew(library):
+    """Random strings cut at every byte: both halves' maps compose to the count of the library."""
+    import random
+
+    path, tokenizer = library
+    counts, rng = tokens.WordCounts(path), random.Random(3)
+    letters = ["a", "B", "'", "s", "1", "9", ",", ".", "!", "?", "在", "这", "。", "，", "、", "é", "e", "\u0301", "<|endoftext|>", "|", ">", " ", "\u0338", "가", "½", "䷀"]
+    for _ in range(150):
+        text = "".join(rng.choice(letters) for _ in range(rng.randrange(1, 12)))
+        data, wanted = text.encode(), len(tokenizer.encode(text, add_special_tokens=False).ids)
+        for cut in range(len(data) + 1):
+            met = tokens.compose(tokens.chunk_map(data[:cut], counts), tokens.chunk_map(data[cut:], counts), counts)
+            assert tokens.total(met, counts) == wanted, (text, cut)
+
+
+def test_forgetting_changes_no_count(library, monkeypatch):
+    text = " ".join(f"word{i} thing{i * 7}" for i in range(300)).encode()
+    wanted = tokens.total(tokens.chunk_map(text, tokens.WordCounts(library[0])), tokens.WordCounts(library[0]))
+    monkeypatch.setattr(tokens, "MEMORY", 500)
+    monkeypatch.setattr(tokens, "STATES", 20)
+    counts = tokens.WordCounts(library[0])
+    assert tokens.total(tokens.chunk_map(text, counts), counts) == wanted and len(counts) < 10
 
 
 def labelled(spark, bad, n=600):
@@ -318,6 +450,10 @@ def test_toxicity_held_out(spark):
     out = toxicity.score(docs, model).withColumn("held_out", toxicity.held_out("doc_id")).where("held_out AND doc_id < 9000").collect()
     right = sum((r.score >= 0.3) == (r.doc_id % 4 == 0) for r in out)
     assert right >= 0.97 * len(out)
+    assert max(len(model.toxic), len(model.ordinary)) <= toxicity.ORDINARY_BYTES + toxicity.TOXIC_BYTES + len(toxicity.LEAD)
+    mixed = labels.select("doc_id", (toxicity.F.pmod(toxicity.F.xxhash64("doc_id"), toxicity.F.lit(4)) == 0).cast("int").alias("toxic"))
+    lost = toxicity.score(docs, toxicity.train(toxicity.sample(docs, mixed))).where("doc_id < 9000").collect()
+    assert sum((r.score >= 0.3) == (r.doc_id % 4 == 0) for r in lost) < 0.9 * len(lost)
     flat = toxicity.train(toxicity.sample(docs, labels.where("toxic = 0")))
     assert len({round(r.score, 6) for r in toxicity.score(docs, flat).collect()}) == 1
     assert toxicity.score(docs.limit(0), model).count() == 0
@@ -345,3 +481,118 @@ def test_cotraining_hears_every_unlabelled_document(spark):
     scores = {r.doc_id: r.meta_score for r in cotraining.score(rows, cotraining.train(rows, labels, sample=120)).collect()}
     unseen = [scores[r.doc_id] for r in late.collect()]
     assert len(unseen) > 20 and max(unseen) < min(s for i, s in scores.items() if i < 300) - 0.05
+
+
+def test_cotraining_exchange_wins_where_labels_are_few(spark):
+    """Two views that know something each: what they teach one another beats what few labels teach them."""
+    import numpy as np
+
+    rng = np.random.default_rng(11)
+    n, columns = 1500, list(cotraining.TEXT_VIEW)
+    y = rng.random(n) < 0.5
+    source = np.where(rng.random(n) < 0.95, 2 * rng.integers(0, 12, n) + y, rng.integers(0, 24, n))
+    text = rng.normal(0, 1, (n, len(columns))) + 1.1 * (2 * y[:, None] - 1) * (np.arange(len(columns)) < 4)
+    rows = [(i, *map(float, text[i]), 5.0, 0.0, 0.0, 4.0, 0, int(source[i]), int(source[i])) for i in range(n)]
+    schema = ", ".join(["doc_id long", *[f"{c} double" for c in columns], "log_chars double, no_chars double, rel_chars double, source_docs double, lang_at int, source_at int, source_key long"])
+    table = spark.createDataFrame(rows, schema)
+    known = [i for i in range(n) if source[i] < 6][:60]
+    labels = spark.createDataFrame([(i, int(y[i])) for i in known], "doc_id long, quality int")
+
+    def right(rounds, view):
+        model = cotraining.train(table, labels, rounds=rounds)
+        got = cotraining.score(table, model).where("doc_id NOT IN (" + ",".join(map(str, known)) + ")").collect()
+        return model, sum((r[view] >= 0.5) == bool(y[r.doc_id]) for r in got) / len(got)
+
+    alone, before = right(0, "meta_score")
+    taught, after = right(5, "meta_score")
+    assert alone.exchanged == () and min(taught.exchanged[0]["meta"]) > 100
+    assert after > before + 0.15
+    assert right(5, "score")[1] > right(0, "score")[1] + 0.005
+
+
+def test_cotraining_trusts_as_far_as_labels_bear_out():
+    import numpy as np
+
+    odds = np.arange(100.0)
+    low, high = cotraining.trusted(odds, (odds >= 50).astype(float))
+    assert low >= 49 and high <= 50
+    assert cotraining.trusted(odds, (odds % 2).astype(float)) == (-np.inf, np.inf)
+    assert cotraining.trusted(np.zeros(100), (odds < 50).astype(float)) == (-np.inf, np.inf)
+
+
+def test_shards_by_a_plain_descent(spark):
+    """Each shard against a descent computed for one key at a time."""
+    from math import log
+
+    import xxhash
+
+    def draw(key, name):
+        seed = xxhash.xxh64_intdigest(key.to_bytes(8, "little", signed=True), 42)
+        return -log(((xxhash.xxh64_intdigest(name.encode(), seed) >> 12) + 0.5) / 2**52)
+
+    def weight(node):
+        return sum(map(weight, node.values())) if isinstance(node, dict) else node[1]
+
+    def descend(key, node, path=""):
+        if not isinstance(node, dict):
+            return node[0]
+        name = min(node, key=lambda n: draw(key, f"{path}/{n}") / weight(node[n]))
+        return descend(key, node[name], f"{path}/{name}")
+
+    tree = sharding.grow(sharding.build_tree(16))
+    tree["region-1"]["rack-0"]["shard-9"] = (9, 2.5)
+    rows = spark.range(300).select(sharding.F.col("id").alias("doc_id"))
+    assert [r.shard for r in sharding.with_shards(rows, tree).orderBy("doc_id").collect()] == [descend(i, tree) for i in range(300)]
+
+
+CLASHES = (
+    "kid kmark twice tid cid cmark mix_mark mix_again times bad uid ruled host path rule verdict r_shard r_slot_part base total shard slot n_words word_chars "
+    "base_failed counts row_mark fp component leak_id leak_mark doc_mark verdict_host id mark size n k at kept n_bytes first body row"
+).split()
+
+
+def clashing(docs):
+    """`docs` with more columns, called as the operators call their own."""
+    taken = {c.lower() for c in docs.columns}
+    return docs.select("*", *[mixing.F.lit(i).alias(c) for i, c in enumerate(CLASHES) if c not in taken])
+
+
+def test_clashing_names_pass_every_stage(spark):
+    docs = clashing(documents(spark).withColumn("n_symbols", mixing.F.lit("mine")))
+    items = clashing(spark.createDataFrame([(1, "nothing of this is in any text here")], "item_id long, text string"))
+    for out in (
+        quality_rules.filter_quality(docs), simhash.keep_one(docs), decontaminate.remove_leaks(docs, items), mixing.mix_documents(docs),
+    ):
+        assert sorted(out.columns) == sorted(docs.columns)
+        for r in out.where("doc_id = 7").collect():
+            assert r.n_symbols == "mine" and all(r[c] == i for i, c in enumerate(CLASHES) if c not in ("kept", "fp"))
+    sharded = sharding.shard_documents(docs)
+    assert set(docs.columns) < set(sharded.columns) and sharded.where("doc_id = 7").first()["shard"] == CLASHES.index("shard")
+    slots = sharding.with_slots(sharding.with_shards(docs.drop("slot", "shard"), sharding.build_tree(4)))
+    assert slots.count() == docs.count() and slots.where("doc_id = 7").first()["r_shard"] == CLASHES.index("r_shard")
+    judged = url_filter.judge(docs.withColumn("url", mixing.F.lit("http://x.com/")))
+    assert {(r.uid, r.bad, r.ruled, r.host, r.verdict) for r in judged.collect()} == {(*[CLASHES.index(c) for c in ("uid", "bad", "ruled")], "x.com", "allow")}
+
+
+def test_repeated_and_null_ids_are_scored_row_by_row(spark):
+    docs = clashing(documents(spark).drop("fp"))
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1), (2, 1, 1), (None, 1, 1), (7, 7, 7), (9, None, None)], "doc_id long, quality int, toxic int")
+    rows = cotraining.features(docs)
+    ids = Counter(r.doc_id for r in docs.select("doc_id").collect())
+    assert Counter(r.doc_id for r in cotraining.score(rows, cotraining.train(rows, labels)).collect()) == ids
+    model = toxicity.train(toxicity.sample(docs, labels))
+    scored = toxicity.score(docs, model).collect()
+    assert Counter(r.doc_id for r in scored) == ids and all(0 <= r.score <= 1 for r in scored)
+
+
+def test_very_long_texts(spark):
+    """A text of some megabytes goes through every operator whole."""
+    text = "\n".join(" ".join(f"w{(i * 7919 + k) % 100_003}" for k in range(20)) for i in range(20_000))
+    docs = spark.createDataFrame([(1, text, "en", "s", len(text))], "doc_id long, text string, lang string, source string, n_chars long")
+    item = spark.createDataFrame([(5, " ".join(text.split()[-12:]))], "item_id long, text string")
+    assert quality_rules.with_counts(docs).first().n_words == 400_000
+    assert [r.item_id for r in decontaminate.find_leaks(docs, item).collect()] == [5]
+    assert simhash.fingerprint(text) == brute_fingerprint(text)
+    assert cotraining.features(docs).first().log_words == pytest.approx(12.8992, abs=1e-3)
+    assert mixing.mix_documents(docs).count() in (1, 2)
+    assert len(toxicity.Gains(b"horrible", b"").of(text)) == -(-400_000 // toxicity.WINDOW)
