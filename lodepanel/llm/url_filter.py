@@ -112,7 +112,8 @@ def score(urls: DataFrame, model: Ratio, order: int = ORDER) -> DataFrame:
 
     URLs are spread by uid first, so that with a model small enough to broadcast nothing else moves.
     """
-    spread = urls.repartition("uid")
+    # A given number of parts: few bytes come in, but each URL becomes many rows.
+    spread = urls.repartition(int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions")), "uid")
     found = grams(spread, order).join(small(model.table), F.col("gram") == F.col("known"), "left")
     # Plain numbers, one column a length, so that the aggregation hashes and need not sort.
     of = lambda c, k: F.max(F.when(F.col("k") == k, F.col(c)))
