@@ -51,6 +51,25 @@ def neutralize_by_size(x: Column, size: Column, *by: str) -> Column:
     return F.when(F.count(y).over(w) >= 2, y - F.avg(y).over(w) - slope * (s - F.avg(s).over(w)))
 
 
+def attach_groups(df: DataFrame, groups: DataFrame, out: str = "group", unknown: str = "__unknown__") -> DataFrame:
+    """`df` with the group of each instrument by groups(instrument, group); an instrument without one gets `unknown`."""
+    named = groups.select(F.col("instrument").alias("_grouped"), F.col("group").alias("_group"))
+    return df.join(named, F.col("instrument") == F.col("_grouped"), "left").withColumn(out, F.coalesce("_group", F.lit(unknown))).drop("_grouped", "_group")
+
+
+def neutralize_frame(df: DataFrame, features: list[str], by: str, groups: DataFrame | None = None, size: str = "marketcap", date: str = "date") -> DataFrame:
+    """`df` with each feature neutralised: by "sector_median" or "sector_mean" of `groups`, or "size_residual" on ln(`size`).
+
+    All features share one partitioning, so the panel is shuffled once.
+    """
+    if by == "size_residual":
+        return df.withColumns({f: neutralize_by_size(F.col(f), F.col(size), date) for f in features})
+    if by not in ("sector_median", "sector_mean") or groups is None:
+        raise ValueError(f"cannot neutralise by {by}" + ("" if groups is not None else " without groups"))
+    named = attach_groups(df, groups, "_by")
+    return named.withColumns({f: neutralize_by_group(F.col(f), F.col("_by"), date, statistic=by.removeprefix("sector_")) for f in features}).drop("_by")
+
+
 def winsorize(x: Column, *by: str, lower: float = 0.05, upper: float = 0.05) -> Column:
     """Clip to the order statistics at floor(lower n) and ceil((1 - upper) n) - 1 (from 0)."""
     n = F.count(x).over(W.partitionBy(*by))

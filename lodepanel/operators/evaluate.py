@@ -153,10 +153,11 @@ def correlation_weights(df: DataFrame, features: list[str], label: str, non_nega
 
 def weighted_ranks(counts: DataFrame, value: str, out: str) -> DataFrame:
     """Average ranks within `feature` of values that stand for `n` rows each, by counts of distinct values."""
+    from .audit import cumulative
+
     each = counts.groupBy("feature", value).agg(F.sum("n").alias("_n"))
-    before = F.sum("_n").over(W.partitionBy("feature").orderBy(value).rowsBetween(W.unboundedPreceding, 0)) - F.col("_n")
-    ranks = each.select("feature", value, (before + (F.col("_n") + 1) / 2).alias(out))
-    return counts.join(ranks, ["feature", value])
+    ranks = cumulative(each, ["feature"], value, "_n", "_upto")
+    return counts.join(ranks.select("feature", value, (F.col("_upto") - (F.col("_n") - 1) / 2).alias(out)), ["feature", value])
 
 
 def attribution(weights: DataFrame, returns: DataFrame, sectors: DataFrame) -> DataFrame:
