@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .settle import settled
+
 
 def top_n(scores: DataFrame, n: int, score: str = "score") -> DataFrame:
     """The n best positive scores of each date; ties by instrument."""
@@ -49,13 +51,20 @@ def limit_weights(weights: DataFrame, cap: float, gross: float) -> DataFrame:
 
 
 def trades(weights: DataFrame) -> DataFrame:
-    """(date, instrument, change) against the date before of the whole calendar; leaving a name counts."""
-    days = weights.select("date").distinct()
-    nxt = F.broadcast(days.select("date", F.lead("date").over(W.orderBy("date")).alias("next_date")))
-    before = weights.join(nxt, "date").where("next_date IS NOT NULL").select(F.col("next_date").alias("date"), "instrument", F.col("weight").alias("was"))
-    now = weights.select("date", "instrument", "weight")
-    both = now.join(before, ["date", "instrument"], "full_outer")
-    return both.select("date", "instrument", (F.coalesce("weight", F.lit(0.0)) - F.coalesce("was", F.lit(0.0))).alias("change"))
+    """(date, instrument, change) against the date before of the whole calendar; leaving a name counts.
+
+    What a name did the day before, and whether it stays, is read off its own rows by day numbers.
+    """
+    weights = settled(weights.select("date", "instrument", "weight"))
+    line = W.orderBy("on_date")  # one row a date
+    days = weights.select(F.col("date").alias("on_date")).distinct().withColumns({"day": F.row_number().over(line), "next_date": F.lead("on_date").over(line)})
+    rows = weights.join(F.broadcast(days), F.col("date") == F.col("on_date"))
+    own = W.partitionBy("instrument").orderBy("day")
+    was = F.when(F.lag("day").over(own) == F.col("day") - 1, F.lag("weight").over(own)).otherwise(0.0)
+    left = ~F.coalesce(F.lead("day").over(own) == F.col("day") + 1, F.lit(False))
+    rows = rows.select("instrument", "date", "weight", (F.col("weight") - was).alias("moved"), F.when(left, F.col("next_date")).alias("gone"))
+    changes = F.array(F.struct("date", F.col("moved").alias("change")), F.struct(F.col("gone").alias("date"), (-F.col("weight")).alias("change")))
+    return rows.select("instrument", F.explode(changes).alias("c")).where("c.date IS NOT NULL").select("c.date", "instrument", "c.change")
 
 
 def linear_cost(change: Column, bps: float) -> Column:
@@ -103,13 +112,13 @@ def day_loop(
 ) -> DataFrame:
     """(arm, date, r, turnover, cost, names) of the long-only loop over rows (arm, date, instrument, score, r).
 
-    Weights of a day depend on those of the day before, so an arm is walked in order; arms run side by side. A group
-    holds one arm: its universe times its days, whatever the number of arms.
+    Weights of a day depend on those of the day before, so an arm is walked in order; arms run side by side. Spark
+    ranks the names; the walk of an arm sees one row a date, with its best `n` + `buffer` names, whatever the universe.
+    Its weights are joined with the returns again.
     """
 
-    def target(day: pd.DataFrame, held: dict) -> dict:
-        ranked = day[day.score > 0].sort_values(["score", "instrument"], ascending=[False, True]).instrument.tolist()
-        chosen, near = ranked[:n], [i for i in ranked[n : n + buffer] if i in held]
+    def target(ranked: list, held: dict) -> dict:
+        chosen, near = ranked[:n], [i for i in ranked[n:] if i in held]
         for name in near:
             for k in range(len(chosen) - 1, -1, -1):
                 if chosen[k] not in held:
@@ -118,8 +127,8 @@ def day_loop(
         share = min(gross, len(chosen) * cap) / len(chosen) if chosen else 0.0
         return {i: min(share, cap) for i in chosen}
 
-    def step(day: pd.DataFrame, held: dict) -> dict:
-        want = target(day, held)
+    def step(ranked: list, held: dict) -> dict:
+        want = target(ranked, held)
         move = {i: want.get(i, 0.0) - held.get(i, 0.0) for i in sorted({*want, *held}, key=str)}
         move = {i: (0.0 if abs(d) < band else max(-most_change, min(most_change, d))) for i, d in move.items()}
         turnover = sum(map(abs, move.values()))
@@ -129,17 +138,25 @@ def day_loop(
     def walk(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         held: dict = {}
         out = []
-        for day, entries in frame.groupby("date", sort=True):
-            new = step(entries, held)
+        for day, line in sorted(zip(frame.date, frame.line, strict=True)):
+            new = step([x["instrument"] for x in line], held)
             turnover = sum(abs(new.get(i, 0.0) - held.get(i, 0.0)) for i in {*new, *held})
-            gains = dict(zip(entries.instrument, entries.r.fillna(0.0), strict=True))
-            cost = turnover * bps / 1e4
-            out.append((key[0], day, sum(w * gains.get(i, 0.0) for i, w in new.items()) - cost, turnover, cost, len(new)))
+            out.extend((key[0], day, i, w, turnover, len(new)) for i, w in (new or {None: 0.0}).items())
             held = new
-        return pd.DataFrame(out, columns=["arm", "date", "r", "turnover", "cost", "names"])
-
-    kind = dict(arms.dtypes)["arm"]
-    return arms.select("arm", "date", "instrument", "score", "r").groupBy("arm").applyInPandas(walk, f"arm {kind}, date date, r double, turnover double, cost double, names int")
+        return pd.DataFrame(out, columns=["arm", "date", "instrument", "weight", "turnover", "names"])
+
+    kinds = dict(arms.dtypes)
+    nth = F.row_number().over(W.partitionBy("arm", "date").orderBy(F.col("score").desc(), "instrument"))
+    best = arms.where("score > 0").withColumn("nth", nth).where(F.col("nth") <= n + buffer)
+    best = best.groupBy("arm", "date").agg(F.sort_array(F.collect_list(F.struct("nth", "instrument"))).alias("line"))
+    days = arms.select("arm", "date").distinct().join(best, ["arm", "date"], "left")
+    days = days.withColumn("line", F.coalesce("line", F.array().cast(best.schema["line"].dataType)))
+    schema = f"arm {kinds['arm']}, date date, instrument {kinds['instrument']}, weight double, turnover double, names int"
+    weights = settled(days.groupBy("arm").applyInPandas(walk, schema))
+    gains = weights.join(arms.select("arm", "date", "instrument", "r"), ["arm", "date", "instrument"], "left")
+    got = gains.groupBy("arm", "date").agg(F.sum(F.col("weight") * F.coalesce("r", F.lit(0.0))).alias("gain"), F.max("turnover").alias("turnover"), F.max("names").alias("names"))
+    cost = F.col("turnover") * (bps / 1e4)
+    return got.select("arm", "date", (F.col("gain") - cost).alias("r"), "turnover", cost.alias("cost"), "names")
 
 
 def vol_scale(returns: list[float], target: float, floor: float = 0.05) -> float:

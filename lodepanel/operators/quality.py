@@ -74,7 +74,7 @@ def batch_issues(rows: DataFrame, expected: DataFrame, start, end) -> DataFrame:
 
 
 def adjust(bars: DataFrame, actions: DataFrame) -> DataFrame:
-    """Bars adjusted for corporate actions (instrument, ex_date, kind, ratio, cash).
+    """Bars with prices and volume adjusted for corporate actions (instrument, ex_date, kind, ratio, cash).
 
     Each bar folds its later actions, latest first and splits before dividends on a day: a split divides prices and
     multiplies volume (cut to whole shares each time), a dividend is taken off prices, which then stay at or above 0.01.
@@ -96,7 +96,8 @@ def adjust(bars: DataFrame, actions: DataFrame) -> DataFrame:
 
     due = F.filter(F.coalesce("actions", F.array().cast(lists.schema["actions"].dataType)), lambda a: F.col("date") < a["ex_date"])
     out = joined.withColumn("_adjusted", F.aggregate(due, start, step))
-    return out.select("instrument", "date", *[F.col(f"_adjusted.{c}").alias(c) for c in (*prices, "volume")])
+    changed = {*prices, "volume"}
+    return out.select(*[F.col(f"_adjusted.{c}").alias(c) if c in changed else F.col(f"`{c}`") for c in bars.columns])
 
 
 def failover(primary: DataFrame, secondary: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import library
-from ..functions.expr import evaluate, rounded, sql_percent_rank, sql_average_rank, sql_rounded, to_sql
+from ..functions.expr import average_rank, evaluate, rounded, sql_percent_rank, sql_average_rank, sql_rounded, to_sql
 from ..operators import asof, crosssection, evaluate as ev, portfolio, quality
 from ..sources import tables
 from ..sources.tables import BARS_SQL, bars, load
@@ -263,8 +263,11 @@ def ic_decay(spark, folder):
     base = _signal(spark, folder)
     w = W.partitionBy("instrument").orderBy("date")
     labels = base.withColumns({f"y{h}": F.try_divide(F.lead("close", h).over(w), F.col("close")) - 1 for h in (1, 5, 21)})
-    parts = [ev.daily_ic(labels, "signal", f"y{h}").groupBy().agg(F.avg("ic").alias("mean_ic"), F.count("ic").alias("days")).select(F.lit(h).alias("h"), rounded(F.col("mean_ic")).alias("mean_ic"), "days") for h in (1, 5, 21)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    each = labels.select("date", F.col("signal").alias("f"), F.explode(F.array(*[F.struct(F.lit(h).alias("h"), F.col(f"y{h}").alias("l")) for h in (1, 5, 21)])).alias("e")).select("date", "f", "e.*")
+    each = each.where("f IS NOT NULL AND l IS NOT NULL")
+    ranked = each.select("h", "date", average_rank(F.col("f"), "h", "date").alias("f"), average_rank(F.col("l"), "h", "date").alias("l"))
+    daily = ranked.groupBy("h", "date").agg(ev.safe_corr(F.col("f"), F.col("l")).alias("ic"))
+    return out(daily.groupBy("h").agg(F.avg("ic").alias("mean_ic"), F.count("ic").alias("days")), ["h", "days"], ["mean_ic"])
 
 
 @register("turnover_rank", _signal_sql(f"""SELECT date, {R('avg(moved)')} AS turnover FROM (SELECT date, abs(r - lag(r) OVER (PARTITION BY instrument ORDER BY date)) AS moved

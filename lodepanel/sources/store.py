@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import html as entities
+import re
 from collections.abc import Iterator
-from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -15,10 +16,8 @@ from ..operators.quality import adjust, dedup_last
 from ..operators.settle import settled
 
 DAY_SECONDS = 86_400
-
-
-def bucket_for(bar_seconds: Column) -> Column:
-    return F.when(bar_seconds == DAY_SECONDS, "daily").otherwise("intraday")
+#: Names of the store's folders.
+FOLDERS = {True: "daily", False: "intraday"}
 
 
 def read_store(spark: SparkSession, root: str) -> DataFrame | None:
@@ -35,15 +34,19 @@ def store_bars(bars: DataFrame, root: str) -> None:
     """Merge `bars(bar_id, instrument, ts, bar_seconds, ingest_seq, …)` into the store.
 
     Known bar ids change nothing; of several bars of an instrument, time and length the last ingested stays. Only
-    the (bucket, year) partitions that get new bars are read and overwritten.
+    the (bucket, year) partitions that get new bars are read and overwritten; a bar's id does not move between them.
     """
     spark = bars.sparkSession
-    new = bars.withColumns({"bucket": bucket_for(F.col("bar_seconds")), "year": F.year("ts")})
+    folder = F.when(F.col("bar_seconds") == DAY_SECONDS, FOLDERS[True]).otherwise(FOLDERS[False])
+    new = bars.withColumns({"bucket": folder, "year": F.year("ts")})
     held = read_store(spark, root)
     if held is not None:
-        new = new.join(held.select("bar_id"), "bar_id", "left_anti")
-        touched = F.broadcast(new.select("bucket", "year").distinct())
-        new = held.join(touched, ["bucket", "year"], "left_semi").unionByName(new)
+        touched = new.select("bucket", "year").distinct().collect()  # at most two a year
+        among = F.lit(False)
+        for part in touched:
+            among = among | ((F.col("bucket") == part["bucket"]) & (F.col("year") == part["year"]))
+        held = held.where(among)
+        new = held.unionByName(new.join(held.select("bar_id"), "bar_id", "left_anti"))
     merged = dedup_last(new, ["instrument", "ts", "bar_seconds"], ["ingest_seq", "bar_id"])
     if held is not None:  # written aside first: a partition is not overwritten while it is read
         merged = settled(merged)
@@ -52,7 +55,7 @@ def store_bars(bars: DataFrame, root: str) -> None:
 
 def load_bars(spark: SparkSession, root: str, start, end, bar_seconds: int = DAY_SECONDS, instruments: list | None = None, columns: list[str] | None = None, actions: DataFrame | None = None) -> DataFrame:
     """Bars of a closed time window; years, bucket, columns and instruments are pruned at the scan."""
-    bucket = "daily" if bar_seconds == DAY_SECONDS else "intraday"
+    bucket = FOLDERS[bar_seconds == DAY_SECONDS]
     rows = spark.read.parquet(root).where((F.col("bucket") == bucket) & (F.col("bar_seconds") == bar_seconds) & F.col("ts").between(start, end))
     rows = rows.where(F.col("year").between(F.year(F.lit(start)), F.year(F.lit(end))))
     if instruments is not None:
@@ -76,25 +79,17 @@ def load_vendor_file(spark: SparkSession, path: str, symbols: DataFrame, bar_sec
     return typed.join(symbols, "symbol").drop("symbol").withColumn("bar_seconds", F.lit(bar_seconds))
 
 
-class _Text(HTMLParser):
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.parts: list[str] = []
-
-    def handle_data(self, data: str) -> None:
-        self.parts.append(data)
+_MARKUP = re.compile(r"<!--.*?-->|</?[A-Za-z][^<>]*>|<[!?][^<>]*>", re.S)
 
 
-def plain_text(html: str | None) -> str:
-    """Text nodes of a document, without blank lines."""
-    parser = _Text()
-    parser.feed(html or "")
-    parser.close()
-    lines = (line.strip() for line in "\n".join(parser.parts).splitlines())
-    return "\n".join(line for line in lines if line)
+def visible_lines(document: str | None) -> str:
+    """The document's text between its markup, a line each, without blank ones; the document itself if that is nothing."""
+    text = entities.unescape(_MARKUP.sub("\n", document or ""))
+    kept = [bare for line in text.splitlines() if (bare := line.strip())]
+    return "\n".join(kept) or (document or "").strip()
 
 
 @F.pandas_udf(StringType())
 def document_text(html: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in html:
-        yield batch.map(plain_text)
+        yield batch.map(visible_lines)
