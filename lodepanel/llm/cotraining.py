@@ -5,8 +5,8 @@ metadata (language, stated length, its source: how many documents it has, how lo
 were judged, shrunk by a beta prior). Each is fitted on labelled documents; in each round each hands its confident
 verdicts on the unlabelled documents of the whole table to the other as pseudo-labels, and is fitted anew. How far down
 its ranking of a class a view is trusted is read off labelled documents that neither was fitted on: as far as the
-smoothed share of wrong ones above the cut stays within ERROR. A view that cannot rank hands nothing on. Both views are
-calibrated on the same documents at the end, and a final curve over the two calibrated log odds scores every document.
+smoothed share of wrong ones above the cut stays within ERROR, and is too small to be chance. A view that is not to be
+trusted with both classes hands nothing on. Both views are calibrated on the same documents at the end, and a final curve over the two calibrated log odds scores every document.
 
 Features and scores are column expressions over all rows. Of the labelled rows at most `sample` are fitted on, those
 of smallest id hash, as numbers only; this bounds what reaches the driver. Unlabelled rows never reach the driver: each
@@ -36,7 +36,9 @@ from .quality_rules import SYMBOLS, repeated_words
 SAMPLE = 20_000
 ROUNDS = 5
 #: Verdicts are handed on down to where this share of the labelled ones above may be wrong.
-ERROR = 0.05
+ERROR = 0.1
+#: Chance at most that a view without any knowledge is as often right above the cut.
+CHANCE = 0.001
 #: Weight of all pseudo-labels at most, in units of that of the labels fitted on.
 MASS = 4.0
 #: Labelled documents that the mean of all counts for in a source's rate.
@@ -178,18 +180,25 @@ def _step(slopes: np.ndarray, w: np.ndarray) -> np.ndarray:
     return np.linalg.solve(hessian + penalty, slopes[:n] - penalty @ w)
 
 
-def trusted(odds: np.ndarray, y: np.ndarray, error: float = ERROR) -> tuple[float, float]:
-    """(low, high): a row of at most `low` is trusted as 0, one of at least `high` as 1, by labelled rows."""
+def trusted(odds: np.ndarray, y: np.ndarray, error: float = ERROR, chance: float = CHANCE) -> tuple[float, float]:
+    """(low, high): a row of at most `low` is trusted as 0, one of at least `high` as 1, by labelled rows.
+
+    Without trust in both, neither is reached.
+    """
 
     def reach(score: np.ndarray, wrong: np.ndarray) -> float:
-        order = np.argsort(-score, kind="stable")
-        ranked = score[order]
-        share = (np.cumsum(wrong[order]) + 0.5) / (np.arange(len(order)) + 2)
+        order, n = np.argsort(-score, kind="stable"), np.arange(1, len(score) + 1)
+        ranked, missed = score[order], np.cumsum(wrong[order])
+        share, usual = missed / n, wrong.mean()
         ends = np.append(ranked[1:] < ranked[:-1], True)  # equal scores stand or fall together
-        good = np.flatnonzero(ends & (share <= error))
+        # Chernoff's bound on so few wrong ones among n at the usual rate.
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gain = np.where(share > 0, share * np.log(share / usual), 0) + np.where(share < 1, (1 - share) * np.log((1 - share) / (1 - usual)), 0)
+        good = np.flatnonzero(ends & ((missed + 0.5) / (n + 1) <= error) & (share < usual) & (n * gain >= -np.log(chance)))
         return float(ranked[good[-1]]) if len(good) else np.inf
 
-    return -reach(-odds, y), reach(odds, 1 - y)
+    low, high = -reach(-odds, y), reach(odds, 1 - y)
+    return (low, high) if np.isfinite(low) and np.isfinite(high) else (-np.inf, np.inf)
 
 
 def _verdicts(odds: np.ndarray, cut: tuple[float, float]) -> tuple[np.ndarray, np.ndarray]:
