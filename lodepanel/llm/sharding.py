@@ -6,9 +6,11 @@ change of one weight moves rows only between that subtree and its siblings. A ne
 own, so it takes rows only into itself. Slots within a shard are numbered by running totals over input parts, so no
 task holds a whole shard. DataFrame functions only.
 
-Law `key`: the id and the shard count decide. Defined results: null ids go to one shard; a null text has no bytes
-and the checksum of the empty text; repeated rows share a shard and have slots of their own; an empty table gives
-no rows; extra columns are kept by `with_shards`.
+Law `key`: the id and the shard count decide, so rows of one id share a shard, and equal texts under different ids may
+part. Defined results: null ids go to one shard; a null text has no bytes and the checksum of the empty text; a text of
+any length is one row; repeated rows share a shard and have slots of their own; `with_shards` and `with_slots` replace a
+column called like their result and keep all others, `shard_documents` takes a free name for its own; an empty table
+gives no rows.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ half the radius of it, hence within the radius of one another: each is paired wi
 
 Defined results: a text without words (null, empty, blank) has fingerprint zero and links like any other; a
 shingle of a text with fewer words than the width is the whole sequence; repeated rows share a component; null
-ids are ignored in a component's smallest id (null if it has no other); an empty table gives no rows.
+ids are ignored in a component's smallest id (null if it has no other); a text of any length is read whole, its hashes
+in blocks; `keep_one` returns the given columns, whatever they are called; an empty table gives no rows.
 """
 
 from __future__ import annotations

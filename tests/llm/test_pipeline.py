@@ -61,3 +61,12 @@ def test_mixing_and_shards(stages):
     assert set(after.doc_id) <= set(before.doc_id) and after.doc_id.value_counts().max() <= 2
     total = before.text.map(lambda t: len(words(t))).sum()
     assert abs(after.text.map(lambda t: len(words(t))).sum() / total - 1.5) < 0.1
+
+
+def test_every_stage_takes_an_empty_table_and_odd_rows(spark):
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    odd = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", None, -1), (1, "a b c", None, "s", 5), (1, "a b c", None, "s", 5)], docs.schema)
+    for name, stage in pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SF_SMALL).count() == 0, name
+        got = stage(spark, odd, SF_SMALL)
+        assert set(docs.columns) <= set(got.columns) and got.count() <= 2 * odd.count(), name
