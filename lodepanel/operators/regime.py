@@ -47,17 +47,16 @@ def advance(state: tuple[str | None, str | None, int], label: str) -> tuple[str
 
 
 def stable_labels(labelled: DataFrame) -> DataFrame:
-    """`labelled(series, date, candidate)` with the stable label of each date; one group a series (a row a date)."""
+    """`labelled(series, date, candidate)` with the stable label of each date: the last that ran for STREAK dates, else the first.
 
-    def walk(frame: pd.DataFrame) -> pd.DataFrame:
-        state: tuple[str | None, str | None, int] = (None, None, 0)
-        out = []
-        for label in (frame := frame.sort_values("date")).candidate:
-            state = advance(state, label)
-            out.append(state[0])
-        return frame.assign(stable=out)
-
-    return labelled.groupBy("series").applyInPandas(walk, "series string, date date, candidate string, stable string")
+    A run is told by the difference of two row numbers; a series has one row a date.
+    """
+    line = W.partitionBy("series").orderBy("date")
+    island = F.row_number().over(line) - F.row_number().over(W.partitionBy("series", "candidate").orderBy("date"))
+    rows = labelled.select("series", "date", "candidate").withColumn("_island", island)
+    run = F.row_number().over(W.partitionBy("series", "candidate", "_island").orderBy("date"))
+    rows = rows.withColumn("_long", F.when(run >= STREAK, F.col("candidate")))
+    return rows.select("series", "date", "candidate", F.coalesce(F.last("_long", ignorenulls=True).over(line), F.first("candidate").over(line)).alias("stable"))
 
 
 def stable_label_stream(labelled: DataFrame) -> DataFrame:

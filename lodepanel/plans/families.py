@@ -108,7 +108,13 @@ def market_stats(spark, folder):
     return got.select("date", *[rounded(F.col(c)).alias(c) for c in ("trend", "vol", "breadth")])
 
 
-@register("regime_state_machine")
+@register("regime_state_machine", f"""{ORACLES['market_stats'].split('SELECT date, round')[0]},
+s AS (SELECT date, CASE WHEN count(r) OVER l = 20 THEN avg(r) OVER l * 20 ELSE 0 END AS trend, CASE WHEN count(r) OVER l = 20 THEN stddev_samp(r) OVER l * sqrt(252) ELSE 0.2 END AS vol, coalesce(breadth, 0.5) AS breadth
+      FROM d WINDOW l AS (ORDER BY date ROWS 19 PRECEDING)),
+c AS (SELECT date, CASE WHEN vol > 15 THEN 'stress' WHEN trend > 0.02 AND breadth > 0.5 THEN 'up' WHEN trend < -0.02 AND breadth < 0.5 THEN 'down' ELSE 'flat' END AS candidate FROM s),
+i AS (SELECT *, row_number() OVER (ORDER BY date) - row_number() OVER (PARTITION BY candidate ORDER BY date) AS g FROM c),
+k AS (SELECT *, row_number() OVER (PARTITION BY candidate, g ORDER BY date) AS run FROM i)
+SELECT 'all' AS series, date, candidate, coalesce(last_value(CASE WHEN run >= 3 THEN candidate END IGNORE NULLS) OVER (ORDER BY date), first_value(candidate) OVER (ORDER BY date)) AS stable FROM k""")
 def regime_state_machine(spark, folder):
     """The stable market label of each date; a row a date, one series."""
     stats = regime.market_stats(bars(spark, folder))
