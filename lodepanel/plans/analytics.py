@@ -59,10 +59,11 @@ def bars_quality_issues(spark, folder):
 
 
 @register("bars_dedup_last", """
-SELECT l_orderkey, l_linenumber, max(l_shipdate) AS l_shipdate FROM lineitem GROUP BY ALL""")
+SELECT l_orderkey, l_linenumber, max(l_shipdate) AS l_shipdate, arg_max(l_extendedprice, row(l_shipdate, l_extendedprice, l_quantity)) AS l_extendedprice,
+       arg_max(l_quantity, row(l_shipdate, l_extendedprice, l_quantity)) AS l_quantity FROM lineitem GROUP BY ALL""")
 def bars_dedup_last(spark, folder):
     rows = load(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", "l_extendedprice", "l_quantity")
-    return quality.dedup_last(rows, ["l_orderkey", "l_linenumber"], ["l_shipdate", "l_extendedprice", "l_quantity"]).select("l_orderkey", "l_linenumber", "l_shipdate")
+    return quality.dedup_last(rows, ["l_orderkey", "l_linenumber"], ["l_shipdate", "l_extendedprice", "l_quantity"]).select("l_orderkey", "l_linenumber", "l_shipdate", "l_extendedprice", "l_quantity")
 
 
 @register("liquidity_20d", f"""WITH {BARS_SQL}
@@ -347,9 +348,9 @@ def _picked(spark, folder):
     return portfolio.top_n(_signal(spark, folder).withColumns({"score": F.col("ret_21d"), "vol": F.col("signal")}), 5)
 
 
-@register("weights_topn_equal", _signal_sql(f", {_TOP} SELECT instrument, date, {R('least(1.0, count(*) OVER (PARTITION BY date) * 0.15) / count(*) OVER (PARTITION BY date)')} AS weight FROM pick"))
+@register("weights_topn_equal", _signal_sql(f", {_TOP} SELECT instrument, date, {R('least(0.6, count(*) OVER (PARTITION BY date) * 0.15) / count(*) OVER (PARTITION BY date)')} AS weight FROM pick"))
 def weights_topn_equal(spark, folder):
-    return out(portfolio.equal_weights(_picked(spark, folder), 1.0, 0.15), ["instrument", "date"], ["weight"])
+    return out(portfolio.equal_weights(_picked(spark, folder), 0.6, 0.15), ["instrument", "date"], ["weight"])
 
 
 @register("weights_inverse_vol", _signal_sql(f""", {_TOP}, v AS (SELECT *, greatest(coalesce(vol, median(vol) OVER (PARTITION BY date), 0.005), 0.005) AS x, count(*) OVER (PARTITION BY date) AS n FROM pick)
@@ -388,11 +389,11 @@ def attribution_sector(spark, folder):
 
 
 @register("slippage_sqrt", f"""SELECT l_orderkey, l_linenumber, l_quantity, {R('greatest(1.0, sqrt(l_quantity / 1000.0) * 20 + 2.5)')} AS slippage_bps,
-{R('least(greatest(l_quantity * 0.005, 1.0), l_extendedprice * 0.01)')} AS commission FROM lineitem""")
+{R('least(greatest(l_quantity * 100 * 0.005, 1.0), l_extendedprice / 1000 * 0.01 * 100)')} AS commission FROM lineitem""")
 def slippage_sqrt(spark, folder):
     q = F.col("l_quantity")
     rows = load(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
-    got = rows.withColumns({"slippage_bps": portfolio.sqrt_slippage(q, F.lit(1000.0), F.lit(5.0)), "commission": portfolio.commission(q, F.col("l_extendedprice") / q)})
+    got = rows.withColumns({"slippage_bps": portfolio.sqrt_slippage(q, F.lit(1000.0), F.lit(5.0)), "commission": portfolio.commission(q * 100, F.col("l_extendedprice") / q / 1000)})
     return out(got, ["l_orderkey", "l_linenumber", "l_quantity"], ["slippage_bps", "commission"])
 
 

@@ -57,8 +57,8 @@ def quarters(spark: SparkSession, folder: str) -> DataFrame:
     x, d, t, q = (F.col(f"l_{c}") for c in ("extendedprice", "discount", "tax", "quantity"))
     rows = load(spark, folder, "lineitem").groupBy(F.col("l_suppkey").alias("instrument"), F.to_date(F.date_trunc("quarter", "l_shipdate")).alias("date"))
     rows = rows.agg(
-        F.sum(x).alias("revenue"), F.sum(x * d * 5).alias("cor"), F.sum(x * t).alias("opex"), F.sum(q * 1000).alias("assets"), F.sum(q * 400).alias("liabilities"),
-        F.sum(x * d).alias("debt"), F.sum(q * 50).alias("cashneq"), F.sum(x * t * d * 10).alias("capex_paid"), F.count(F.lit(1)).cast("double").alias("sharesbas"),
+        F.sum(x).alias("revenue"), F.sum(x * d * 5).alias("cor"), F.sum(x * t).alias("opex"), F.sum(q * 1000 + x * 0.5).alias("assets"), F.sum(q * 400 * (1 - t * 3)).alias("liabilities"),
+        F.sum(x * d).alias("debt"), F.sum(q * 50 * (1 + d * 4)).alias("cashneq"), F.sum(x * t * d * 10).alias("capex_paid"), F.count(F.lit(1)).cast("double").alias("sharesbas"),
     )
     rows = rows.withColumns({"gp": F.col("revenue") - F.col("cor"), "equity": F.col("assets") - F.col("liabilities"), "marketcap": F.col("revenue") * 3, "divyield": F.col("opex") / F.col("revenue")})
     rows = rows.withColumns({"opinc": F.col("gp") - F.col("opex"), "capex": -F.col("capex_paid")}).withColumn("netinc", F.col("opinc") * 0.75)
@@ -71,7 +71,7 @@ quarters AS (
     SELECT *, gp - opex AS opinc FROM (
       SELECT *, revenue - cor AS gp, assets - liabilities AS equity, revenue * 3 AS marketcap, opex / revenue AS divyield FROM (
         SELECT l_suppkey AS instrument, CAST(date_trunc('quarter', l_shipdate) AS DATE) AS date, sum(l_extendedprice) AS revenue,
-               sum(l_extendedprice * l_discount * 5) AS cor, sum(l_extendedprice * l_tax) AS opex, sum(l_quantity * 1000) AS assets,
-               sum(l_quantity * 400) AS liabilities, sum(l_extendedprice * l_discount) AS debt, sum(l_quantity * 50) AS cashneq,
+               sum(l_extendedprice * l_discount * 5) AS cor, sum(l_extendedprice * l_tax) AS opex, sum(l_quantity * 1000 + l_extendedprice * 0.5::DOUBLE) AS assets,
+               sum(l_quantity * 400 * (1 - l_tax * 3)) AS liabilities, sum(l_extendedprice * l_discount) AS debt, sum(l_quantity * 50 * (1 + l_discount * 4)) AS cashneq,
                -sum(l_extendedprice * l_tax * l_discount * 10) AS capex, count(*)::DOUBLE AS sharesbas
         FROM lineitem GROUP BY ALL))))))"""
