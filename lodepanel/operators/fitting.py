@@ -84,3 +84,19 @@ def fit_components(df: DataFrame, features: list[str], count: int) -> Components
         if row[np.argmax(np.abs(row) >= np.abs(row).max() - 1e-12)] < 0:
             row *= -1
     return Components(features, mean, spread, loadings, values[order] / values.sum())
+
+
+def fit_boosted(df: DataFrame, features: list[str], label: str, rounds: int = 20, depth: int = 3, seed: int = 7):
+    """Gradient-boosted trees over rows where all columns are finite, by Spark's own distributed learner."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+
+    rows = VectorAssembler(inputCols=features, outputCol="_features", handleInvalid="skip").transform(df.where(F.col(label).isNotNull()))
+    return GBTRegressor(featuresCol="_features", labelCol=label, predictionCol="score", maxIter=rounds, maxDepth=depth, stepSize=0.1, seed=seed).fit(rows)
+
+
+def boosted_score(model, df: DataFrame, features: list[str]) -> DataFrame:
+    """`df` with score; rows with a missing feature are left out."""
+    from pyspark.ml.feature import VectorAssembler
+
+    return model.transform(VectorAssembler(inputCols=features, outputCol="_features", handleInvalid="skip").transform(df)).drop("_features")

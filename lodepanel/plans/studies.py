@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.expr import rounded, sql_average_rank, sql_rounded
-from ..operators import audit, crosssection, evaluate as ev, fitting, risk, samples
+from ..functions.expr import rounded, sql_average_rank, sql_percent_rank, sql_rounded
+from ..operators import audit, crosssection, evaluate as ev, fitting, quality, risk, samples, universe
 from ..operators.settle import settled
 from ..sources.tables import BARS_SQL, bars, load
 from .analytics import _signal, _signal_sql, out
@@ -380,3 +380,58 @@ def pca_fit(spark, folder):
     rows = settled(rows)
     model = fitting.fit_components(rows, ["open", "close", "volume"], 2)
     return out(rows.withColumns(model.columns()), ["instrument", "date"], ["pc1", "pc2"])
+
+
+@register("boosted_scores")
+def boosted_scores(spark, folder):
+    """Scores of gradient-boosted trees, fitted on the samples before 1999, for all later ones."""
+    rows = signal(spark, folder).where("signal IS NOT NULL AND ret_21d IS NOT NULL AND forward_return IS NOT NULL")
+    model = fitting.fit_boosted(rows.where("date < DATE '1999-01-01'"), ["signal", "ret_21d"], "forward_return")
+    return out(fitting.boosted_score(model, rows.where("date >= DATE '1999-01-01'"), ["signal", "ret_21d"]), ["instrument", "date"], ["score"])
+
+
+# --- universe and evidence
+
+_ADV = "adv AS (SELECT instrument, avg(volume) AS adv_shares, avg(volume) * arg_max(close, date) AS adv_dollars FROM (SELECT *, row_number() OVER (PARTITION BY instrument ORDER BY date DESC) AS nth FROM bars) WHERE nth <= 20 GROUP BY instrument)"
+
+
+@register("universe_tradable", f"""WITH {BARS_SQL}, {_ADV}, i AS (SELECT s_suppkey AS instrument, CASE WHEN s_suppkey % 4 = 0 THEN 'etf' ELSE 'equity' END AS asset_class, CASE WHEN s_suppkey % 9 <> 0 THEN n_name END AS sector FROM supplier JOIN nation ON s_nationkey = n_nationkey)
+SELECT instrument, asset_class, sector, {R('adv_dollars')} AS adv_dollars FROM i JOIN adv USING (instrument) WHERE asset_class = 'equity' AND sector IS NOT NULL AND adv_dollars >= 20000""")
+def universe_tradable(spark, folder):
+    names = load(spark, folder, "supplier").join(F.broadcast(load(spark, folder, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))
+    kind = F.when(F.col("s_suppkey") % 4 == 0, "etf").otherwise("equity")
+    names = names.select(F.col("s_suppkey").alias("instrument"), kind.alias("asset_class"), F.when(F.col("s_suppkey") % 9 != 0, F.col("n_name")).alias("sector"))
+    return out(universe.tradable(names, quality.liquidity(bars(spark, folder)), ["equity"], 20_000.0), ["instrument", "asset_class", "sector"], ["adv_dollars"])
+
+
+@register("participation_allowed", f"""WITH {BARS_SQL}, {_ADV} SELECT l_orderkey, l_linenumber, l_quantity, l_suppkey, coalesce(l_quantity <= floor(adv_shares * 1.1::DOUBLE), false) AS allowed
+FROM lineitem LEFT JOIN (SELECT * FROM adv WHERE instrument % 5 <> 0) a ON l_suppkey = instrument""")
+def participation_allowed(spark, folder):
+    adv = quality.liquidity(bars(spark, folder)).where("instrument % 5 <> 0").select("instrument", "adv_shares")
+    orders = load(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_suppkey")
+    joined = orders.join(adv, F.col("l_suppkey") == F.col("instrument"), "left")
+    return joined.select(*orders.columns, universe.may_order(F.col("l_quantity"), F.col("adv_shares"), 1.1).alias("allowed"))
+
+
+@register("known_window", """SELECT event_id, user_id, ts FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20' AND ts + to_hours(event_id % 72) <= TIMESTAMP '2024-01-20'""")
+def known_window(spark, folder):
+    e = load(spark, folder, "events").select("event_id", "user_id", "ts", (F.col("ts") + F.make_dt_interval(hours=(F.col("event_id") % 72).cast("int"))).alias("available_at"))
+    at = lambda day: F.lit(day).cast("timestamp_ntz")
+    return universe.known_window(e, at("2024-01-05"), at("2024-01-20"), on="ts").drop("available_at")
+
+
+@register("instrument_pnl_latest", f"""WITH {BARS_SQL} SELECT date, instrument, {R('close - open')} AS pnl FROM bars ORDER BY date DESC, instrument LIMIT 50""")
+def instrument_pnl_latest(spark, folder):
+    """The latest fifty rows, newest first: a report of a fixed length."""
+    return out(bars(spark, folder).withColumn("pnl", F.col("close") - F.col("open")).orderBy(F.col("date").desc(), "instrument").limit(50), ["date", "instrument"], ["pnl"])
+
+
+@register("alpha_evidence", _signal_sql(f""", {_ics()}, plain AS (SELECT date, {_corr('signal', 'forward_return')} AS ic FROM sig WHERE signal IS NOT NULL AND forward_return IS NOT NULL GROUP BY date HAVING count(*) >= 2),
+turn AS (SELECT date, avg(moved) AS t FROM (SELECT date, abs(r - lag(r) OVER (PARTITION BY instrument ORDER BY date)) AS moved FROM (SELECT instrument, date, {sql_percent_rank('signal', 'date')} AS r FROM sig WHERE signal IS NOT NULL)) GROUP BY date),
+g AS (SELECT (SELECT avg(ic) FROM plain) AS mean_ic, (SELECT avg(ic) FROM ics) AS rank_ic, (SELECT avg(ic) / nullif(stddev_samp(ic), 0) FROM ics) AS icir, (SELECT count(*) FROM ics) AS dates, (SELECT avg(t) FROM turn) AS turnover,
+  avg((signal IS NOT NULL)::INT::DOUBLE) AS coverage, abs(coalesce({_corr('CASE WHEN ret_21d IS NOT NULL THEN signal END', 'CASE WHEN signal IS NOT NULL THEN ret_21d END')}, 0)) AS max_corr FROM sig)
+SELECT {', '.join(f'{R(c)} AS {c}' for c in ('mean_ic', 'rank_ic', 'icir', 'turnover', 'coverage', 'max_corr'))}, dates,
+  coalesce(abs(rank_ic) >= 0.001 AND abs(icir) >= 0.001 AND turnover <= 0.4 AND coverage >= 0.5 AND max_corr <= 0.7 AND dates >= 30, false) AS admitted FROM g"""))
+def alpha_evidence(spark, folder):
+    got = universe.evidence(signal(spark, folder), "signal", "forward_return", ["ret_21d"])
+    return out(got.withColumn("admitted", universe.admitted(0.001, 0.001)), ["dates", "admitted"], ["mean_ic", "rank_ic", "icir", "turnover", "coverage", "max_corr"])

@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodepanel.functions import library, serialize
-from lodepanel.operators import audit, crosssection, evaluate, fitting, portfolio, risk, samples
-from lodepanel.sources import store
+from lodepanel.operators import audit, crosssection, evaluate, fitting, portfolio, risk, samples, universe
+from lodepanel.sources import records, store
 
 
 def frame(spark, x, names):
@@ -162,3 +162,50 @@ def test_adjusted_bars_keep_their_other_columns(spark, tmp_path):
     got = store.load_bars(spark, f"{tmp_path}/bars", F.lit("2024-01-01").cast("timestamp"), F.lit("2024-12-31").cast("timestamp"), bar_seconds=60, columns=["bar_id", "ts", "close", "volume"], actions=actions)
     assert {(r.bar_id, r.ts.minute, r.close, r.volume) for r in got.collect()} == {("x", 0, 2.0, 20.0), ("y", 1, 3.0, 20.0)}
     assert store.visible_lines("<br/>") == "<br/>" and store.visible_lines("a &lt; b<p> c </p><!-- d -->") == "a < b\nc"
+
+
+def test_actions_are_appended_once_and_late_ones_change_bars(spark, tmp_path):
+    root = f"{tmp_path}/actions"
+    assert records.read_actions(spark, root).count() == 0
+    rows = spark.createDataFrame([("1", "a", date(2024, 2, 1), "split", 2.0, 0.0), ("1", "a", date(2024, 2, 1), "split", 2.0, 0.0)], records.ACTIONS)
+    records.store_actions(rows, root)
+    records.store_actions(rows.unionByName(spark.createDataFrame([("2", "a", date(2024, 3, 1), "split", 5.0, 0.0)], records.ACTIONS)), root)
+    assert sorted(r.action_id for r in records.read_actions(spark, root).collect()) == ["1", "2"]
+    bars = spark.createDataFrame([("a", date(2024, 1, 2), 10.0, 10.0, 10.0, 10.0, 10.0, 3), ("b", date(2024, 1, 2), 1.0, 1.0, 1.0, 1.0, 1.0, 1)], "instrument string, date date, open double, high double, low double, close double, vwap double, volume long")
+    assert [(r.instrument, r.close, r.volume) for r in records.reprocess(bars, spark, root).collect()] == [("a", 1.0, 30.0)]
+
+
+def test_samples_and_expressions_come_back_from_disk(spark, tmp_path):
+    rows = spark.createDataFrame([("a", date(2024, 1, 2), {"f": 1.5}, None)], "instrument string, as_of date, features map<string,double>, forward_return double")
+    records.write_samples(rows, f"{tmp_path}/samples")
+    assert records.read_samples(spark, f"{tmp_path}/samples", rows.schema.simpleString()[7:-1].replace(":", " ", 4)).collect() == rows.collect()
+    some = dict(list(library.ALPHAS.items())[:2])
+    added = records.promote(spark, f"{tmp_path}/library", some)
+    assert len(added) == 2 and records.promote(spark, f"{tmp_path}/library", some) == []
+    assert records.expressions(spark, f"{tmp_path}/library") == some
+
+
+def test_vendor_files_are_read_as_written(spark, tmp_path):
+    rows = spark.createDataFrame([("A", 1.0, 2.0, 0.5, 1.5, 10.0)], "symbol string, open double, high double, low double, close double, volume double").withColumn("ts", F.lit("2024-01-02 10:00:00").cast("timestamp"))
+    symbols = spark.createDataFrame([("A", 7)], "symbol string, instrument long")
+    for kind in ("parquet", "csv"):
+        records.write_bars_file(rows, f"{tmp_path}/bars.{kind}", kind)
+        (r,) = store.load_vendor_file(spark, f"{tmp_path}/bars.{kind}", symbols).collect()
+        assert (r.instrument, r.close, r.volume) == (7, 1.5, 10.0)
+
+
+def test_universe_weights_and_streaks(spark):
+    rows = spark.createDataFrame([("a", 0.5), ("b", 0.0), ("c", float("nan")), ("d", -0.1), ("e", None)], "instrument string, weight double")
+    assert [r.instrument for r in universe.clean_weights(rows).collect()] == ["a"]
+    folds = spark.createDataFrame([(0, 0.1, -0.5), (1, -0.1, -0.1), (2, -0.2, 0.05), (3, 0.1, 0.0), (4, -0.1, -0.9)], "fold int, ic double, r double")
+    assert universe.worst_streak_drawdown(folds).first().drawdown == pytest.approx(-0.1)
+    assert universe.worst_streak_drawdown(folds.where("ic > 0")).first().drawdown == 0.0
+
+
+def test_boosted_trees_learn_a_step(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 2))
+    rows = frame(spark, np.column_stack([x, np.where(x[:, 0] > 0.3, 1.0, -1.0)]), ["a", "b", "y"])
+    model = fitting.fit_boosted(rows, ["a", "b"], "y", rounds=3, depth=2)
+    got = fitting.boosted_score(model, rows, ["a", "b"]).collect()
+    assert sum((r.score > 0) == (r.y > 0) for r in got) > 290
