@@ -38,7 +38,7 @@ LIMIT = 2048
 #: Maps composed at a time.
 FAN = 16
 #: Bytes of runs remembered by a task, and states, before it forgets them all.
-MEMORY = 48 << 20
+MEMORY = 96 << 20
 STATES = 200_000
 
 #: Places within a run of bytes without white space where the tokenizer starts anew. The ideographs are U+5000 to
