@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cotraining, decontaminate, html_tree, mixing, quality_rules, sharding, simhash, tokens, toxicity, url_filter
+from . import byte_bpe, cotraining, decontaminate, hard_negatives, html_tree, mixing, quality_rules, sharding, simhash, spelling, tokens, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -19,10 +19,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_cotraining": cotraining.op8_cotraining,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_sharding": sharding.op10_sharding,
+    "op11_hard_negatives": hard_negatives.op11_hard_negatives,
+    "op12_byte_bpe": byte_bpe.op12_byte_bpe,
+    "op13_spelling": spelling.op13_spelling,
 }
 
 ORACLES: dict[str, str] = {
     "op1_decontaminate": decontaminate.OP1_SQL,
     "op2_quality_rules": quality_rules.OP2_SQL,
     "op6_mixing": mixing.OP6_SQL,
+    "op11_hard_negatives": hard_negatives.OP11_SQL,
 }
