@@ -231,3 +231,19 @@ CLOSE_FACTORS: dict[str, Expression] = {
     "low_volatility": -_RVOL(63),
     "mean_reversion": -((CLOSE - _SMA(20)) / _SMA(20)),
 }
+
+_DRIFT = lambda n: call("ts_mean", LOG_RETURNS, n) / (call("ts_std0", LOG_RETURNS, n) + 1e-9)
+#: The factors of the cross-sectional bundle, with the volatility forecast beside them.
+STANDARD_FACTORS: dict[str, Expression] = {
+    "momentum_1m": _MOM(21),
+    "momentum_3m": _MOM(63),
+    "momentum_12m_1m": CLOSE_FACTORS["momentum_skip1m"],
+    "vol_compression": Where(_RVOL(21) > 0, _RVOL(5) / _RVOL(21), Const(1.0)),
+    "short_term_reversal_5d": -_MOM(5),
+    "trend_quality_63d": _DRIFT(63),
+    "distance_to_52w_high": CLOSE_FACTORS["distance_to_52w_high"],
+    "reversal_21d": -_MOM(21),
+    "low_volatility_63d": -_RVOL(63),
+    "mean_reversion_63d": -((CLOSE - _SMA(63)) / _SMA(63)),
+    "realized_vol_21d": _RVOL(21),
+}

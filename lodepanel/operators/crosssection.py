@@ -87,3 +87,20 @@ def blend(factors: dict[str, float]) -> Column:
     for c, w in factors.items():
         out = out + F.coalesce(F.col(c), F.lit(0.0)) * w
     return out / total
+
+
+def factor_bundle(rows: DataFrame, factors: list[str], lower: float = 0.05, upper: float = 0.05) -> DataFrame:
+    """`rows(instrument, date, …)` with each factor clipped and ranked to [-1, 1] within its date; a missing one stays missing.
+
+    Rows that have under half of the factors that any row of their date has are left out. Factors are stacked, so that
+    all share one window by (date, factor).
+    """
+    stack = F.explode(F.array(*[F.struct(F.lit(f).alias("factor"), F.col(f).alias("x")) for f in factors])).alias("e")
+    long = rows.select("instrument", "date", stack).select("instrument", "date", "e.*").where(F.col("x").isNotNull() & ~F.isnan("x"))
+    long = long.withColumn("x", winsorize(F.col("x"), "date", "factor", lower=lower, upper=upper))
+    long = long.select("instrument", "date", "factor", rank_pm1(F.col("x"), "date", "factor").alias("x"))
+    wide = long.groupBy("instrument", "date").agg(*[F.max(F.when(F.col("factor") == f, F.col("x"))).alias(f) for f in factors])
+    day = W.partitionBy("date")
+    hits = sum((F.when(F.col(f).isNotNull(), 1).otherwise(0) for f in factors), F.lit(0))
+    alive = sum((F.max(F.when(F.col(f).isNotNull(), 1).otherwise(0)).over(day) for f in factors), F.lit(0))
+    return wide.where(F.lit(True)).withColumns({"_hits": hits, "_need": F.ceil(alive / 2)}).where(F.col("_hits") >= F.col("_need")).drop("_hits", "_need")

@@ -134,30 +134,36 @@ def purged_kfold(rows: DataFrame, k: int, purge: int, embargo: int, on: str = "d
     return joined.where(test | train).select(*rows.columns, "fold", F.when(test, "test").otherwise("train").alias("part"))
 
 
-def correlation_weights(df: DataFrame, features: list[str], label: str, non_negative: bool = True) -> DataFrame:
-    """(feature, ic, weight): pooled rank correlations, normalised to absolute sum 1; all zero gives equal weights."""
-    long = df.where(F.col(label).isNotNull()).select(F.col(label).alias("l"), F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.coalesce(F.col(f), F.lit(0.0)).alias("x")) for f in features])).alias("e"))
-    counts = long.select("l", "e.*").groupBy("feature", "x", "l").agg(F.count(F.lit(1)).alias("n"))
-    ranks = weighted_ranks(weighted_ranks(counts, "x", "rx"), "l", "rl")
+def correlation_weights(df: DataFrame, features: list[str], label: str, non_negative: bool = True, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, feature, ic, weight): pooled rank correlations, normalised to absolute sum 1; all zero gives equal weights."""
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.coalesce(F.col(f), F.lit(0.0)).alias("x")) for f in features])).alias("e")
+    long = df.where(F.col(label).isNotNull()).select(*by, F.col(label).alias("l"), each)
+    keys = [*by, "feature"]
+    counts = long.select(*by, "l", "e.*").groupBy(*keys, "x", "l").agg(F.count(F.lit(1)).alias("n"))
+    ranks = weighted_ranks(weighted_ranks(counts, "x", "rx", keys), "l", "rl", keys)
     w = F.col("n")
-    sums = ranks.groupBy("feature").agg(*[F.sum(w * c).alias(a) for a, c in {"n": F.lit(1.0), "sx": F.col("rx"), "sy": F.col("rl"), "sxy": F.col("rx") * F.col("rl"), "sxx": F.col("rx") ** 2, "syy": F.col("rl") ** 2}.items()])
+    sums = ranks.groupBy(*keys).agg(*[F.sum(w * c).alias(a) for a, c in {"n": F.lit(1.0), "sx": F.col("rx"), "sy": F.col("rl"), "sxy": F.col("rx") * F.col("rl"), "sxx": F.col("rx") ** 2, "syy": F.col("rl") ** 2}.items()])
     top = F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")
     under = F.sqrt((F.col("sxx") - F.col("sx") ** 2 / F.col("n")) * (F.col("syy") - F.col("sy") ** 2 / F.col("n")))
     ic = F.coalesce(F.try_divide(top, under), F.lit(0.0))
-    ics = sums.select("feature", ic.alias("ic"))
-    raw = F.greatest(F.col("ic"), F.lit(0.0)) if non_negative else F.col("ic")
-    everything = W.partitionBy(F.lit(1))  # one row a feature
+    return shared_weights(sums.select(*keys, ic.alias("ic")), F.greatest(F.col("ic"), F.lit(0.0)) if non_negative else F.col("ic"), by)
+
+
+def shared_weights(rows: DataFrame, raw: Column, by: tuple[str, ...] = ()) -> DataFrame:
+    """`rows` with weight: `raw` over the sum of sizes within `by`, or equal shares where that is 0. A row a feature."""
+    everything = W.partitionBy(*by) if by else W.partitionBy(F.lit(1))
     total = F.sum(F.abs(raw)).over(everything)
-    return ics.withColumn("weight", F.when(total > 0, raw / total).otherwise(1 / F.count(F.lit(1)).over(everything)))
+    return rows.withColumn("weight", F.when(total > 0, raw / total).otherwise(1 / F.count(F.lit(1)).over(everything)))
 
 
-def weighted_ranks(counts: DataFrame, value: str, out: str) -> DataFrame:
-    """Average ranks within `feature` of values that stand for `n` rows each, by counts of distinct values."""
+def weighted_ranks(counts: DataFrame, value: str, out: str, by: list[str] | None = None) -> DataFrame:
+    """Average ranks within `by` (a feature, if not given) of values that stand for `n` rows each, by counts of distinct values."""
     from .audit import cumulative
 
-    each = counts.groupBy("feature", value).agg(F.sum("n").alias("_n"))
-    ranks = cumulative(each, ["feature"], value, "_n", "_upto")
-    return counts.join(ranks.select("feature", value, (F.col("_upto") - (F.col("_n") - 1) / 2).alias(out)), ["feature", value])
+    by = by or ["feature"]
+    each = counts.groupBy(*by, value).agg(F.sum("n").alias("_n"))
+    ranks = cumulative(each, by, value, "_n", "_upto")
+    return counts.join(ranks.select(*by, value, (F.col("_upto") - (F.col("_n") - 1) / 2).alias(out)), [*by, value])
 
 
 def attribution(weights: DataFrame, returns: DataFrame, sectors: DataFrame) -> DataFrame:

@@ -27,15 +27,20 @@ def moments(df: DataFrame, columns: list[str]) -> tuple[int, np.ndarray, np.ndar
 def ridge_nonnegative(df: DataFrame, features: list[str], label: str, l2: float = 1.0, rounds: int = 10_000, tolerance: float = 1e-12) -> dict[str, float]:
     """Weights of at least 0 that minimise squared error plus `l2` times their squares, by coordinate descent on the Gram matrix."""
     n, _, products = moments(df, [*features, label])
-    gram, right = products[:-1, :-1] + l2 * np.eye(len(features)), products[:-1, -1]
-    w = np.zeros(len(features))
-    for _ in range(rounds if n else 0):
+    w = nonnegative(products[:-1, :-1], products[:-1, -1], l2, rounds, tolerance) if n else np.zeros(len(features))
+    return dict(zip(features, w.tolist(), strict=True))
+
+
+def nonnegative(gram: np.ndarray, right: np.ndarray, l2: float, rounds: int = 10_000, tolerance: float = 1e-12) -> np.ndarray:
+    """The weights of at least 0 of a ridge problem given by its sums of products."""
+    gram, w = gram + l2 * np.eye(len(gram)), np.zeros(len(gram))
+    for _ in range(rounds):
         before = w.copy()
         for k in range(len(w)):
             w[k] = max(0.0, (right[k] - gram[k] @ w + gram[k, k] * w[k]) / gram[k, k])
-        if np.abs(w - before).max() <= tolerance * max(1.0, np.abs(w).max()):
+        if np.abs(w - before).max(initial=0.0) <= tolerance * max(1.0, np.abs(w).max(initial=0.0)):
             break
-    return dict(zip(features, w.tolist(), strict=True))
+    return w
 
 
 def linear_score(weights: dict[str, float], centre: dict[str, float] | None = None, scale: dict[str, float] | None = None) -> Column:

@@ -11,6 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from .settle import settled
+
 STREAK = 3
 TREND_DEFAULT, VOL_DEFAULT, BREADTH_DEFAULT = 0.0, 0.20, 0.5
 
@@ -64,14 +66,112 @@ def stable_label_stream(labelled: DataFrame) -> DataFrame:
 
     def walk(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = state.get if state.exists else (None, None, 0)
-        for frame in frames:
-            out = []
-            for label in (frame := frame.sort_values("date")).candidate:
-                held = advance(held, label)
-                out.append(held[0])
-            yield pd.DataFrame({"series": key[0], "date": frame.date, "candidate": frame.candidate, "stable": out})
+        # A key's rows of a batch may come in several frames, in no order; a series has one row a date.
+        frame, out = pd.concat(frames).sort_values("date"), []
+        for label in frame.candidate:
+            held = advance(held, label)
+            out.append(held[0])
         state.update(held)
+        yield pd.DataFrame({"series": key[0], "date": frame.date, "candidate": frame.candidate, "stable": out})
 
     return labelled.groupBy("series").applyInPandasWithState(
         walk, "series string, date date, candidate string, stable string", "stable string, pending string, run long", "append", GroupStateTimeout.NoTimeout
     )
+
+
+#: Thresholds of the regime labels, and the share of its confidence that a label keeps while the latest
+#: candidate is another one.
+CRISIS_VOL, RISK_OFF_VOL, LOW_VOL, VOL_MARGIN = 0.35, 0.25, 0.20, 0.005
+DOWNTREND, UPTREND, WEAK_BREADTH, STRONG_BREADTH = -0.05, 0.02, 0.40, 0.55
+DISAGREEMENT = 0.75
+LABELS = ("crisis", "risk_off", "risk_on", "transition")
+START = "transition"
+#: Dates whose maps are composed in one go.
+FAN = 64
+
+
+def classified(vol: Column, trend: Column, breadth: Column, current: Column) -> Column:
+    """The label of a date's statistics, given the label that holds; a struct with its confidence.
+
+    The label that holds is left later than it is entered, by a margin of volatility. A missing statistic meets no bound.
+    """
+    is_now = lambda label: current.eqNullSafe(F.lit(label))
+    ok = lambda c: F.coalesce(c, F.lit(False))
+    crisis_out = F.when(is_now("crisis"), CRISIS_VOL - VOL_MARGIN).otherwise(CRISIS_VOL)
+    risk_off_out = F.when(is_now("risk_off"), RISK_OFF_VOL - VOL_MARGIN).otherwise(RISK_OFF_VOL)
+    low_out = F.when(is_now("risk_on"), LOW_VOL + VOL_MARGIN).otherwise(LOW_VOL)
+    high, falling = ok(vol >= CRISIS_VOL), ok(trend <= DOWNTREND)
+    warnings = ok(vol >= risk_off_out).cast("int") + falling.cast("int") + ok(breadth <= WEAK_BREADTH).cast("int")
+    rising = ok((vol < low_out) & (trend >= UPTREND) & (breadth >= STRONG_BREADTH))
+    margin = F.least((LOW_VOL - vol) / LOW_VOL, trend / UPTREND, (breadth - STRONG_BREADTH) / (1 - STRONG_BREADTH))
+    said = lambda label, confidence: F.struct(F.lit(label).alias("label"), F.round(F.least(F.lit(1.0), confidence), 4).alias("confidence"))
+    return (
+        F.when(high, said("crisis", (vol - CRISIS_VOL) / 0.10 + 0.8))
+        .when(is_now("crisis") & ok(vol >= crisis_out) | ok(vol >= RISK_OFF_VOL) & falling, said("crisis", F.lit(0.75)))
+        .when(warnings > 0, said("risk_off", 0.5 + 0.15 * warnings))
+        .when(rising, said("risk_on", 0.6 + 0.4 * margin))
+        .otherwise(said("transition", F.lit(0.5)))
+    )
+
+
+def states_before(steps: DataFrame, by: list[str], nth: str, step: str, start: int) -> DataFrame:
+    """(by, nth, state): the state before each step of a machine with few states, by a prefix scan.
+
+    `step` is an array that maps state (from 0) to state; steps are numbered from 1 in `nth` within `by`. FAN
+    neighbouring maps are composed to one, level by level, until one is left; then the states before are handed down.
+    No task holds more than FAN maps of a series at a time, and no series is walked from end to end.
+    """
+    levels = [steps.select(*by, F.col(nth).cast("long").alias("nth"), F.col(step).alias("map"))]
+    left = levels[0].agg(F.max("nth")).first()[0] or 0
+    blocks = []
+    while left > 1:
+        level = levels[-1].groupBy(*by, F.floor((F.col("nth") - 1) / FAN).alias("block")).agg(F.sort_array(F.collect_list(F.struct("nth", "map"))).alias("items"))
+        blocks.append(settled(level))
+        one = F.aggregate("items", F.lit(None).cast("array<int>"), lambda acc, x: F.when(acc.isNull(), x["map"]).otherwise(F.transform(acc, lambda s: F.get(x["map"], s))))
+        levels.append(blocks[-1].select(*by, (F.col("block") + 1).alias("nth"), one.alias("map")))
+        left = -(-left // FAN)
+    known = levels[-1].select(*by, "nth", F.lit(start).alias("state"))
+    for level in reversed(blocks):
+        above = known.select(*[F.col(c).alias(f"_{c}") for c in by], (F.col("nth") - 1).alias("_block"), "state")
+        on = F.col("block") == F.col("_block")
+        for c in by:
+            on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
+        begin = F.struct(F.col("state").alias("s"), F.array().cast("array<int>").alias("seen"))
+        seen = F.aggregate("items", begin, lambda acc, x: F.struct(F.get(x["map"], acc["s"]).alias("s"), F.array_append(acc["seen"], acc["s"]).alias("seen")))["seen"]
+        each = level.join(above, on).select(*by, F.explode(F.arrays_zip(F.col("items.nth").alias("nth"), seen.alias("state"))).alias("e"))
+        known = each.select(*by, "e.nth", "e.state")
+    return known
+
+
+def regime_states(stats: DataFrame, window: int = STREAK) -> DataFrame:
+    """stats(series, date, vol, trend, breadth) with candidate, label and confidence of each date.
+
+    The candidate is classified under the label that holds; `window` equal candidates in a row make it the label. A
+    state of the machine is (label, last candidate, its run up to `window`); each date maps states to states, and the
+    maps are composed by `states_before`. A series has one row a date.
+    """
+    runs = [(label, last, run) for label in LABELS for last in LABELS for run in range(1, window + 1)]
+    states = [(label, None, 0) for label in LABELS] + runs
+    number = {s: i for i, s in enumerate(states)}
+
+    def after(label: str, last: str | None, run: int, seen: str) -> int:
+        run = min(run + 1, window) if last == seen else 1
+        return number[seen if run >= window else label, seen, run]
+
+    table = F.lit([[after(*s, seen) for s in states] for seen in LABELS])
+    rows = stats.withColumn("_nth", F.row_number().over(W.partitionBy("series").orderBy("date")))
+    got = F.array(*[classified(F.col("vol"), F.col("trend"), F.col("breadth"), F.lit(label))["label"] for label in LABELS])
+    rows = settled(rows.withColumn("_under", F.transform(got, lambda g: F.array_position(F.lit(list(LABELS)), g).cast("int") - 1)))
+    # For each state: what is seen under its label, and so the state after.
+    of_state = F.lit([LABELS.index(s[0]) for s in states])
+    step = F.transform(of_state, lambda label, i: F.get(F.get(table, F.get(F.col("_under"), label)), i))
+    before = states_before(rows.select("series", "_nth", step.alias("_step")), ["series"], "_nth", "_step", number[START, None, 0])
+    before = before.select(F.col("series").alias("_series"), F.col("nth").alias("_n"), "state")
+    named = F.get(F.lit([s[0] for s in states]), F.col("state"))
+    out = rows.join(before, F.col("series").eqNullSafe(F.col("_series")) & (F.col("_nth") == F.col("_n")))
+    out = out.withColumn("_seen", classified(F.col("vol"), F.col("trend"), F.col("breadth"), named))
+    place = F.array_position(F.lit(list(LABELS)), F.col("_seen.label")).cast("int") - 1
+    out = out.withColumn("_label", F.get(F.lit([s[0] for s in states]), F.get(F.get(table, place), F.col("state"))))
+    sure = F.when(F.col("_label") == F.col("_seen.label"), F.col("_seen.confidence")).otherwise(F.col("_seen.confidence") * DISAGREEMENT)
+    return out.select(*stats.columns, F.col("_seen.label").alias("candidate"), F.col("_label").alias("label"), sure.alias("confidence"))
+

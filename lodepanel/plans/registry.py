@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import analytics, families, panel, studies
+from . import analytics, campaigns, families, panel, studies
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-for _queries, _oracles in (panel.all_queries(), (analytics.QUERIES, analytics.ORACLES), (families.QUERIES, families.ORACLES), (studies.QUERIES, studies.ORACLES)):
+for _queries, _oracles in (panel.all_queries(), (analytics.QUERIES, analytics.ORACLES), (families.QUERIES, families.ORACLES), (studies.QUERIES, studies.ORACLES), (campaigns.QUERIES, campaigns.ORACLES)):
     QUERIES |= _queries
     ORACLES |= _oracles
