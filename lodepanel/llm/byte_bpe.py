@@ -6,9 +6,8 @@ token that begins at each byte. From left to right the longest token is taken th
 may, the token before is taken back for its next shorter prefix, and the place is never tried again. Two tokens may stand
 side by side if the two together encode to just these two; that is found by unmaking their last merges, and remembered.
 A sequence in which every neighbouring pair may stand so is the one that the merges make, so the result is exact, and as
-each place fails at most once, the time is linear in the bytes. A run of text from one single blank to the next is split and
-encoded once by a task and then looked up; a blank between two characters that are not white space must begin a piece
-(true of `public_tokenizers.PATTERN`, and a condition for other patterns).
+each place fails at most once, the time is linear in the bytes. A piece is encoded once by a worker and then looked up. Ids
+are decoded by gathering the bytes of all tokens of a batch from one array.
 
 The rank file must hold tokens made of tokens of lower rank, as training leaves them; it is read once by each Python worker.
 
@@ -21,12 +20,12 @@ bytes null; null ids decode to no bytes; an empty table gives no rows.
 from __future__ import annotations
 
 import base64
-import re
 from array import array
 from collections.abc import Iterator
 from functools import cache
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,14 +33,10 @@ from pyspark.sql import functions as F
 from ._text import table
 
 #: Bytes of pieces, and pairs of tokens, that a task remembers before it forgets them all.
-MEMORY = 112 << 20
+MEMORY = 80 << 20
 PAIRS = 1_000_000
-#: Ids, and bytes, that leave a Python task at once.
+#: Ids that a Python task takes or gives at once.
 BATCH_IDS = 1 << 20
-BATCH_BYTES = 8 << 20
-
-#: A blank where the pattern always begins a new piece.
-_BLANK = re.compile(r"(?<=\S) (?=\S)")
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -126,16 +121,14 @@ class ByteBpe:
         """The ids of one piece."""
         if (one := self.ranks.get(piece)) is not None:
             return [one]
-        n, last_end, beyond = len(piece), -1, self.beyond
-        longest = [-1] * (n + 1)
-        for end, token in self.automaton.iter(piece[::-1].decode("latin-1")):
-            if end != last_end:  # matches with one end come longest first
-                longest[n - 1 - end] = token
-                last_end = end
+        n, beyond = len(piece), self.beyond
+        # By the place where they end in the reversed piece. Matches of one place come longest first, so the last to be
+        # put into the dict is the longest.
+        longest = dict(reversed(list(self.automaton.iter(piece[::-1].decode("latin-1")))))
         failed = bytearray(n + 1)
         pairs, sizes, shorter = self.pairs, self.sizes, self.shorter_of
         ids: list[int] = []
-        at, before, token = 0, -1, longest[0]
+        at, before, token = 0, -1, longest.get(n - 1, -1)
         while at < n:
             while token >= 0:
                 end = at + sizes[token]
@@ -147,7 +140,7 @@ class ByteBpe:
                 token = self.shorter(token) if known is None else known
             if token >= 0:
                 ids.append(token)
-                at, before, token = end, token, longest[end]
+                at, before, token = end, token, longest.get(n - 1 - end, -1)
             else:
                 failed[at] = 1
                 back = ids.pop()
@@ -156,63 +149,71 @@ class ByteBpe:
         return ids
 
 
-class Remembered(dict):
-    """Texts and their ids, as bytes of 32-bit numbers. The oldest half goes when MEMORY is reached."""
+class Pieces(dict):
+    """Pieces of the pattern and their ids, as bytes of 32-bit numbers. The older half goes when MEMORY is reached."""
+
+    def __init__(self, path: str, pattern: str):
+        import regex
 
-    def __init__(self) -> None:
+        self.split = regex.compile(pattern).findall
+        self.bpe = ByteBpe(read_ranks(path))
         self.old: dict[str, bytes] = {}
         self.held = 0
 
-    def encode(self, text: str) -> bytes:
-        raise NotImplementedError
-
-    def __missing__(self, text: str) -> bytes:
-        if (ids := self.old.get(text)) is None:
-            ids = self.encode(text)
-        self.held += len(text) + len(ids) + 200
+    def __missing__(self, piece: str) -> bytes:
+        if (ids := self.old.get(piece)) is None:
+            ids = array("i", self.bpe.encode(piece.encode())).tobytes()
+        self.held += len(piece) + len(ids) + 200
         if self.held >= MEMORY // 2:
             self.held, self.old = 0, dict(self)
             self.clear()
-        self[text] = ids
+        self[piece] = ids
         return ids
 
-
-class Pieces(Remembered):
-    """The ids of a piece of the pattern."""
-
-    def __init__(self, path: str, pattern: str):
-        import regex
-
-        super().__init__()
-        self.split = regex.compile(pattern).findall
-        self.bpe = ByteBpe(read_ranks(path))
-
-    def encode(self, text: str) -> bytes:
-        return array("i", self.bpe.encode(text.encode())).tobytes()
-
     def ids(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, self.split(text)))
 
 
-class Runs(Remembered):
-    """The ids of a blank and the run after it. Between two characters that are not white space a blank begins a piece."""
+@cache
+def pieces_of(path: str, pattern: str) -> Pieces:
+    """One for each Python worker, which serves many tasks."""
+    return Pieces(path, pattern)
 
-    def __init__(self, path: str, pattern: str):
-        super().__init__()
-        self.pieces = Pieces(path, pattern)
 
-    def encode(self, text: str) -> bytes:
-        return self.pieces.ids(" " + text)
+class Vocabulary:
+    """The bytes of all tokens in one array, by their ids."""
 
-    def ids(self, text: str) -> bytes:
-        first, *others = _BLANK.split(text)
-        return self.pieces.ids(first) + b"".join(map(self.__getitem__, others))
+    def __init__(self, ranks: dict[bytes, int]):
+        known = [b""] * (max(ranks.values(), default=-1) + 1)
+        for token, rank in ranks.items():
+            known[rank] = token
+        self.size = np.array([len(token) for token in known], dtype=np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.pool = np.frombuffer(b"".join(known), dtype=np.uint8)
+
+    def decode(self, lists: pa.ListArray) -> pa.Array:
+        """The bytes of each list of ids; null for a list with an id that no token has."""
+        ends = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))
+        ids = lists.flatten().fill_null(-1).to_numpy()
+        odd = (ids < 0) | (ids >= len(self.size))
+        ids = np.where(odd, 0, ids)
+        odd |= self.size[ids] == 0
+        sizes = np.where(odd, 0, self.size[ids])
+        upto = np.concatenate(([0], np.cumsum(sizes)))
+        out = np.empty(upto[-1], dtype=np.uint8)
+        for k in range(0, len(ids), BATCH_IDS):
+            part = slice(k, k + BATCH_IDS)
+            first = self.start[ids[part]] - (upto[:-1][part] - upto[k])
+            n = upto[min(k + BATCH_IDS, len(ids))] - upto[k]
+            out[upto[k] : upto[k] + n] = self.pool[np.arange(n) + np.repeat(first, sizes[part])]
+        whole = np.diff(np.concatenate(([0], np.cumsum(odd)))[ends]) == 0
+        valid = None if whole.all() else pa.py_buffer(np.packbits(whole, bitorder="little"))
+        return pa.Array.from_buffers(pa.large_binary(), len(lists), [valid, pa.py_buffer(upto[ends]), pa.py_buffer(out)])
 
 
 @cache
-def runs_of(path: str, pattern: str) -> Runs:
-    """One for each Python worker, which serves many tasks."""
-    return Runs(path, pattern)
+def vocabulary_of(path: str) -> Vocabulary:
+    return Vocabulary(read_ranks(path))
 
 
 def _lists(rows: list[bytes]) -> pa.Array:
@@ -226,11 +227,11 @@ def encode_texts(docs: DataFrame, ranks: str, pattern: str, text: str = "text",
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept"), body.alias("body"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs = runs_of(ranks, pattern)
+        pieces = pieces_of(ranks, pattern)
         for batch in batches:
             kept, done, begun, n = batch.column("kept"), [], 0, 0
             for k, text in enumerate(batch.column("body")):
-                done.append(runs.ids(text.as_py().decode("utf-8", "replace")))
+                done.append(pieces.ids(text.as_py().decode("utf-8", "replace")))
                 n += len(done[-1]) // 4
                 if n >= BATCH_IDS or k + 1 == batch.num_rows:
                     yield pa.RecordBatch.from_arrays([kept.slice(begun, k + 1 - begun), _lists(done)], names=["kept", "ids"])
@@ -244,18 +245,16 @@ def decode_ids(rows: DataFrame, ranks: str, ids: str = "ids") -> DataFrame:
     held = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("kept"), F.coalesce(F.col(f"`{ids}`"), F.array().cast("array<int>")).alias("ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = {rank: token for token, rank in read_ranks(ranks).items()}
+        vocabulary = vocabulary_of(ranks)
         for batch in batches:
-            kept, done, begun, n = batch.column("kept"), [], 0, 0
-            for k, got in enumerate(batch.column("ids")):
-                try:
-                    done.append(b"".join([tokens[x] for x in got.as_py()]))
-                    n += len(done[-1])
-                except KeyError:
-                    done.append(None)
-                if n >= BATCH_BYTES or k + 1 == batch.num_rows:
-                    yield pa.RecordBatch.from_arrays([kept.slice(begun, k + 1 - begun), pa.array(done, type=pa.binary())], names=["kept", "decoded"])
-                    done, begun, n = [], k + 1, 0
+            lists = batch.column("ids")
+            ends, begun = np.cumsum(lists.value_lengths().to_numpy()), 0
+            while begun < batch.num_rows:  # slices of about BATCH_IDS ids, of one row at least
+                before = ends[begun - 1] if begun else 0
+                n = max(1, int(np.searchsorted(ends, before + BATCH_IDS, side="right")) - begun)
+                done = vocabulary.decode(lists.slice(begun, n)).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("kept").slice(begun, n), done], names=["kept", "decoded"])
+                begun += n
 
     return held.mapInArrow(run, f"kept {held.dtypes[0][1]}, decoded binary").select("kept.*", "decoded")
 

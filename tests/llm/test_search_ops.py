@@ -99,30 +99,30 @@ def library():
 
 
 @pytest.fixture(scope="module")
-def runs():
+def pieces():
     import public_tokenizers as tokenizers
 
-    return byte_bpe.runs_of(tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN)
+    return byte_bpe.pieces_of(tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN)
 
 
 def listed(ids):
     return np.frombuffer(ids, dtype=np.int32).tolist()
 
 
-def test_encoding_equals_the_library(library, runs):
+def test_encoding_equals_the_library(library, pieces):
     rng = random.Random(1)
     letters = ["ab", "aeiou tn", "0123456789 ", "!@#$%^&*()_+-= ", "äöüß éÀ", "日本語中文。、", "\n\t  \r  \x85\xa0\x1c", "\U0001f600\U0001f468‍", "the in er on re an at'll's"]
     for _ in range(4000):
         some = rng.choice(letters) if rng.random() < 0.7 else "".join(letters)
         text = "".join(rng.choice(some) for _ in range(rng.randrange(60)))
-        assert listed(runs.ids(text)) == library.encode_ordinary(text), text
+        assert listed(pieces.ids(text)) == library.encode_ordinary(text), text
     for text in ("", " ", "  a", "a ", "<|endoftext|>", "a" * 20000, " " * 999 + "x", "=-" * 5000, "don't  we'll\n\n I've"):
-        assert listed(runs.ids(text)) == library.encode_ordinary(text)
+        assert listed(pieces.ids(text)) == library.encode_ordinary(text)
 
 
-def test_pieces_of_any_bytes(library, runs):
+def test_pieces_of_any_bytes(library, pieces):
     rng = random.Random(2)
-    bpe = runs.pieces.bpe
+    bpe = pieces.bpe
     for k in range(3000):
         piece = bytes(rng.choice(b"abcdeinorst ") if k % 2 else rng.randrange(256) for _ in range(rng.randrange(1, 40)))
         ids = bpe.encode(piece)
@@ -130,13 +130,13 @@ def test_pieces_of_any_bytes(library, runs):
         assert ids == library._encode_single_piece(piece)
 
 
-def test_time_is_linear(runs):
+def test_time_is_linear(pieces):
     import time
 
     took = []
     for n in (100_000, 400_000):
         began = time.process_time()
-        runs.pieces.bpe.encode(b"abcabdab" * (n // 8))
+        pieces.bpe.encode(b"abcabdab" * (n // 8))
         took.append(time.process_time() - began)
     assert took[1] < 12 * took[0] + 0.5
 
@@ -153,8 +153,8 @@ def test_encode_and_decode_through_spark(spark, library):
     for r in both:
         text = texts[r.doc_id or 0] or ""
         assert (r.ids, bytes(r.decoded), r.kept, r.body) == (library.encode_ordinary(text), text.encode(), "keep", [r.doc_id or 0])
-    odd = spark.createDataFrame([(1, [0, 99_999_999]), (2, None), (3, [])], "doc_id long, ids array<int>")
-    assert {r.doc_id: r.decoded for r in byte_bpe.decode_ids(odd, path).collect()} == {1: None, 2: bytearray(), 3: bytearray()}
+    odd = spark.createDataFrame([(1, [0, 99_999_999]), (2, None), (3, []), (4, [0, None, 1])], "doc_id long, ids array<int>")
+    assert {r.doc_id: r.decoded for r in byte_bpe.decode_ids(odd, path).collect()} == {1: None, 2: bytearray(), 3: bytearray(), 4: None}
     assert byte_bpe.encode_texts(docs.limit(0), path, tokenizers.PATTERN).count() == 0
 
 
