@@ -18,7 +18,8 @@ Parsing runs in Arrow batches; the tree is counted by DataFrame aggregations ove
 with a third of all pages is spread like any other. Defined results: null, empty or blank html has empty text;
 unclosed and stray tags are repaired as browsers do for the common cases; elements that are not shown (hidden,
 aria-hidden, display:none) have no text; a null URL belongs to the host ""; equal pages of a host count once for its
-tree; repeated rows are extracted row by row; pages of any length and depth are read whole, by loops without recursion;
+tree; repeated rows are extracted row by row; pages of any length and depth are read whole, by loops without recursion, in time linear in
+their length however broken they are;
 a branch passes its importance on to its 64 nearest ancestors; columns named in `keep` come through whatever they are
 called, but for `text` and `n_chars`, which are the result's; an empty table gives no rows.
 """
@@ -27,6 +28,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -53,7 +55,12 @@ MEMORY = 1_000_000
 #: Kinds of counted facts.
 PAGE, LAYOUT, TEXT, LINKS, LINKED_TEXT, NAMED_OUT, ABOVE = range(7)
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>""", re.S)
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:"[^"]*"|'[^']*'|[^'">])*+)>""")
+_NAME = re.compile(r"</?[a-zA-Z]")
+_END_OF_NAME = re.compile(r"[\s/>]")
+_MARK = re.compile(r"""["'>]""")
+#: Letters within which nearly every tag ends; longer ones are looked up by their marks.
+NEAR = 256
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _DIGITS = re.compile(r"[0-9]+")
@@ -125,28 +132,112 @@ def _open(tag: str, attributes: str, above: Element) -> Element:
     return element
 
 
+class Tags:
+    """The tags of a page from left to right, in time linear in the page however broken it is.
+
+    A tag ends at the first > outside of quotes. Where it is not near, the end is found along the marks (quotes and >):
+    after an opening quote it is where it would be after the closing one, so each mark is looked at once a page.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        self.marks: list[int] | None = None
+        self.ends: dict[int, int] = {}
+        self.no_name_end = (0, -1)
+        self.last = page.rfind(">")
+
+    def _end(self, at: int) -> int:
+        """The place behind the tag whose attributes begin at `at`; -1 if there is none."""
+        page = self.page
+        if self.marks is None:
+            self.marks = [m.start() for m in _MARK.finditer(page)]
+            self.closing = {q: [k for k in self.marks if page[k] == q] for q in "\"'"}
+        passed: list[int] = []
+        while True:
+            k = bisect_left(self.marks, at)
+            if k == len(self.marks):
+                end = -1
+                break
+            mark = self.marks[k]
+            if (known := self.ends.get(mark)) is not None:
+                end = known
+                break
+            passed.append(mark)
+            if page[mark] == ">":
+                end = mark + 1
+                break
+            quotes = self.closing[page[mark]]
+            k = bisect_left(quotes, mark + 1)
+            if k == len(quotes):
+                end = -1
+                break
+            at = quotes[k] + 1
+        for mark in passed:
+            self.ends[mark] = end
+        return end
+
+    def _name_end(self, at: int) -> int:
+        if not self.no_name_end[0] <= at <= self.no_name_end[1]:
+            found = _END_OF_NAME.search(self.page, at)
+            self.no_name_end = at, found.start() if found else len(self.page)
+        return self.no_name_end[1]
+
+    def next(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        """(start, end, whether it closes, name, attributes) of the next tag from `at` on; comments have no name."""
+        page = self.page
+        while (start := page.find("<", at)) >= 0:
+            if start > self.last:  # only a comment without an end can begin here
+                start = page.find("<!--", start)
+                return (start, len(page), False, "", "") if start >= 0 else None
+            if found := _TAG.match(page, start, start + NEAR):
+                return start, found.end(), bool(found[1]), found[2].lower(), found[3]
+            after = page[start + 1 : start + 2]
+            if page.startswith("<!--", start):
+                end = page.find("-->", start + 4)
+                return start, end + 3 if end >= 0 else len(page), False, "", ""
+            if after in ("!", "?"):
+                end = page.find(">", start)
+                if end >= 0:
+                    return start, end + 1, False, "", ""
+            elif found := _NAME.match(page, start):
+                stop = self._name_end(found.end())
+                end = self._end(stop) if stop < len(page) else -1
+                if end >= 0:
+                    return start, end, after == "/", page[found.end() - 1 : stop].lower(), page[stop : end - 1]
+            at = start + 1
+        return None
+
+
 def parse(page: str | None) -> Element:
     """The page as a tree; scripts, styles and other raw content are left out."""
     root = Element("html", "", None)
-    stack, at, page, head = [root], 0, page or "", None
+    stack, at, page = [root], 0, page or ""
+    tags = Tags(page)
+    #: Of each tag: the depths at which it is open.
+    depths: dict[str, list[int]] = {}
+    nowhere = [0]
+
+    def cut(depth: int) -> None:
+        for element in reversed(stack[depth:]):
+            depths[element.tag].pop()
+        del stack[depth:]
+
     while at < len(page):
-        found = _TAG.search(page, at)
-        text = page[at : found.start() if found else len(page)]
+        found = tags.next(at)
+        text = page[at : found[0] if found else len(page)]
         if text:
             stack[-1].items.append(text)
         if not found:
             break
-        at = found.end()
-        tag = (found[2] or "").lower()
+        _, at, closes, tag, attributes = found
         if not tag:
             continue
-        if found[1]:
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
-            if depth:
-                del stack[depth:]
+        if closes:
+            if depths.get(tag):
+                cut(depths[tag][-1])
             continue
-        if head is not None and tag not in _IN_HEAD and head in stack:
-            del stack[stack.index(head) :]
+        if tag not in _IN_HEAD and depths.get("head"):
+            cut(depths["head"][-1])
         if tag in _RAW:
             end = _END_OF_RAW[tag].search(page, at)
             at = (page.find(">", end.end()) + 1 or len(page)) if end else len(page)
@@ -155,20 +246,16 @@ def parse(page: str | None) -> Element:
             continue
         if closing := _CLOSES.get(tag):
             kinds, stop = closing
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in kinds:
-                    del stack[i:]
-                    break
-                if stack[i].tag in stop:
-                    break
+            deepest = max((depths.get(k) or nowhere)[-1] for k in kinds)
+            if deepest and deepest > max((depths.get(k) or nowhere)[-1] for k in stop):
+                cut(deepest)
         if tag in _VOID:
             stack[-1].items.append(" " if tag != "hr" else Element("hr", "hr", stack[-1]))
             continue
-        element = _open(tag, found[3], stack[-1])
+        element = _open(tag, attributes, stack[-1])
         stack[-1].items.append(element)
-        if tag == "head":
-            head = element
-        if not found[3].endswith("/") or tag in _BLOCK:
+        if not attributes.endswith("/") or tag in _BLOCK:
+            depths.setdefault(tag, []).append(len(stack))
             stack.append(element)
     _set_apart(root)
     return root
