@@ -28,6 +28,8 @@ MOST = 2
 BLOCK = 64
 _CELLS = 1024
 _CHUNK = 65_536
+#: Copies of a row that one row of the plan stands for.
+_COPIES = 4096
 
 
 def word_count(text: Column) -> Column:
@@ -101,7 +103,7 @@ def mix(sized: DataFrame, targets: DataFrame, block: int = BLOCK, seed: str = ""
     # Equal rows are one row of the line, so that no id or text can fill a part.
     sized = sized.groupBy(*sized.columns).agg(F.count(F.lit(1)).alias("mix_times")) if "mark" in sized.columns else sized.withColumn("mix_times", F.lit(1).cast("long"))
     sized = settled(sized)
-    rows = sized.count()
+    rows, many = sized.agg(F.count(F.lit(1)), F.coalesce(F.max("mix_times"), F.lit(0))).first()
     digits = 1
     while 16**digits * 4096 < rows:
         digits += 1
@@ -109,7 +111,13 @@ def mix(sized: DataFrame, targets: DataFrame, block: int = BLOCK, seed: str = ""
     keyed = sized.withColumn("mix_key", F.md5(F.concat(F.lit(seed), F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(" "), mark)))
     keyed = keyed.withColumn("mix_part", F.substring("mix_key", 1, digits)).withColumn("mix_all", F.col("size") * F.col("mix_times"))
     line = running_total(keyed, ["source"], "mix_part", ["mix_key", "size"], "mix_all", "start")
-    line = line.withColumn("nth_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("mix_times") - 1)))
+    # Copies are dealt in parts, which are spread over tasks where a row has very many, and then told one by one.
+    last = F.col("mix_times") - 1
+    line = line.withColumn("copy_part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(last / _COPIES))))
+    if many > _COPIES:
+        line = line.repartition("mix_key", "copy_part")
+    first = F.col("copy_part") * _COPIES
+    line = line.withColumn("nth_copy", F.explode(F.sequence(first, F.least(first + _COPIES - 1, last))))
     line = settled(line.select(*own, *[c for c in ("mark",) if c in sized.columns], (F.col("start") + F.col("nth_copy") * F.col("size")).alias("start")))
     own = [*own, *[c for c in ("mark",) if c in sized.columns]]
     end = F.col("start") + F.col("size")

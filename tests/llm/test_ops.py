@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("lodepanel.llm")
 
@@ -596,3 +597,23 @@ def test_very_long_texts(spark):
     assert cotraining.features(docs).first().log_words == pytest.approx(12.8992, abs=1e-3)
     assert mixing.mix_documents(docs).count() in (1, 2)
     assert len(toxicity.Gains(b"horrible", b"").of(text)) == -(-400_000 // toxicity.WINDOW)
+
+
+def test_a_million_equal_rows_are_dealt_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "_COPIES", 1000)
+    rows = spark.range(1_000_000).select(F.lit(None).cast("long").alias("id"), F.when(F.col("id") < 400_000, "a").otherwise("b").alias("source"), F.lit(1).cast("long").alias("size"), F.lit(7).cast("long").alias("mark"))
+    mixed = mixing.mix(rows, mixing.source_targets(rows)).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("taken").alias("taken"), F.max("target").alias("target"), F.max("taken").alias("most"))
+    got = {r.source: r for r in mixed.collect()}
+    assert {s: r.n for s, r in got.items()} == {"a": 400_000, "b": 600_000}
+    assert all(abs(r.taken - r.target) <= 64 and r.most <= 2 for r in got.values())
+
+
+def test_broken_pages_are_read_in_linear_time():
+    import time
+
+    began = time.process_time()
+    for page in ("<a " * 300_000, '<a b="' * 200_000 + ">", "<a<a" * 300_000 + ">", "<!" * 500_000, "<div>" * 100_000 + "</b>" * 200_000, "<p><table><tr><td>" + "<div>" * 150_000, "<head></head>" + "<b>" * 200_000, "<x y='\" " * 150_000 + ">"):
+        html_tree.parse(page)
+    assert time.process_time() - began < 60
+    assert html_tree.extract("<p>a < b and <c</p><p>1 <2</p>") == "a < b and\n1 <2"
+    assert html_tree.extract('<p title="' + "x>" * 600 + '">long tag</p>') == "long tag"
