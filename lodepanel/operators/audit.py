@@ -106,21 +106,28 @@ def winsor_impact(df: DataFrame, value: str) -> DataFrame:
     return df.agg(F.when(F.count(v) < 20, 0.0).otherwise(F.avg(F.abs(v - clipped)) / size).alias("winsor_impact"))
 
 
-def permuted(df: DataFrame, score: str, label: str, seeds: int) -> DataFrame:
-    """(seed, date, f, l): ranks of scores beside those of labels dealt anew within each date, for seeds 0 to `seeds` - 1."""
-    day = W.partitionBy("date")
-    rows = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).select("instrument", "date", average_rank(F.col(score), "date").alias("f"), average_rank(F.col(label), "date").alias("l"), F.count(F.lit(1)).over(day).alias("size"))
-    rows = settled(rows.where("size >= 3").withColumn("place", F.row_number().over(day.orderBy("instrument"))))
-    dealt = rows.select("date", "instrument", "l", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))).alias("seed"))
-    order = [F.md5(F.concat_ws(":", F.col("seed").cast("string"), F.col("date").cast("string"), F.col("instrument").cast("string")).cast("binary")), F.col("instrument")]
-    dealt = dealt.select("seed", F.col("date").alias("d"), "l", F.row_number().over(W.partitionBy("seed", "date").orderBy(*order)).alias("p"))
-    return dealt.join(rows.select("date", "place", "f"), (F.col("d") == F.col("date")) & (F.col("p") == F.col("place"))).select("seed", "date", "f", "l")
-
-
 def permuted_ics(df: DataFrame, score: str, label: str, seeds: int = 1) -> DataFrame:
-    """(seed, ic): mean daily rank IC with labels dealt anew within dates of three rows or more."""
-    daily = permuted(df, score, label, seeds).groupBy("seed", "date").agg(F.coalesce(safe_corr(F.col("f"), F.col("l")), F.lit(0.0)).alias("ic"))
-    return daily.groupBy("seed").agg(F.avg("ic").alias("ic"))
+    """(seed, ic): mean daily rank IC with labels dealt anew within dates of three rows or more, for seeds 0 to `seeds` - 1.
+
+    A date's ranks are kept as one array, ordered by name; a seed deals the labels by the order of hashes of seed, date
+    and name, inside the row. So the panel is shuffled once, whatever the number of seeds. A date holds as many names as the
+    universe of a day.
+    """
+    both = df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
+    ranked = both.select("instrument", "date", average_rank(F.col(score), "date").alias("f"), average_rank(F.col(label), "date").alias("l"))
+    days = settled(ranked.groupBy("date").agg(F.sort_array(F.collect_list(F.struct("instrument", "f", "l"))).alias("rows")).where(F.size("rows") >= 3))
+    each = days.select("date", "rows", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))).alias("seed"))
+    mark = lambda x: F.md5(F.concat_ws(":", F.col("seed").cast("string"), F.col("date").cast("string"), x["instrument"].cast("string")).cast("binary"))
+    dealt = F.sort_array(F.transform("rows", lambda x: F.struct(mark(x).alias("mark"), x["instrument"].alias("instrument"), x["l"].alias("l"))))
+    pairs = F.zip_with("rows", dealt, lambda a, b: F.struct((a["f"] * b["l"]).alias("fl"), a["f"].alias("f"), a["l"].alias("l")))
+    zero = F.struct(*[F.lit(0.0).alias(c) for c in ("fl", "f", "l", "ff", "ll")])
+    add = lambda s, x: F.struct((s["fl"] + x["fl"]).alias("fl"), (s["f"] + x["f"]).alias("f"), (s["l"] + x["l"]).alias("l"), (s["ff"] + x["f"] * x["f"]).alias("ff"), (s["ll"] + x["l"] * x["l"]).alias("ll"))
+    n = F.size("rows")
+    sums = each.select("seed", n.alias("n"), F.aggregate(pairs, zero, add).alias("s"))
+    top = F.col("s.fl") - F.col("s.f") * F.col("s.l") / F.col("n")
+    under = (F.col("s.ff") - F.col("s.f") ** 2 / F.col("n")) * (F.col("s.ll") - F.col("s.l") ** 2 / F.col("n"))
+    ic = F.when(under > 1e-9, top / F.sqrt(under)).otherwise(0.0)
+    return sums.groupBy("seed").agg(F.avg(ic).alias("ic"))
 
 
 def null_baseline(df: DataFrame, score: str, label: str, seeds: int = 100) -> DataFrame:
@@ -285,3 +292,18 @@ def availability_violations(samples: DataFrame) -> DataFrame:
         F.coalesce(F.try_to_timestamp(F.try_element_at("metadata", F.lit(key))).cast("timestamp_ntz") > F.col("as_of"), F.lit(True)),
     ).otherwise(False)
     return samples.agg((F.count_if(bad("available_at")) + F.count_if(bad("source_available_at"))).alias("violations"))
+
+
+def economic_gate(features: DataFrame, least_thesis: int = 30) -> DataFrame:
+    """features(name, thesis, expected_sign, required_lags array, failure_modes array, state, ic_mean) with blockers and passed.
+
+    A thesis must say something, lags must be named, a feature in use must name its failure modes, and the IC must not
+    go against the expected sign (any but `non_monotonic`).
+    """
+    empty = lambda c: F.coalesce(F.size(c) <= 0, F.lit(True))
+    against = (F.col("expected_sign") != "non_monotonic") & (F.coalesce("ic_mean", F.lit(0.0)) < 0)
+    found = F.array_compact(F.array(
+        F.when(F.coalesce(F.length(F.trim("thesis")), F.lit(0)) < least_thesis, F.lit("thesis")), F.when(empty("required_lags"), F.lit("required_lags")),
+        F.when(empty("failure_modes") & F.lower("state").isin("paper", "live"), F.lit("failure_modes")), F.when(F.coalesce(against, F.lit(True)), F.lit("sign")),
+    ))
+    return features.withColumn("blockers", found).withColumn("passed", F.size("blockers") == 0)

@@ -84,8 +84,8 @@ def ridge_by_ic(df: DataFrame, features: list[str], label: str, date: str = "dat
     """(l2, mean_ic, dates, chosen): each strength's mean rank IC on dates that its fit has not seen.
 
     The fit without a date comes from the total of all sums less that date's own, for all strengths at once, so the
-    rows are read twice however many dates there are. Dates of one row, and fits without weights, do not count; of equal
-    strengths the first wins. If none counts, the only row is the fallback.
+    rows are read twice however many dates there are. Dates of one row, and fits without weights, do not count; of
+    strengths whose ICs agree to twelve places the smallest wins. If none counts, the only row is the fallback.
     """
     k = len(features)
     day, l2, w = (free_name(df, x) for x in ("of_day", "l2", "w"))
@@ -113,7 +113,7 @@ def ridge_by_ic(df: DataFrame, features: list[str], label: str, date: str = "dat
     ics = ranked.groupBy("l2", "day").agg(F.coalesce(safe_corr(F.col("s"), F.col("y")), F.lit(0.0)).alias("ic"))
     means = ics.groupBy("l2").agg(F.avg("ic").alias("mean_ic"), F.count(F.lit(1)).alias("dates"))
     spark = df.sparkSession
-    best = F.row_number().over(W.orderBy(F.col("mean_ic").desc_nulls_last(), "l2"))  # a row a candidate
+    best = F.row_number().over(W.orderBy(F.round("mean_ic", 12).desc_nulls_last(), "l2"))  # a row a candidate
     none = spark.createDataFrame([(fallback,)], "l2 double").select("l2", F.lit(None).cast("double").alias("mean_ic"), F.lit(0).cast("long").alias("dates"))
     return means.unionByName(none.join(means.limit(1).select(F.lit(1)), how="left_anti")).withColumn("chosen", best == 1)
 

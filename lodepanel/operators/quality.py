@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .names import free_name
+
 
 def valid_bar() -> Column:
     """Positive prices, high the largest and low the smallest."""
@@ -81,7 +83,8 @@ def adjust(bars: DataFrame, actions: DataFrame) -> DataFrame:
     Actions are few for an instrument and travel as one array.
     """
     later = F.sort_array(F.collect_list(F.struct("ex_date", (F.col("kind") == "split").cast("int").alias("split"), "ratio", "cash")), asc=False)
-    lists = actions.groupBy("instrument").agg(later.alias("actions"))
+    named = free_name(bars, "actions")
+    lists = actions.groupBy("instrument").agg(later.alias(named))
     joined = bars.join(lists, "instrument", "left")
     start = F.struct(*[F.col(c).cast("double").alias(c) for c in ("open", "high", "low", "close", "vwap")], F.col("volume").cast("double").alias("volume"))
     prices = ("open", "high", "low", "close", "vwap")
@@ -94,10 +97,10 @@ def adjust(bars: DataFrame, actions: DataFrame) -> DataFrame:
         dividend = F.struct(*[floor[c].alias(c) for c in prices], s["volume"].alias("volume"))
         return F.when(a["split"] == 1, split).otherwise(dividend)
 
-    due = F.filter(F.coalesce("actions", F.array().cast(lists.schema["actions"].dataType)), lambda a: F.col("date") < a["ex_date"])
-    out = joined.withColumn("_adjusted", F.aggregate(due, start, step))
-    changed = {*prices, "volume"}
-    return out.select(*[F.col(f"_adjusted.{c}").alias(c) if c in changed else F.col(f"`{c}`") for c in bars.columns])
+    due = F.filter(F.coalesce(named, F.array().cast(lists.schema[named].dataType)), lambda a: F.col("date") < a["ex_date"])
+    adjusted, changed = free_name(bars, "adjusted"), {*prices, "volume"}
+    out = joined.withColumn(adjusted, F.aggregate(due, start, step))
+    return out.select(*[F.col(f"{adjusted}.{c}").alias(c) if c in changed else F.col(f"`{c}`") for c in bars.columns])
 
 
 def failover(primary: DataFrame, secondary: DataFrame) -> DataFrame:

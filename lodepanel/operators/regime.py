@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from .names import free_name
 from .settle import settled
 
 STREAK = 3
@@ -159,19 +160,19 @@ def regime_states(stats: DataFrame, window: int = STREAK) -> DataFrame:
         return number[seen if run >= window else label, seen, run]
 
     table = F.lit([[after(*s, seen) for s in states] for seen in LABELS])
-    rows = stats.withColumn("_nth", F.row_number().over(W.partitionBy("series").orderBy("date")))
-    got = F.array(*[classified(F.col("vol"), F.col("trend"), F.col("breadth"), F.lit(label))["label"] for label in LABELS])
-    rows = settled(rows.withColumn("_under", F.transform(got, lambda g: F.array_position(F.lit(list(LABELS)), g).cast("int") - 1)))
+    nth, under, series, at, state, now, held = (free_name(stats, x) for x in ("_nth", "_under", "_series", "_at", "_state", "_now", "_held"))
+    vol, trend, breadth = F.col("vol"), F.col("trend"), F.col("breadth")
+    place = lambda label: F.array_position(F.lit(list(LABELS)), label).cast("int") - 1
+    rows = stats.withColumn(nth, F.row_number().over(W.partitionBy("series").orderBy("date")))
+    rows = settled(rows.withColumn(under, F.array(*[place(classified(vol, trend, breadth, F.lit(label))["label"]) for label in LABELS])))
     # For each state: what is seen under its label, and so the state after.
     of_state = F.lit([LABELS.index(s[0]) for s in states])
-    step = F.transform(of_state, lambda label, i: F.get(F.get(table, F.get(F.col("_under"), label)), i))
-    before = states_before(rows.select("series", "_nth", step.alias("_step")), ["series"], "_nth", "_step", number[START, None, 0])
-    before = before.select(F.col("series").alias("_series"), F.col("nth").alias("_n"), "state")
-    named = F.get(F.lit([s[0] for s in states]), F.col("state"))
-    out = rows.join(before, F.col("series").eqNullSafe(F.col("_series")) & (F.col("_nth") == F.col("_n")))
-    out = out.withColumn("_seen", classified(F.col("vol"), F.col("trend"), F.col("breadth"), named))
-    place = F.array_position(F.lit(list(LABELS)), F.col("_seen.label")).cast("int") - 1
-    out = out.withColumn("_label", F.get(F.lit([s[0] for s in states]), F.get(F.get(table, place), F.col("state"))))
-    sure = F.when(F.col("_label") == F.col("_seen.label"), F.col("_seen.confidence")).otherwise(F.col("_seen.confidence") * DISAGREEMENT)
-    return out.select(*stats.columns, F.col("_seen.label").alias("candidate"), F.col("_label").alias("label"), sure.alias("confidence"))
-
+    step = F.transform(of_state, lambda label, i: F.get(F.get(table, F.get(F.col(under), label)), i))
+    before = states_before(rows.select("series", F.col(nth).alias("nth"), step.alias("step")), ["series"], "nth", "step", number[START, None, 0])
+    before = before.select(F.col("series").alias(series), F.col("nth").alias(at), F.col("state").alias(state))
+    names = F.lit([s[0] for s in states])
+    out = rows.join(before, F.col("series").eqNullSafe(F.col(series)) & (F.col(nth) == F.col(at)))
+    out = out.withColumn(now, classified(vol, trend, breadth, F.get(names, F.col(state))))
+    out = out.withColumn(held, F.get(names, F.get(F.get(table, place(F.col(f"{now}.label"))), F.col(state))))
+    sure = F.when(F.col(held) == F.col(f"{now}.label"), F.col(f"{now}.confidence")).otherwise(F.col(f"{now}.confidence") * DISAGREEMENT)
+    return out.select(*stats.columns, F.col(f"{now}.label").alias("candidate"), F.col(held).alias("label"), sure.alias("confidence"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .names import free_name
 from .settle import settled
 
 
@@ -20,13 +21,14 @@ def cap_factors(weights: DataFrame, loadings: DataFrame, cap: float, rounds: int
     Within a round all oversized factors are measured at once; a name that loads on several is scaled by each.
     """
     names = loadings.where("loading > 0").select("instrument", "factor")
+    scale = free_name(weights, "scale")
     for _ in range(rounds):
         weights = settled(weights)
         scales = settled(factor_exposures(weights, loadings).where(F.col("exposure") > cap).select("factor", F.lit(cap) / F.col("exposure")).toDF("factor", "scale"))
         if scales.isEmpty():
             return weights
-        per = names.join(F.broadcast(scales), "factor").groupBy("instrument").agg(F.product("scale").alias("_scale"))
-        weights = weights.join(per, "instrument", "left").withColumn("weight", F.col("weight") * F.coalesce("_scale", F.lit(1.0))).drop("_scale")
+        per = names.join(F.broadcast(scales), "factor").groupBy("instrument").agg(F.product("scale").alias(scale))
+        weights = weights.join(per, "instrument", "left").withColumn("weight", F.col("weight") * F.coalesce(scale, F.lit(1.0))).drop(scale)
     return weights
 
 
@@ -49,10 +51,12 @@ def tail_loss(results: DataFrame, share: float = 0.05) -> DataFrame:
 def inverse_vol_scale(weights: DataFrame, variances: DataFrame, decay: float = 1.0) -> DataFrame:
     """`weights(instrument, weight, …)` by average volatility over own, with the gross kept; unchanged unless all have one."""
     whole = W.partitionBy(F.lit(1))  # the names of one portfolio
-    rows = weights.join(variances.select("instrument", "variance"), "instrument", "left").withColumn("_vol", F.when(F.col("variance") > 0, F.sqrt(F.col("variance") * decay)))
-    scaled = F.col("weight") * F.avg("_vol").over(whole) / F.col("_vol")
-    rows = rows.withColumn("_scaled", scaled).withColumn("_after", F.sum("_scaled").over(whole)).withColumn("_whole", F.count("_vol").over(whole) == F.count(F.lit(1)).over(whole))
-    kept = F.when(F.col("_whole") & (F.col("_after") > 0), F.col("_scaled") * F.sum("weight").over(whole) / F.col("_after")).otherwise(F.col("weight"))
+    variance, vol, scaled, after, known = (free_name(weights, x) for x in ("variance", "vol", "scaled", "after", "known"))
+    rows = weights.join(variances.select("instrument", F.col("variance").alias(variance)), "instrument", "left")
+    rows = rows.withColumn(vol, F.when(F.col(variance) > 0, F.sqrt(F.col(variance) * decay)))
+    rows = rows.withColumn(scaled, F.col("weight") * F.avg(vol).over(whole) / F.col(vol))
+    rows = rows.withColumns({after: F.sum(scaled).over(whole), known: F.count(vol).over(whole) == F.count(F.lit(1)).over(whole)})
+    kept = F.when(F.col(known) & (F.col(after) > 0), F.col(scaled) * F.sum("weight").over(whole) / F.col(after)).otherwise(F.col("weight"))
     return rows.withColumn("weight", kept).select(*weights.columns)
 
 

@@ -113,3 +113,19 @@ def signal_frames(targets: DataFrame, calendar: DataFrame, lag: int = 1) -> Data
     both = F.array(F.struct("date", "weight", "entry", F.lit(False).alias("exit")), F.struct(F.col("gone").alias("date"), zero.alias("weight"), F.lit(False).alias("entry"), F.lit(True).alias("exit")))
     each = rows.select("instrument", F.explode(both).alias("e")).select("instrument", "e.*").where("date IS NOT NULL")
     return each.join(F.broadcast(days), F.col("date") == F.col("made")).where("trade_date IS NOT NULL").select(F.col("trade_date").alias("date"), "instrument", "weight", "entry", "exit")
+
+
+def book_parity(shadow: DataFrame, paper: DataFrame, on: str = "date") -> DataFrame:
+    """(on, compared, missing, max_diff_bps, side_mismatches) of two books(on, instrument, weight, side).
+
+    A name that one book lacks has weight 0 there. Where a book has no row at all on a day, all names of the other are
+    missing. A side (buy, sell or none) counts as a mismatch where the two differ.
+    """
+    part = lambda df, name: df.groupBy(on, "instrument").agg(F.sum("weight").alias(name), F.max("side").alias(f"{name}_side"))
+    both = part(shadow, "a").join(part(paper, "b"), [on, "instrument"], "full_outer")
+    gap = F.abs(F.coalesce("a", F.lit(0.0)) - F.coalesce("b", F.lit(0.0))) * 1e4
+    got = both.groupBy(on).agg(
+        F.count(F.lit(1)).alias("compared"), F.count("a").alias("of_a"), F.count("b").alias("of_b"), F.max(gap).alias("max_diff_bps"), F.count_if(~F.col("a_side").eqNullSafe(F.col("b_side"))).alias("side_mismatches")
+    )
+    missing = F.when((F.col("of_a") == 0) | (F.col("of_b") == 0), F.col("compared")).otherwise(F.lit(0)).cast("long")
+    return got.select(on, "compared", missing.alias("missing"), "max_diff_bps", "side_mismatches")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import library
 from ..functions.expr import average_rank, evaluate, rounded, sql_percent_rank, sql_average_rank, sql_rounded, to_sql
-from ..operators import asof, crosssection, evaluate as ev, portfolio, quality
+from ..operators import asof, crosssection, evaluate as ev, fitting, portfolio, quality
 from ..sources import tables
 from ..sources.tables import BARS_SQL, bars, load
 
@@ -288,9 +288,12 @@ def decile_spread(spark, folder):
 SELECT feature, coalesce(covar_samp(f, l) / nullif(stddev_samp(f) * stddev_samp(l), 0), 0) AS ic FROM (
 SELECT feature, {sql_average_rank('x', 'feature')} AS f, {sql_average_rank('l', 'feature')} AS l FROM (
 SELECT 'signal' AS feature, coalesce(signal, 0) AS x, forward_return AS l FROM sig WHERE forward_return IS NOT NULL UNION ALL
-SELECT 'ret_21d', coalesce(ret_21d, 0), forward_return FROM sig WHERE forward_return IS NOT NULL)) GROUP BY feature)"""))
+SELECT 'ret_21d', coalesce(ret_21d, 0), forward_return FROM sig WHERE forward_return IS NOT NULL UNION ALL
+SELECT 'reversal', coalesce(-ret_21d, 0), forward_return FROM sig WHERE forward_return IS NOT NULL UNION ALL
+SELECT 'calm', coalesce(-signal, 0), forward_return FROM sig WHERE forward_return IS NOT NULL)) GROUP BY feature)"""))
 def correlation_weights(spark, folder):
-    return out(ev.correlation_weights(_signal(spark, folder), ["signal", "ret_21d"], "forward_return"), ["feature"], ["ic", "weight"])
+    rows = _signal(spark, folder).withColumns({"reversal": -F.col("ret_21d"), "calm": -F.col("signal")})
+    return out(ev.correlation_weights(rows, ["signal", "ret_21d", "reversal", "calm"], "forward_return"), ["feature"], ["ic", "weight"])
 
 
 _STREAM = "SELECT CAST(o_orderdate AS DATE) AS date, avg(o_totalprice) AS level FROM orders GROUP BY 1"
@@ -464,11 +467,29 @@ def feature_map_all_finite(spark, folder):
     return load(spark, folder, "events").groupBy("event_type").agg(F.count_if(ok).alias("good"), F.count(F.lit(1)).alias("n"))
 
 
-@register("pca_apply", f"""SELECT vec_id, {R('list_sum(list_transform(embedding, lambda v, i: v::DOUBLE * (i % 3 - 1)))')} AS pc1, {R('list_sum(list_transform(embedding, lambda v, i: v::DOUBLE * (i % 2)))')} AS pc2 FROM embeddings""")
+_Z = "((close - avg(close) OVER ()) / stddev_pop(close) OVER ())", "((volume - avg(volume) OVER ()) / stddev_pop(volume) OVER ())"
+_SIGN = "CASE WHEN corr(close, volume) OVER () >= 0 THEN 1 ELSE -1 END"
+
+
+@register("pca_apply", f"""WITH {BARS_SQL} SELECT instrument, date, {R(f'({_Z[0]} + {_SIGN} * {_Z[1]}) / sqrt(2)')} AS pc1, {R(f'({_Z[0]} - {_SIGN} * {_Z[1]}) / sqrt(2)')} AS pc2 FROM bars""")
 def pca_apply(spark, folder):
-    project = lambda f: F.aggregate(F.transform("embedding", lambda v, i: v.cast("double") * f(i + 1)), F.lit(0.0), lambda a, v: a + v)
-    got = load(spark, folder, "embeddings").select("vec_id", project(lambda i: i % 3 - 1).alias("pc1"), project(lambda i: i % 2).alias("pc2"))
-    return out(got, ["vec_id"], ["pc1", "pc2"])
+    """Components of two features, as fitted; of two standardised ones they are known in closed form."""
+    rows = bars(spark, folder)
+    model = fitting.fit_components(rows, ["close", "volume"], 2)
+    return out(rows.select("instrument", "date", *[c.alias(n) for n, c in model.columns().items()]), ["instrument", "date"], ["pc1", "pc2"])
+
+
+_MONTHS = ", months AS (SELECT instrument, CAST(date_trunc('month', date) AS DATE) AS date, arg_min(open, date) AS open, max(high) AS high, min(low) AS low, arg_max(close, date) AS close FROM bars GROUP BY ALL)"
+_MONTHLY = {"close_in_range": library.MICROSTRUCTURE["ms_spread"]["close_in_range"]}
+
+
+@register("ms_close_in_range_monthly", f"WITH {BARS_SQL}{_MONTHS}" + to_sql("months", _MONTHLY, "instrument, date"))
+def ms_close_in_range_monthly(spark, folder):
+    """Over monthly bars, whose high and low differ more often than those of a day."""
+    months = bars(spark, folder).groupBy("instrument", F.to_date(F.date_trunc("month", "date")).alias("date")).agg(
+        F.min_by("open", "date").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "date").alias("close")
+    )
+    return out(evaluate(months, _MONTHLY), ["instrument", "date"], ["close_in_range"])
 
 
 _TEXT = """t AS (SELECT source, lang, doc_id % 30 AS day, (toxic - quality)::DOUBLE AS s, (1 + n_chars % 7) / 7.0::DOUBLE AS m FROM documents JOIN labels USING (doc_id))"""

@@ -11,7 +11,7 @@ from ..functions import library
 from ..functions.expr import Expression, NUDGE, evaluate, sql_average_rank, sql_percent_rank, sql_rounded, to_sql
 from ..operators import audit, campaign, crosssection, decay, evaluate as ev, evidence, regime, sequences, targets
 from ..operators.settle import settled
-from ..sources import filings
+from ..sources import calendar, filings
 from ..sources.tables import BARS_SQL, bars, load
 from ..streaming import tracking
 from .analytics import out
@@ -294,6 +294,33 @@ def decayed_horizons(spark, folder):
     return out(got, ["instrument", "as_of"], [f"mean_{h}" for h in _HORIZONS])
 
 
+_LOOK = (1, 3, 7, 21)
+
+
+@register("event_context", "WITH asked AS (SELECT DISTINCT user_id AS instrument, CAST(CAST(ts AS DATE) AS TIMESTAMP) + INTERVAL 12 HOUR AS as_of FROM events), seen AS (SELECT user_id AS instrument, ts FROM events WHERE event_type = 'purchase' OR event_id % 7 = 0), "
+  "ages AS (SELECT a.instrument, a.as_of, (epoch_us(as_of) - epoch_us(ts)) / 86400e6 AS age FROM asked a LEFT JOIN seen s ON s.instrument = a.instrument AND ts <= as_of) SELECT instrument, as_of, "
+  + ", ".join(f"{R(f'least(count(*) FILTER (WHERE age <= {h}), 3) / 3.0::DOUBLE')} AS count_{h}, {R(f'coalesce(sum(1 - age / {h}) FILTER (WHERE age <= {h}), 0) / {h}')} AS density_{h}, {R(f'coalesce(max(1 - age / {h}) FILTER (WHERE age <= {h}), 0)')} AS recency_{h}" for h in _LOOK)
+  + f", {R('coalesce(min(age), 999)')} AS days_since FROM ages GROUP BY ALL")
+def event_context(spark, folder):
+    e = load(spark, folder, "events")
+    asked = e.select(F.col("user_id").alias("instrument"), (F.date_trunc("day", "ts").cast("timestamp_ntz") + F.expr("INTERVAL 12 HOURS")).alias("as_of")).distinct()
+    seen = e.where("event_type = 'purchase' OR event_id % 7 = 0").select(F.col("user_id").alias("instrument"), F.col("ts").alias("at"))
+    got = decay.event_context(asked, seen, _LOOK, bucket="week")
+    return out(got, ["instrument", "as_of"], [f"{c}_{h}" for h in _LOOK for c in ("count", "density", "recency")] + ["days_since"])
+
+
+@register("session_dates", f"""WITH y AS (SELECT y FROM range(1990, 2030) t(y)), g AS (SELECT y, y % 19 AS a, y // 100 AS b, y % 100 AS c FROM y), h AS (SELECT *, (19 * a + b - b // 4 - (b - (b + 8) // 25 + 1) // 3 + 15) % 30 AS d FROM g),
+l AS (SELECT *, (32 + 2 * (b % 4) + 2 * (c // 4) - d - c % 4) % 7 AS e FROM h), easter AS (SELECT make_date(y, 3, 1) + (d + e - 7 * ((a + 11 * d + 22 * e) // 451) + 21)::INT AS day FROM l),
+fixed AS (SELECT make_date(y, m, k) AS day, m FROM y, (VALUES (7, 4), (12, 25)) f(m, k) UNION ALL SELECT make_date(y, 6, 19), 6 FROM y WHERE y >= 2022 UNION ALL SELECT make_date(y, 1, 1), 1 FROM y),
+off AS (SELECT CASE isodow(day) WHEN 7 THEN day + 1 WHEN 6 THEN CASE WHEN m = 1 THEN day ELSE day - 1 END ELSE day END AS day FROM fixed UNION ALL SELECT (day - 2)::DATE FROM easter
+  UNION ALL SELECT unnest([DATE '1994-04-27', DATE '2001-09-11', DATE '2001-09-12', DATE '2001-09-13', DATE '2001-09-14', DATE '2004-06-11'])),
+d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS date FROM orders), k AS (SELECT date, isodow(date) AS w, month(date) AS m, (day(date) - 1) // 7 + 1 AS nth, day(last_day(date)) - day(date) < 7 AS final FROM d)
+SELECT date FROM k WHERE w < 6 AND date NOT IN (SELECT day FROM off) AND NOT (w = 1 AND (m = 1 AND nth = 3 AND year(date) >= 1998 OR m = 2 AND nth = 3 OR m = 5 AND final OR m = 9 AND nth = 1)) AND NOT (w = 4 AND m = 11 AND nth = 4)""")
+def session_dates(spark, folder):
+    """The dates of orders on which the exchanges traded."""
+    return load(spark, folder, "orders").select(F.to_date("o_orderdate").alias("date")).distinct().where(calendar.is_session(F.col("date")))
+
+
 # --- blended scores, targets, frames
 
 _BLEND = {"trend": 0.5, "value": 0.3, "text": 0.4}
@@ -350,6 +377,31 @@ def signal_frames(spark, folder):
     return targets.signal_frames(book, rows.select("date"))
 
 
+@register("book_parity", """WITH a AS (SELECT CAST(l_shipdate AS DATE) AS date, l_suppkey AS instrument, sum(l_tax)::DOUBLE AS weight, max(l_returnflag) AS side FROM lineitem WHERE l_orderkey % 5 <> 0 GROUP BY ALL),
+b AS (SELECT CAST(l_shipdate AS DATE) AS date, l_suppkey AS instrument, sum(l_tax * CASE WHEN l_partkey % 7 = 0 THEN 0.9 ELSE 1 END)::DOUBLE AS weight, max(CASE WHEN l_partkey % 11 = 0 THEN 'Z' ELSE l_returnflag END) AS side FROM lineitem WHERE l_orderkey % 5 <> 1 GROUP BY ALL),
+j AS (SELECT date, a.weight AS wa, b.weight AS wb, a.side AS sa, b.side AS sb FROM a FULL JOIN b USING (date, instrument))
+SELECT date, count(*) AS compared, CASE WHEN count(wa) = 0 OR count(wb) = 0 THEN count(*) ELSE 0 END AS missing, count(*) FILTER (WHERE sa IS DISTINCT FROM sb) AS side_mismatches, """ + R("max(abs(coalesce(wa, 0) - coalesce(wb, 0)) * 1e4)") + " AS max_diff_bps FROM j GROUP BY date")
+def book_parity(spark, folder):
+    lines = load(spark, folder, "lineitem").select(F.to_date("l_shipdate").alias("date"), F.col("l_suppkey").alias("instrument"), "l_tax", "l_partkey", "l_orderkey", "l_returnflag")
+    shadow = lines.where("l_orderkey % 5 <> 0").select("date", "instrument", F.col("l_tax").alias("weight"), F.col("l_returnflag").alias("side"))
+    weight = F.col("l_tax") * F.when(F.col("l_partkey") % 7 == 0, 0.9).otherwise(1.0)
+    paper = lines.where("l_orderkey % 5 <> 1").select("date", "instrument", weight.alias("weight"), F.when(F.col("l_partkey") % 11 == 0, "Z").otherwise(F.col("l_returnflag")).alias("side"))
+    return out(targets.book_parity(shadow, paper), ["date", "compared", "missing", "side_mismatches"], ["max_diff_bps"])
+
+
+@register("economic_gate", """WITH f AS (SELECT p_partkey AS name, p_name || ' ' || p_type || ' ' || p_brand AS thesis, CASE WHEN p_size % 4 = 0 THEN 'non_monotonic' ELSE 'positive' END AS sign, p_size % 5 AS lags, p_size % 3 AS modes, CASE WHEN p_size % 2 = 0 THEN 'live' ELSE 'research' END AS state, (p_size - 25) / 100.0 AS ic FROM part),
+b AS (SELECT name, list_filter([CASE WHEN length(trim(thesis)) < 30 THEN 'thesis' END, CASE WHEN lags = 0 THEN 'required_lags' END, CASE WHEN modes = 0 AND state = 'live' THEN 'failure_modes' END, CASE WHEN sign <> 'non_monotonic' AND ic < 0 THEN 'sign' END], lambda x: x IS NOT NULL) AS blockers FROM f)
+SELECT name, array_to_string(blockers, ',') AS blockers, len(blockers) = 0 AS passed FROM b""")
+def economic_gate(spark, folder):
+    p, size = load(spark, folder, "part"), F.col("p_size")
+    several = lambda n: F.array_repeat(F.lit("x"), n.cast("int"))
+    features = p.select(
+        F.col("p_partkey").alias("name"), F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("thesis"), F.when(size % 4 == 0, "non_monotonic").otherwise("positive").alias("expected_sign"),
+        several(size % 5).alias("required_lags"), several(size % 3).alias("failure_modes"), F.when(size % 2 == 0, "live").otherwise("research").alias("state"), ((size - 25) / 100.0).alias("ic_mean"),
+    )
+    return audit.economic_gate(features).select("name", F.array_join("blockers", ",").alias("blockers"), "passed")
+
+
 # --- eleven factors
 
 FACTORS = library.STANDARD_FACTORS

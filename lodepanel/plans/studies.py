@@ -162,12 +162,17 @@ def correlation_matrix(spark, folder):
     return out(audit.correlation_matrix(bars(spark, folder), list(_FEATURES)), ["a", "b"], ["corr"])
 
 
-@register("correlation_clusters", f"""WITH RECURSIVE {BARS_SQL}, m AS ({' UNION ALL '.join(f"SELECT '{a}' AS a, '{b}' AS b, {_corr(f'CASE WHEN {b} IS NOT NULL THEN {a} END', f'CASE WHEN {a} IS NOT NULL THEN {b} END')} AS c FROM bars" for a in _FEATURES for b in _FEATURES if a != b)}),
+_WIDER = (*_FEATURES, "spare_cap")
+
+
+@register("correlation_clusters", f"""WITH RECURSIVE {BARS_SQL}, x AS (SELECT *, marketcap - 0.1::DOUBLE * close AS spare_cap FROM bars),
+m AS ({' UNION ALL '.join(f"SELECT '{a}' AS a, '{b}' AS b, {_corr(f'CASE WHEN {b} IS NOT NULL THEN {a} END', f'CASE WHEN {a} IS NOT NULL THEN {b} END')} AS c FROM x" for a in _WIDER for b in _WIDER if a != b)}),
 e AS (SELECT a, b FROM m WHERE abs(c) >= 0.5), r(feature, peer) AS (SELECT a, b FROM e UNION SELECT r.feature, e.b FROM r JOIN e ON r.peer = e.a),
 k AS (SELECT feature, min(peer) AS cluster FROM r GROUP BY feature)
 SELECT feature, cluster, count(*) OVER (PARTITION BY cluster) AS size FROM k""")
 def correlation_clusters(spark, folder):
-    return audit.correlation_clusters(audit.correlation_matrix(bars(spark, folder), list(_FEATURES)), 0.5)
+    rows = bars(spark, folder).withColumn("spare_cap", F.col("marketcap") - 0.1 * F.col("close"))
+    return audit.correlation_clusters(audit.correlation_matrix(rows, list(_WIDER)), 0.5)
 
 
 @register("feature_stability", _signal_sql(f""", fw AS (SELECT year(date) AS fold, feature, {_corr('x', 'y')} AS weight FROM (
@@ -336,14 +341,16 @@ def covariance_scale(spark, folder):
     return out(risk.inverse_vol_scale(weights, variances, 0.5), ["instrument"], ["weight"])
 
 
-@register("ewma_ic_weights", _signal_sql(f""", {_ics()}, {_ics('other', 'ret_21d')}, f AS (SELECT 'signal' AS factor, date, ic FROM ics UNION ALL SELECT 'ret_21d', date, ic FROM other UNION ALL SELECT 'against', date, -ic FROM ics),
+@register("ewma_ic_weights", _signal_sql(f""", {_ics()}, {_ics('other', 'ret_21d')}, f AS (SELECT 'signal' AS factor, date, ic FROM ics UNION ALL SELECT 'ret_21d', date, ic FROM other UNION ALL SELECT 'against', date, -ic FROM ics UNION ALL SELECT 'reversal', date, -ic FROM other UNION ALL SELECT 'faint', date, ic * -0.002 FROM other),
 k AS (SELECT *, row_number() OVER (PARTITION BY factor ORDER BY date DESC) - 1 AS back FROM f), r AS (SELECT factor, greatest(0, sum(2.0 / 21 * power(1 - 2.0::DOUBLE / 21, back) * ic)) AS raw FROM k WHERE back < 60 GROUP BY factor),
 s AS (SELECT factor, CASE WHEN sum(raw) OVER () < 1e-9 THEN 1.0 / count(*) OVER () ELSE raw / sum(raw) OVER () END AS share, sum(raw) OVER () AS total FROM r)
 SELECT factor, {R('share / sum(share) OVER ()')} AS weight FROM s WHERE total < 1e-9 OR share >= 0.01"""))
 def ewma_ic_weights(spark, folder):
     sig = signal(spark, folder)
     ics, other = audit.ic_series(sig, "signal", "forward_return"), audit.ic_series(sig, "ret_21d", "forward_return")
-    rows = ics.select(F.lit("signal").alias("factor"), "date", "ic").unionByName(other.select(F.lit("ret_21d").alias("factor"), "date", "ic")).unionByName(ics.select(F.lit("against").alias("factor"), "date", -F.col("ic")).toDF("factor", "date", "ic"))
+    said = [("signal", ics, 1.0), ("against", ics, -1.0), ("ret_21d", other, 1.0), ("reversal", other, -1.0), ("faint", other, -0.002)]
+    parts = [df.select(F.lit(name).alias("factor"), "date", (F.col("ic") * times).alias("ic")) for name, df, times in said]
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).unionByName(parts[4])
     return out(risk.ewma_ic_weights(rows), ["factor"], ["weight"])
 
 

@@ -17,8 +17,10 @@ ACTIONS = "action_id string, instrument string, ex_date date, kind string, ratio
 
 
 def store_actions(actions: DataFrame, root: str) -> None:
-    """Append `actions` whose action_id the log does not have; of several new ones of an id, one is written."""
-    new = actions.dropDuplicates(["action_id"])
+    """Append `actions` whose action_id the log does not have; of several new ones of an id the
+    first in order of all columns is written, so that reruns agree."""
+    others = [c for c in actions.columns if c != "action_id"]
+    new = actions.groupBy("action_id").agg(F.min(F.struct(*others)).alias("row")).select("action_id", "row.*").select(*actions.columns)
     held = read_store(actions.sparkSession, root)
     if held is not None:
         new = new.join(held.select("action_id"), "action_id", "left_anti")

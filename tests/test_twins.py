@@ -46,6 +46,10 @@ def test_twin(spark, sql, name):
             assert x == y or (isinstance(x, float) and x == pytest.approx(y, abs=2e-5, rel=1e-6)), (a, b)
 
 
-def test_queries_without_sql_run(spark):
-    for name in set(registry.QUERIES) - set(registry.ORACLES):
-        assert registry.QUERIES[name](spark, SF_SMALL).count() > 0
+@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
+def test_query_without_sql_is_sound(spark, name):
+    """Their values are held against plain computations elsewhere; here: rows, no empty column, and the same again."""
+    df = registry.QUERIES[name](spark, SF_SMALL)
+    once = table(df.collect(), df.columns)
+    assert once and all(any(row[i] is not None for row in once) for i in range(len(df.columns)))
+    assert table(registry.QUERIES[name](spark, SF_SMALL).collect(), df.columns) == once
