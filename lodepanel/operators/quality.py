@@ -75,6 +75,20 @@ def batch_issues(rows: DataFrame, expected: DataFrame, start, end) -> DataFrame:
     return dup.unionByName(out).unionByName(gone).select("code", "n")
 
 
+def minute_issues(rows: DataFrame, at: str = "ts", key: str = "instrument") -> DataFrame:
+    """(code, n) of a batch of one-minute bars: empty (1 if it has no row), off_minute (times that are no whole minute),
+    gap (steps within a day other than one minute) and unknown (rows without key or time)."""
+    known = F.col(key).isNotNull() & F.col(at).isNotNull()
+    micros = F.unix_micros(F.col(at).cast("timestamp"))
+    before = F.lag(at).over(W.partitionBy(key, F.to_date(at)).orderBy(at))
+    marked = rows.select(key, at, known.alias("known"), (known & (micros % 60_000_000 != 0)).alias("off"))
+    steps = rows.where(known).select((micros - F.unix_micros(before.cast("timestamp"))).alias("step"))
+    got = marked.agg(F.count(F.lit(1)).alias("all"), F.count_if("off").alias("off"), F.count_if(~F.col("known")).alias("unknown"))
+    gaps = steps.agg(F.count_if(F.col("step") > 60_000_000).alias("gap"))
+    codes = F.array(*[F.struct(F.lit(c).alias("code"), n.cast("long").alias("n")) for c, n in (("empty", F.when(F.col("all") == 0, 1).otherwise(0)), ("off_minute", F.col("off")), ("unknown", F.col("unknown")))])
+    return got.select(F.explode(codes).alias("e")).select("e.*").unionByName(gaps.select(F.lit("gap").alias("code"), F.col("gap").alias("n")))
+
+
 def adjust(bars: DataFrame, actions: DataFrame) -> DataFrame:
     """Bars with prices and volume adjusted for corporate actions (instrument, ex_date, kind, ratio, cash).
 

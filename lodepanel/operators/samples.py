@@ -68,6 +68,19 @@ def latest_statements(rows: DataFrame, tickers: DataFrame) -> DataFrame:
     return named.groupBy("instrument", "datekey").agg(newest.alias("_row")).select("instrument", "datekey", "_row.*")
 
 
+def statements_on_dates(dates: DataFrame, statements: DataFrame, values: list[str], lag_days: int = 45, known: str = "datekey", max_age_days: int | None = 400) -> DataFrame:
+    """`dates(instrument, date)` with the values of the latest statement that was known by then, and statement_date.
+
+    A statement is known `lag_days` after its date. One that is older than `max_age_days` says nothing any more.
+    """
+    told = statements.select("instrument", F.date_add(known, lag_days).alias("known_at"), F.col(known).alias("statement_date"), *values)
+    got = asof_join(dates, told, ["instrument"], "date", "known_at", ["statement_date", *values], out="held")
+    fresh = F.col("held.at").isNotNull()
+    if max_age_days is not None:
+        fresh = fresh & (F.datediff("date", F.col("held.statement_date")) <= max_age_days)
+    return got.select(*dates.columns, *[F.when(fresh, F.col(f"held.{c}")).alias(c) for c in ("statement_date", *values)])
+
+
 def decayed_mean(asked: DataFrame, history: DataFrame, value: str, lookback_days: int, signed_by: str | None = None) -> DataFrame:
     """`asked(instrument, as_of)` with mean: history(instrument, at, …) of the last days, weighted linearly down to 0.
 

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import library
 from ..functions.expr import Expression, NUDGE, evaluate, sql_average_rank, sql_percent_rank, sql_rounded, to_sql
-from ..operators import audit, campaign, crosssection, decay, evaluate as ev, evidence, regime, sequences, targets
+from ..operators import audit, campaign, crosssection, decay, evaluate as ev, evidence, quality, regime, samples, sequences, targets
 from ..operators.settle import settled
 from ..sources import calendar, filings
-from ..sources.tables import BARS_SQL, bars, load
+from ..sources.tables import BARS_SQL, QUARTERS_SQL, bars, load, quarters
 from ..streaming import tracking
 from .analytics import out
 
@@ -378,6 +378,26 @@ def signal_frames(spark, folder):
     return targets.signal_frames(book, rows.select("date"))
 
 
+@register("fundamentals_on_bars", f"""WITH {BARS_SQL}, {QUARTERS_SQL}, s AS (SELECT instrument, date AS statement_date, date + 45 AS known_at, netinc, equity FROM quarters),
+j AS (SELECT b.instrument, b.date, s.statement_date, s.netinc, s.equity FROM bars b ASOF LEFT JOIN s ON b.instrument = s.instrument AND b.date >= s.known_at)
+SELECT instrument, date, CASE WHEN date - statement_date <= 120 THEN statement_date END AS statement_date, {R('CASE WHEN date - statement_date <= 120 AND equity > 0 THEN netinc / equity END')} AS return_on_equity FROM j""")
+def fundamentals_on_bars(spark, folder):
+    """Statements known 45 days after their quarter begins, on the dates of the bars; stale after 120 days."""
+    got = samples.statements_on_dates(bars(spark, folder).select("instrument", "date"), quarters(spark, folder), ["netinc", "equity"], known="date", max_age_days=120)
+    ratio = F.when(F.col("equity") > 0, F.col("netinc") / F.col("equity"))
+    return out(got.withColumn("return_on_equity", ratio), ["instrument", "date", "statement_date"], ["return_on_equity"])
+
+
+@register("vendor_minutes", """WITH e AS (SELECT user_id AS instrument, CASE WHEN event_id % 3 = 0 THEN date_trunc('minute', ts) WHEN event_id % 50 = 1 THEN NULL ELSE ts END AS ts FROM events),
+k AS (SELECT epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY instrument, CAST(ts AS DATE) ORDER BY ts)) AS step FROM e WHERE ts IS NOT NULL AND instrument IS NOT NULL)
+SELECT 'empty' AS code, CASE WHEN count(*) = 0 THEN 1 ELSE 0 END::BIGINT AS n FROM e UNION ALL SELECT 'off_minute', count(*) FILTER (WHERE epoch_us(ts) % 60000000 <> 0) FROM e UNION ALL SELECT 'unknown', count(*) FILTER (WHERE ts IS NULL OR instrument IS NULL) FROM e
+UNION ALL SELECT 'gap', count(*) FILTER (WHERE step > 60000000) FROM k""")
+def vendor_minutes(spark, folder):
+    e = load(spark, folder, "events")
+    at = F.when(F.col("event_id") % 3 == 0, F.date_trunc("minute", "ts").cast("timestamp_ntz")).when(F.col("event_id") % 50 == 1, None).otherwise(F.col("ts"))
+    return quality.minute_issues(e.select(F.col("user_id").alias("instrument"), at.alias("ts")))
+
+
 @register("book_parity", """WITH a AS (SELECT CAST(l_shipdate AS DATE) AS date, l_suppkey AS instrument, sum(l_tax)::DOUBLE AS weight, max(l_returnflag) AS side FROM lineitem WHERE l_orderkey % 5 <> 0 GROUP BY ALL),
 b AS (SELECT CAST(l_shipdate AS DATE) AS date, l_suppkey AS instrument, sum(l_tax * CASE WHEN l_partkey % 7 = 0 THEN 0.9 ELSE 1 END)::DOUBLE AS weight, max(CASE WHEN l_partkey % 11 = 0 THEN 'Z' ELSE l_returnflag END) AS side FROM lineitem WHERE l_orderkey % 5 <> 1 GROUP BY ALL),
 j AS (SELECT date, a.weight AS wa, b.weight AS wb, a.side AS sa, b.side AS sb FROM a FULL JOIN b USING (date, instrument))
