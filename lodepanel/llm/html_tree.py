@@ -8,11 +8,12 @@ sequence of its children; its importance is the entropy of the sequences over th
 importance is that of all content below it (weighted by pages) and of all presentation below it, composed bottom up.
 
 What tags, roles and classes say, and whether a node lies beside the page's article or main element, is a prior: it
-lowers the branch's importance by the share of its pages that say so. Branches of low importance go from each page, and
-so do single pieces of text that nearly all pages of a host repeat at one place. What is left is the text.
+lowers the branch's importance by the share of its pages that say so. A branch whose words and layout differ on all
+pages outweighs names that speak against it. Branches of low importance go from each page, and so do single pieces of
+text that nearly all pages of a host repeat at one place. What is left is the text.
 
 A host of few pages says little by itself: its importance and its shares of repeated text are shrunk towards what the
-other hosts show at the same path; a path that no other host has is taken for content.
+other hosts show at the same path; a path that no other host has is taken for content, unless names speak against it.
 
 Parsing runs in Arrow batches; the tree is counted by DataFrame aggregations over hashes, pre-aggregated, so a host
 with a third of all pages is spread like any other. Defined results: null, empty or blank html has empty text;
@@ -33,7 +34,7 @@ from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._text import settled, small, table
@@ -44,8 +45,9 @@ PRIOR_PAGES = 1.0
 LOW_IMPORTANCE = 0.2
 LOW_SURPRISE = 0.3  # bits: at the same place on over 81 of 100 pages
 CONTENT_SHARE = 0.9
-#: What a branch loses of its importance where names, on all its pages, speak against it.
-NAMED = 0.85
+#: What a branch loses of its importance where names, on all its pages, speak against it: one above 0.9 (words that all
+#: differ, and a layout that does not stay the same) outweighs them.
+NAMED = 0.778
 REACH = 64
 #: Rules of all hosts up to which they are broadcast.
 BROADCAST_RULES = 500_000
@@ -409,7 +411,7 @@ class Rules(NamedTuple):
 def extract(page: str | None, rules: Rules = Rules()) -> str:  # noqa: B008
     """The page's text by `rules`.
 
-    A branch that no rule knows was seen on one page: its importance is 1, times what its names leave of it.
+    A branch that no rule knows was seen on one page: names alone tell whether it is content.
     """
 
     def gone(element: Element) -> bool:
@@ -487,7 +489,8 @@ def style_tree(pages: DataFrame) -> DataFrame:
     """
     counts = settled(counted(pages))
     sizes = small(settled(counts.where(F.col("kind") == PAGE).select(F.col("host").alias("h"), F.col("n").alias("size"))))
-    value = with_prior(importance(counts), 1.0)
+    # Of a path that no other host has, names are all that is known before: it is taken for content as far as they let.
+    value = with_prior(importance(counts), 1 - F.col("named"))
     shrunk = (F.col("seen") * F.col("value") + PRIOR_PAGES * F.col("prior")) / (F.col("seen") + PRIOR_PAGES)
     low = shrunk * (1 - NAMED * F.col("named")) < LOW_IMPORTANCE
     # A branch of one page that its names take out needs no rule: see extract.
@@ -506,7 +509,7 @@ def style_tree(pages: DataFrame) -> DataFrame:
     return settled(branches.unionByName(repeated.select("host", "path", "content", F.lit(False).alias("keep"))))
 
 
-def with_prior(rows: DataFrame, blank: float) -> DataFrame:
+def with_prior(rows: DataFrame, blank: float | Column) -> DataFrame:
     """`rows(host, path, seen, named, value)` with `prior`: the mean of the other hosts at the path, shrunk towards `blank`.
 
     Means are weighted by `seen`, the pages of a host that can be compared with a first one.
@@ -514,7 +517,7 @@ def with_prior(rows: DataFrame, blank: float) -> DataFrame:
     rows = settled(rows)
     weighted = F.sum(F.col("seen") * F.col("value"))
     paths = settled(rows.groupBy("path").agg(weighted.alias("all_values"), F.sum("seen").alias("all_seen")).withColumnRenamed("path", "of_path"))
-    others = F.col("all_values") - F.col("seen") * F.col("value") + PRIOR_PAGES * blank
+    others = F.col("all_values") - F.col("seen") * F.col("value") + F.lit(PRIOR_PAGES) * blank
     prior = others / (F.col("all_seen") - F.col("seen") + PRIOR_PAGES)
     return rows.join(small(paths), F.col("path") == F.col("of_path")).select("host", "path", "seen", "named", "value", prior.alias("prior"))
 

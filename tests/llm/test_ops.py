@@ -617,3 +617,23 @@ def test_broken_pages_are_read_in_linear_time():
     assert time.process_time() - began < 60
     assert html_tree.extract("<p>a < b and <c</p><p>1 <2</p>") == "a < b and\n1 <2"
     assert html_tree.extract('<p title="' + "x>" * 600 + '">long tag</p>') == "long tag"
+
+
+def test_an_article_in_a_misnamed_branch_stays(spark):
+    import random
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrst") for _ in range(7))
+    say = lambda n: " ".join(word() for _ in range(n))
+    pages, want = [], {}
+    for i in range(150):
+        parts = [(rng.choice(["p", "h2", "ul", "pre", "blockquote"]), say(9)) for _ in range(rng.randrange(3, 9))]
+        body = "".join(f"<{t}>{x}</{t}>" for t, x in parts)
+        want[i] = "\n".join(x for _, x in parts)
+        menu = "<div class='menu'><a href='/a/1'>Home</a> <a href='/a/2'>About us</a></div>"
+        pages.append((i, f"http://one.example/{i}", f"<body>{menu}<div class='promo'>{body}</div><div class='ad'>{rng.choice(['Buy now', 'Big sale', 'Order today'])}</div></body>"))
+    pages.append((999, "http://two.example/", "<body><p>alone</p><div class='sponsor'>buy this</div></body>"))
+    got = {r.page_id: r.text for r in html_tree.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert {i: got[i] for i in want} == want and got[999] == "alone"
+    # Names alone would have removed it.
+    assert html_tree.extract(pages[0][2]) == ""
