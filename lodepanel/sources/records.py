@@ -79,6 +79,20 @@ def library(spark: SparkSession, path: str) -> DataFrame:
     return rows
 
 
-def expressions(spark: SparkSession, path: str) -> dict[str, Expression]:
-    """The library's expressions by name; it is as small as the list of features."""
-    return {r["name"]: from_dict(json.loads(r["expression"])) for r in library(spark, path).collect()}
+def expressions(spark: SparkSession, path: str, strict: bool = True) -> dict[str, Expression]:
+    """The library's expressions by name; it is as small as the list of features.
+
+    A line that cannot be read, lacks a name, or whose id is not that of its expression raises; unless `strict`, it is left out.
+    """
+    out: dict[str, Expression] = {}
+    for r in sorted(library(spark, path).collect(), key=lambda r: (r["name"] or "", r["id"] or "")):
+        try:
+            found = from_dict(json.loads(r["expression"] or ""))
+            if not r["name"] or stable_id(found) != r["id"]:
+                raise ValueError(f"the id or name of {r['name']!r} does not fit its expression")
+        except (ValueError, KeyError, TypeError) as error:
+            if strict:
+                raise ValueError(f"{path}: {r['name']!r} cannot be read: {error}") from error
+            continue
+        out[r["name"]] = found
+    return out

@@ -11,8 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodepanel.functions import library
-from lodepanel.operators import audit, campaign, crosssection, decay, evaluate, evidence, fitting, regime, risk, samples, sequences, targets
-from lodepanel.sources import calendar, filings
+from lodepanel.operators import audit, campaign, crosssection, decay, evaluate, evidence, fitting, quality, regime, risk, samples, sequences, targets
+from lodepanel.sources import calendar, filings, records
 from lodepanel.streaming import tracking
 
 DAY = timedelta(days=1)
@@ -448,3 +448,30 @@ def test_permuted_ics_deal_within_dates(spark):
                 order = sorted(range(len(day)), key=lambda k: hashlib.md5(f"{seed}:{d}:{day[k][0]}".encode()).hexdigest())
                 ics.append(spearman([r[2] for r in day], [day[k][3] for k in order]))
         assert got[seed] == pytest.approx(np.mean(ics))
+
+
+def test_library_lines_that_cannot_be_read(spark, tmp_path):
+    path = str(tmp_path / "library")
+    good = {"slow": library.call("ts_mean", library.CLOSE, 20), "fast": library.call("ts_mean", library.CLOSE, 5)}
+    records.promote(spark, path, good)
+    assert set(records.expressions(spark, path)) == {"fast", "slow"}
+    rows = [("x", "broken", "{"), ("auto_0", "renumbered", None), (None, None, "{}")]
+    spark.createDataFrame(rows, "id string, name string, expression string").write.mode("append").json(path)
+    assert set(records.expressions(spark, path, strict=False)) == {"fast", "slow"}
+    with pytest.raises(ValueError, match="cannot be read"):
+        records.expressions(spark, path)
+
+
+def test_statements_are_known_late_and_grow_stale(spark):
+    dates = spark.createDataFrame([(1, date(2020, 1, 1) + d * DAY) for d in (0, 44, 45, 100, 130, 121)] + [(2, date(2020, 3, 1))], "instrument int, date date")
+    told = spark.createDataFrame([(1, date(2020, 1, 1), 5.0), (1, date(2020, 3, 31), 6.0)], "instrument int, datekey date, v double")
+    got = {(r.instrument, (r.date - date(2020, 1, 1)).days): r.v for r in samples.statements_on_dates(dates, told, ["v"], max_age_days=120).collect()}
+    assert got == {(1, 0): None, (1, 44): None, (1, 45): 5.0, (1, 100): 5.0, (1, 121): None, (1, 130): None, (2, 60): None}
+
+
+def test_minutes_of_a_batch(spark):
+    at = datetime(2024, 1, 2, 9, 30)
+    rows = [("a", at), ("a", at + timedelta(minutes=1)), ("a", at + timedelta(minutes=4)), ("a", at + timedelta(minutes=4, seconds=30)), ("a", at + DAY), ("b", None), (None, at)]
+    df = spark.createDataFrame(rows, "instrument string, ts timestamp_ntz")
+    assert {r.code: r.n for r in quality.minute_issues(df).collect()} == {"empty": 0, "off_minute": 1, "unknown": 2, "gap": 1}
+    assert {r.code: r.n for r in quality.minute_issues(df.limit(0)).collect()} == {"empty": 1, "off_minute": 0, "unknown": 0, "gap": 0}
