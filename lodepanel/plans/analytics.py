@@ -430,8 +430,10 @@ def intraday_session(spark, folder):
 SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'missing_broker' WHEN b.k IS NULL THEN 'missing_internal' WHEN abs(a.v - b.v) <= 1000 THEN 'auto_correct' ELSE 'mismatch' END AS kind
 FROM a FULL OUTER JOIN b ON a.k = b.k WHERE a.v IS DISTINCT FROM b.v""")
 def reconcile_full_outer(spark, folder):
+    """Prices are summed as decimals, so that equal books have equal sums in whatever order tasks add them up."""
     o = load(spark, folder, "orders")
-    side = lambda m, v: o.where(F.col("o_orderkey") % m != 0).groupBy(F.col("o_custkey").alias("k")).agg(F.sum("o_totalprice").alias(v))
+    price = F.col("o_totalprice").cast("decimal(28,8)")
+    side = lambda m, v: o.where(F.col("o_orderkey") % m != 0).groupBy(F.col("o_custkey").alias("k")).agg(F.sum(price).alias(v))
     both = side(3, "a").join(side(5, "b"), "k", "full_outer").where(~F.col("a").eqNullSafe(F.col("b")))
     kind = F.when(F.col("a").isNull(), "missing_broker").when(F.col("b").isNull(), "missing_internal").when(F.abs(F.col("a") - F.col("b")) <= 1000, "auto_correct").otherwise("mismatch")
     return both.select("k", kind.alias("kind"))
