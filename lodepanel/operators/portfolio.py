@@ -114,7 +114,8 @@ def day_loop(
 
     Weights of a day depend on those of the day before, so an arm is walked in order; arms run side by side. Spark
     ranks the names; the walk of an arm sees one row a date, with its best `n` + `buffer` names, whatever the universe.
-    Its weights are joined with the returns again.
+    It answers with a row a date and a row for each time that a weight changes; weights too small to be sold stay, and
+    cost no row a day. These spans, at most about `gross` / `band` + `n` a date, are joined with the returns again.
     """
 
     def target(ranked: list, held: dict) -> dict:
@@ -127,23 +128,32 @@ def day_loop(
         share = min(gross, len(chosen) * cap) / len(chosen) if chosen else 0.0
         return {i: min(share, cap) for i in chosen}
 
-    def step(ranked: list, held: dict) -> dict:
-        want = target(ranked, held)
-        move = {i: want.get(i, 0.0) - held.get(i, 0.0) for i in sorted({*want, *held}, key=str)}
-        move = {i: (0.0 if abs(d) < band else max(-most_change, min(most_change, d))) for i, d in move.items()}
-        turnover = sum(map(abs, move.values()))
-        scale = min(1.0, most_turnover / turnover) if turnover > 0 else 1.0
-        return {i: w for i, d in move.items() if (w := held.get(i, 0.0) + d * scale) > 1e-12}
-
     def walk(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         held: dict = {}
+        since: dict = {}
+        live: set = set()  # held names large enough to be sold; smaller rests stay as they are
         out = []
         for day, line in sorted(zip(frame.date, frame.line, strict=True)):
-            new = step([x["instrument"] for x in line], held)
-            turnover = sum(abs(new.get(i, 0.0) - held.get(i, 0.0)) for i in {*new, *held})
-            out.extend((key[0], day, i, w, turnover, len(new)) for i, w in (new or {None: 0.0}).items())
-            held = new
-        return pd.DataFrame(out, columns=["arm", "date", "instrument", "weight", "turnover", "names"])
+            want = target([x["instrument"] for x in line], held)
+            move = {i: want.get(i, 0.0) - held.get(i, 0.0) for i in sorted({*want, *live}, key=str)}
+            move = {i: max(-most_change, min(most_change, d)) for i, d in move.items() if abs(d) >= band}
+            turnover = sum(map(abs, move.values()))
+            scale = min(1.0, most_turnover / turnover) if turnover > 0 else 1.0
+            moved = 0.0
+            for i, d in move.items():
+                was = held.pop(i, 0.0)
+                now = was + d * scale
+                now = now if now > 1e-12 else 0.0
+                moved += abs(now - was)
+                if was:
+                    out.append((key[0], since.pop(i), day, i, was, None, None))
+                if now:
+                    held[i], since[i] = now, day
+                (live.add if now >= band else live.discard)(i)
+            out.append((key[0], day, None, None, None, moved, len(held)))
+        out.extend((key[0], since[i], None, i, w, None, None) for i, w in held.items())
+        got = pd.DataFrame(out, columns=["arm", "date", "until", "instrument", "weight", "turnover", "names"])
+        return got.astype({"instrument": object, "until": object, "names": "Int32"})
 
     kinds = dict(arms.dtypes)
     nth = F.row_number().over(W.partitionBy("arm", "date").orderBy(F.col("score").desc(), "instrument"))
@@ -151,12 +161,14 @@ def day_loop(
     best = best.groupBy("arm", "date").agg(F.sort_array(F.collect_list(F.struct("nth", "instrument"))).alias("line"))
     days = arms.select("arm", "date").distinct().join(best, ["arm", "date"], "left")
     days = days.withColumn("line", F.coalesce("line", F.array().cast(best.schema["line"].dataType)))
-    schema = f"arm {kinds['arm']}, date date, instrument {kinds['instrument']}, weight double, turnover double, names int"
-    weights = settled(days.groupBy("arm").applyInPandas(walk, schema))
-    gains = weights.join(arms.select("arm", "date", "instrument", "r"), ["arm", "date", "instrument"], "left")
-    got = gains.groupBy("arm", "date").agg(F.sum(F.col("weight") * F.coalesce("r", F.lit(0.0))).alias("gain"), F.max("turnover").alias("turnover"), F.max("names").alias("names"))
+    schema = f"arm {kinds['arm']}, date date, until date, instrument {kinds['instrument']}, weight double, turnover double, names int"
+    walked = settled(days.groupBy("arm").applyInPandas(walk, schema))
+    spans = walked.where("weight IS NOT NULL").select(F.col("arm").alias("of_arm"), F.col("instrument").alias("name"), F.col("date").alias("since"), "until", "weight")
+    same = (F.col("arm") == F.col("of_arm")) & (F.col("instrument") == F.col("name")) & (F.col("date") >= F.col("since")) & (F.col("until").isNull() | (F.col("date") < F.col("until")))
+    gains = arms.where("r IS NOT NULL").join(F.broadcast(spans), same).groupBy("arm", "date").agg(F.sum(F.col("weight") * F.col("r")).alias("gain"))
+    got = walked.where("weight IS NULL").select("arm", "date", "turnover", "names").join(gains, ["arm", "date"], "left")
     cost = F.col("turnover") * (bps / 1e4)
-    return got.select("arm", "date", (F.col("gain") - cost).alias("r"), "turnover", cost.alias("cost"), "names")
+    return got.select("arm", "date", (F.coalesce("gain", F.lit(0.0)) - cost).alias("r"), "turnover", cost.alias("cost"), "names")
 
 
 def vol_scale(returns: list[float], target: float, floor: float = 0.05) -> float:

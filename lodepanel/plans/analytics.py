@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import library
 from ..functions.expr import average_rank, evaluate, rounded, sql_percent_rank, sql_average_rank, sql_rounded, to_sql
 from ..operators import asof, crosssection, evaluate as ev, fitting, portfolio, quality
+from ..operators.settle import settled
 from ..sources import tables
 from ..sources.tables import BARS_SQL, bars, load
 
@@ -536,6 +537,7 @@ def decayed_text_agg(spark, folder):
 
 @register("portfolio_path")
 def portfolio_path(spark, folder):
-    rows = _signal(spark, folder).where("ret_21d IS NOT NULL").select(F.explode(F.array(F.lit("momentum"), F.lit("reversal"))).alias("arm"), "date", "instrument", "ret_21d", "realized_return_1d")
+    known = settled(_signal(spark, folder).where("ret_21d IS NOT NULL").select("date", "instrument", "ret_21d", "realized_return_1d"))
+    rows = known.select(F.explode(F.array(F.lit("momentum"), F.lit("reversal"))).alias("arm"), "date", "instrument", "ret_21d", "realized_return_1d")
     score = F.when(F.col("arm") == "momentum", F.col("ret_21d")).otherwise(-F.col("ret_21d"))
     return portfolio.day_loop(rows.select("arm", "date", "instrument", score.alias("score"), F.col("realized_return_1d").alias("r")))
