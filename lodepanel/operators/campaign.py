@@ -18,6 +18,7 @@ from ..functions.expr import average_rank, percent_rank
 from .evaluate import Fold, assign_folds, correlation_weights, safe_corr, shared_weights
 from .fitting import nonnegative
 from .names import free_name
+from .pooled import rank_ics
 from .settle import settled
 
 #: Fold-streak throttle: folds before it acts, negative folds in a row that end all exposure, half-life in folds, and
@@ -32,11 +33,28 @@ def fold_samples(samples: DataFrame, folds: list[Fold], on: str = "date", at: st
     `at` and `ends` number the days of the whole calendar. Rows without `ends` have no label that could leak, nor one to
     train with, and go from the training part; folds without test rows go.
     """
-    rows = assign_folds(samples, folds, on)
-    fold, first = free_name(rows, "of_fold"), free_name(rows, "first_day")
-    bounds = rows.where(F.col("part") == "test").groupBy(F.col("fold").alias(fold)).agg(F.min(at).alias(first))
-    joined = rows.join(F.broadcast(bounds), F.col("fold") == F.col(fold))  # a row a fold
-    return joined.where((F.col("part") == "test") | (F.col(ends) < F.col(first))).drop(fold, first)
+    calendar, parts = _fold_calendar(samples, folds, on, at), free_name(samples, "of_parts")
+    each = samples.join(F.broadcast(calendar.select(F.col("on").alias("_on"), F.col("parts").alias(parts))), F.col(on) == F.col("_on"))
+    kept = each.select(*samples.columns, F.explode(parts).alias(parts)).where((F.col(f"{parts}.part") == "test") | (F.col(ends) < F.col(f"{parts}.first")))
+    return kept.select(*samples.columns, F.col(f"{parts}.fold").alias("fold"), F.col(f"{parts}.part").alias("part"))
+
+
+def _fold_calendar(samples: DataFrame, folds: list[Fold], on: str, at: str) -> DataFrame:
+    """(on, parts): each date with the folds it trains or tests, and the first day of each one's test. A row a date."""
+    days = settled(assign_folds(samples.select(on, at).distinct(), folds, on))
+    bounds = days.where("part = 'test'").groupBy(F.col("fold").alias("_fold")).agg(F.min(at).alias("_first"))
+    joined = days.join(F.broadcast(bounds), F.col("fold") == F.col("_fold"))
+    return settled(joined.groupBy(F.col(on).alias("on")).agg(F.collect_set(F.struct("fold", "part", F.col("_first").alias("first"))).alias("parts")))
+
+
+def fold_ic_weights(samples: DataFrame, folds: list[Fold], features: list[str], label: str, on: str = "date", at: str = "day", ends: str = "label_end_index") -> DataFrame:
+    """`fold_weights` of model `ic` over samples that are not repeated: each row counts in all the folds that it trains."""
+    calendar, numbers = _fold_calendar(samples, folds, on, at), F.array(*[F.lit(f.fold) for f in folds])
+    of = F.transform(F.filter("_parts", lambda p: (p["part"] == "train") & (F.col(ends) < p["first"])), lambda p: (F.array_position(numbers, p["fold"]) - 1).cast("int"))
+    rows = samples.join(F.broadcast(calendar.select(F.col("on").alias("_on"), F.col("parts").alias("_parts"))), F.col(on) == F.col("_on"))
+    ics = rank_ics(rows.select(*features, label, of.alias("_of")), features, label, "_of", len(folds))
+    ics = ics.select(F.element_at(numbers, F.col("grp") + 1).alias("fold"), "feature", "ic")
+    return shared_weights(ics, F.greatest(F.col("ic"), F.lit(0.0)), ("fold",)).select("fold", "feature", "weight")
 
 
 def _finite(columns: list[str]) -> Column:
@@ -262,7 +280,10 @@ def fold_report(rows: DataFrame, days: DataFrame, **streak) -> DataFrame:
 
 def walk_forward(samples: DataFrame, folds: list[Fold], features: list[str], label: str = "forward_return", realized: str = "realized_return_1d", model: str = "ic", bps: float = 10.0, streak: dict | None = None, **settings) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(weights by fold, days, report) of a campaign over samples(instrument, date, day, label_end_index, …)."""
-    rows = settled(fold_samples(samples, folds))
-    weights = settled(fold_weights(rows, features, label, model, **settings))
-    days = settled(fold_days(fold_scores(rows, weights, features), label, realized, bps))
+    needed = dict.fromkeys(["instrument", "date", "day", "label_end_index", *features, label, realized])
+    samples = settled(samples.select(*needed))
+    rows = fold_samples(samples, folds)
+    weights = settled(fold_ic_weights(samples, folds, features, label) if model == "ic" else fold_weights(rows, features, label, model, **settings))
+    scored = settled(fold_scores(rows, weights, features).select("fold", "date", "instrument", "score", *dict.fromkeys([label, realized])))
+    days = settled(fold_days(scored, label, realized, bps))
     return weights, days, fold_report(rows, days, **(streak or {}))

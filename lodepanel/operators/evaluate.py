@@ -136,17 +136,19 @@ def purged_kfold(rows: DataFrame, k: int, purge: int, embargo: int, on: str = "d
 
 def correlation_weights(df: DataFrame, features: list[str], label: str, non_negative: bool = True, by: tuple[str, ...] = ()) -> DataFrame:
     """(by, feature, ic, weight): pooled rank correlations, normalised to absolute sum 1; all zero gives equal weights."""
-    each = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.coalesce(F.col(f), F.lit(0.0)).alias("x")) for f in features])).alias("e")
-    long = df.where(F.col(label).isNotNull()).select(*by, F.col(label).alias("l"), each)
-    keys = [*by, "feature"]
-    counts = long.select(*by, "l", "e.*").groupBy(*keys, "x", "l").agg(F.count(F.lit(1)).alias("n"))
-    ranks = weighted_ranks(weighted_ranks(counts, "x", "rx", keys), "l", "rl", keys)
-    w = F.col("n")
-    sums = ranks.groupBy(*keys).agg(*[F.sum(w * c).alias(a) for a, c in {"n": F.lit(1.0), "sx": F.col("rx"), "sy": F.col("rl"), "sxy": F.col("rx") * F.col("rl"), "sxx": F.col("rx") ** 2, "syy": F.col("rl") ** 2}.items()])
-    top = F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")
-    under = F.sqrt((F.col("sxx") - F.col("sx") ** 2 / F.col("n")) * (F.col("syy") - F.col("sy") ** 2 / F.col("n")))
-    ic = F.coalesce(F.try_divide(top, under), F.lit(0.0))
-    return shared_weights(sums.select(*keys, ic.alias("ic")), F.greatest(F.col("ic"), F.lit(0.0)) if non_negative else F.col("ic"), by)
+    from .pooled import rank_ics
+
+    if by:
+        numbered = df.where(F.col(label).isNotNull()).select(*by).distinct().collect()  # a row a group
+        named = df.sparkSession.createDataFrame([(*r, k) for k, r in enumerate(numbered)], ", ".join([*(f"_by_{c} {dict(df.dtypes)[c]}" for c in by), "_grp int"]))
+        on = F.lit(True)
+        for c in by:
+            on = on & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+        ics = rank_ics(df.join(F.broadcast(named), on).withColumn("_of", F.array("_grp")), features, label, "_of", max(1, len(numbered)))
+        ics = ics.join(F.broadcast(named), F.col("grp") == F.col("_grp")).select(*[F.col(f"_by_{c}").alias(c) for c in by], "feature", "ic")
+    else:
+        ics = rank_ics(df.withColumn("_of", F.array(F.lit(0))), features, label, "_of", 1).select("feature", "ic")
+    return shared_weights(ics, F.greatest(F.col("ic"), F.lit(0.0)) if non_negative else F.col("ic"), by)
 
 
 def shared_weights(rows: DataFrame, raw: Column, by: tuple[str, ...] = ()) -> DataFrame:

@@ -93,8 +93,8 @@ def _campaign(spark, folder):
 
 @register("fold_weights", _sql(_SAMPLES, _KEPT + _IC_WEIGHTS + f" SELECT fold, feature, {R('weight')} AS weight FROM weights"))
 def fold_weights(spark, folder):
-    rows = settled(campaign.fold_samples(_samples(spark, folder), FOLDS))
-    return out(campaign.fold_weights(rows, list(FEATURES), "forward_return"), ["fold", "feature"], ["weight"])
+    rows = settled(_samples(spark, folder).select("date", "day", "label_end_index", *FEATURES, "forward_return"))
+    return out(campaign.fold_ic_weights(rows, FOLDS, list(FEATURES), "forward_return"), ["fold", "feature"], ["weight"])
 
 
 @register("walk_forward_days", _sql(_SAMPLES, _KEPT + _IC_WEIGHTS + _DAYS + f" SELECT fold, date, {', '.join(f'{R(c)} AS {c}' for c in ('ic', 'gross', 'turnover', 'net'))} FROM days_of"))
