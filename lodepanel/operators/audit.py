@@ -7,6 +7,10 @@ other engines draw alike.
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -109,25 +113,34 @@ def winsor_impact(df: DataFrame, value: str) -> DataFrame:
 def permuted_ics(df: DataFrame, score: str, label: str, seeds: int = 1) -> DataFrame:
     """(seed, ic): mean daily rank IC with labels dealt anew within dates of three rows or more, for seeds 0 to `seeds` - 1.
 
-    A date's ranks are kept as one array, ordered by name; a seed deals the labels by the order of hashes of seed, date
-    and name, inside the row. So the panel is shuffled once, whatever the number of seeds. A date holds as many names as the
-    universe of a day.
+    Labels are dealt by the order of hashes of seed, date and name. A group holds a date's rows, once for all seeds, so that
+    the panel is shuffled once; a date holds as many names as the universe of a day.
     """
-    both = df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
-    ranked = both.select("instrument", "date", average_rank(F.col(score), "date").alias("f"), average_rank(F.col(label), "date").alias("l"))
-    days = settled(ranked.groupBy("date").agg(F.sort_array(F.collect_list(F.struct("instrument", "f", "l"))).alias("rows")).where(F.size("rows") >= 3))
-    each = days.select("date", "rows", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))).alias("seed"))
-    mark = lambda x: F.md5(F.concat_ws(":", F.col("seed").cast("string"), F.col("date").cast("string"), x["instrument"].cast("string")).cast("binary"))
-    dealt = F.sort_array(F.transform("rows", lambda x: F.struct(mark(x).alias("mark"), x["instrument"].alias("instrument"), x["l"].alias("l"))))
-    pairs = F.zip_with("rows", dealt, lambda a, b: F.struct((a["f"] * b["l"]).alias("fl"), a["f"].alias("f"), a["l"].alias("l")))
-    zero = F.struct(*[F.lit(0.0).alias(c) for c in ("fl", "f", "l", "ff", "ll")])
-    add = lambda s, x: F.struct((s["fl"] + x["fl"]).alias("fl"), (s["f"] + x["f"]).alias("f"), (s["l"] + x["l"]).alias("l"), (s["ff"] + x["f"] * x["f"]).alias("ff"), (s["ll"] + x["l"] * x["l"]).alias("ll"))
-    n = F.size("rows")
-    sums = each.select("seed", n.alias("n"), F.aggregate(pairs, zero, add).alias("s"))
-    top = F.col("s.fl") - F.col("s.f") * F.col("s.l") / F.col("n")
-    under = (F.col("s.ff") - F.col("s.f") ** 2 / F.col("n")) * (F.col("s.ll") - F.col("s.l") ** 2 / F.col("n"))
-    ic = F.when(under > 1e-9, top / F.sqrt(under)).otherwise(0.0)
-    return sums.groupBy("seed").agg(F.avg(ic).alias("ic"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).select("instrument", "date", F.col(score).alias("f"), F.col(label).alias("l")).repartition(parts, "date")
+    mark = F.concat_ws(":", F.col("date").cast("string"), F.col("instrument").cast("string"))
+    ranked = both.select("date", "instrument", mark.alias("mark"), average_rank(F.col("f"), "date").alias("f"), average_rank(F.col("l"), "date").alias("l"))
+
+    def deal(table: pa.Table) -> pa.Table:
+        n = table.num_rows
+        if n < 3:
+            return pa.table({"seed": pa.array([], pa.int32()), "ic": pa.array([], pa.float64())})
+        table = table.sort_by("instrument")
+        names = [x.encode() for x in table.column("mark").to_pylist()]
+        f, l = (table.column(c).to_numpy() - (n + 1) / 2 for c in ("f", "l"))
+        under, ics = (f @ f) * (l @ l), []
+        for seed in range(seeds):
+            start = hashlib.md5(f"{seed}:".encode(), usedforsecurity=False)
+            marks = []
+            for name in names:
+                h = start.copy()
+                h.update(name)
+                marks.append(h.digest())
+            high, low = np.frombuffer(b"".join(marks), dtype=">u8").reshape(n, 2).astype(np.uint64).T
+            ics.append(float(f @ l[np.lexsort((low, high))] / under**0.5) if under > 1e-9 else 0.0)
+        return pa.table({"seed": pa.array(range(seeds), pa.int32()), "ic": pa.array(ics, pa.float64())})
+
+    return ranked.groupBy("date").applyInArrow(deal, "seed int, ic double").groupBy("seed").agg(F.avg("ic").alias("ic"))
 
 
 def null_baseline(df: DataFrame, score: str, label: str, seeds: int = 100) -> DataFrame:
