@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .grouped import ROLLING, ranked, rolled
+
 INSTRUMENT, DATE = "instrument", "date"
 
 
@@ -431,17 +433,65 @@ def _sql(e: Expression, names: dict[Expression, str]) -> str:
     raise TypeError(f"not an expression: {e!r}")
 
 
-def evaluate(panel: DataFrame, expressions: dict[str, Expression]) -> DataFrame:
-    """`panel` with one column for each expression."""
+def _columns(e: Expression, names: dict[Expression, str]) -> set[str]:
+    """The columns that `e` is computed from, once `names` are columns."""
+    if e in names:
+        return {names[e]}
+    own = {e.name} if isinstance(e, Var) else {e.params[0]} if isinstance(e, Call) and e.op == "group_rank" else set()
+    return own.union(*[_columns(c, names) for c in e.children()])
+
+
+def evaluate(panel: DataFrame, expressions: dict[str, Expression], keep: list[str] | None = None) -> DataFrame:
+    """`panel` (or only its columns `keep`) with one column for each expression.
+
+    Full windows of all levels wait until a call needs one of them, and are then computed in one pass over instruments;
+    ranks of a level share one pass over dates. Passes carry only columns that are still needed.
+    """
     missing = sorted(set().union(*[e.required_inputs for e in expressions.values()]) - set(panel.columns))
     if missing:
         raise ValueError(f"the panel has no column {', '.join(missing)}")
+    kept = panel.columns if keep is None else keep
     names: dict[Expression, str] = {}
-    kept = panel.columns
-    for stage in _stages(expressions):
-        new = {f"_x{len(names) + i}": e for i, e in enumerate(stage)}
-        panel = panel.withColumns({n: _spark(e, names) for n, e in new.items()})
-        names |= {e: n for n, e in new.items()}
+    stages = _stages(expressions)
+    left = dict.fromkeys(e for stage in stages for e in stage)
+    number = {e: f"_x{i}" for i, e in enumerate(left)}
+
+    def passed(panel: DataFrame, calls: list[Call], run: Callable) -> DataFrame:
+        for e in calls:
+            left.pop(e)
+        after = {e: number[e] for e in calls} | names
+        needed = set().union(kept, *[_columns(e, after) for e in expressions.values()], *[_columns(e, after) for e in left])
+        inputs = {a: f"_in{i}" for i, a in enumerate(dict.fromkeys(a for e in calls for a in e.args))}
+        held = [c for c in panel.columns if c in needed | {INSTRUMENT, DATE}]
+        panel = run(panel.select(*held, *[_spark(a, names).alias(n) for a, n in inputs.items()]), inputs, held)
+        names.update({e: number[e] for e in calls})
+        return panel
+
+    def roll(panel: DataFrame, calls: list[Call]) -> DataFrame:
+        return passed(panel, calls, lambda p, inputs, held: rolled(p, {number[e]: (e.op, tuple(inputs[a] for a in e.args), e.params[0]) for e in calls}, held, INSTRUMENT, DATE))
+
+    def staged(panel: DataFrame, calls: list[Call]) -> DataFrame:
+        ranks, other = [e for e in calls if e.op == "rank"], [e for e in calls if e.op != "rank"]
+        if other:
+            panel = panel.withColumns({number[e]: _spark(e, names) for e in other})
+            names.update({e: number[e] for e in other})
+            for e in other:
+                left.pop(e)
+        if ranks:
+            panel = passed(panel, ranks, lambda p, inputs, held: ranked(p, {number[e]: inputs[e.args[0]] for e in ranks}, held, [DATE]))
+        return panel
+
+    waiting: list[Call] = []
+    for stage in stages:
+        late = [e for e in stage if any(d in waiting for d in e.walk())]
+        panel = staged(panel, [e for e in stage if e not in late and e.op not in ROLLING])
+        soon = [e for e in stage if e not in late and e.op in ROLLING]
+        if late:
+            panel, waiting, soon = roll(panel, waiting + soon), [], []
+            panel = staged(panel, [e for e in late if e.op not in ROLLING])
+        waiting += soon + [e for e in late if e.op in ROLLING]
+    if waiting:
+        panel = roll(panel, waiting)
     return panel.select(*kept, *[_spark(e, names).alias(n) for n, e in expressions.items()])
 
 

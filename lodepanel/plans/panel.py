@@ -19,7 +19,7 @@ def query(panel: str, expressions: dict[str, Expression]) -> tuple[Callable[[Spa
     build, sql = PANELS[panel]
 
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        out = evaluate(build(spark, folder), expressions)
+        out = evaluate(build(spark, folder), expressions, ["instrument", "date"])
         return out.select("instrument", "date", *[rounded(F.col(c)).alias(c) for c in expressions])
 
     return run, "WITH" + sql + to_sql(panel, expressions, "instrument, date")
