@@ -444,8 +444,8 @@ def _columns(e: Expression, names: dict[Expression, str]) -> set[str]:
 def evaluate(panel: DataFrame, expressions: dict[str, Expression], keep: list[str] | None = None) -> DataFrame:
     """`panel` (or only its columns `keep`) with one column for each expression.
 
-    Full windows of all levels wait until a call needs one of them, and are then computed in one pass over instruments;
-    ranks of a level share one pass over dates. Passes carry only columns that are still needed.
+    Full windows and ranks of all levels wait until a call needs one of them, and are then computed in one pass over
+    instruments and one over dates. Passes carry only columns that are still needed.
     """
     missing = sorted(set().union(*[e.required_inputs for e in expressions.values()]) - set(panel.columns))
     if missing:
@@ -467,31 +467,33 @@ def evaluate(panel: DataFrame, expressions: dict[str, Expression], keep: list[st
         names.update({e: number[e] for e in calls})
         return panel
 
-    def roll(panel: DataFrame, calls: list[Call]) -> DataFrame:
-        return passed(panel, calls, lambda p, inputs, held: rolled(p, {number[e]: (e.op, tuple(inputs[a] for a in e.args), e.params[0]) for e in calls}, held, INSTRUMENT, DATE))
-
-    def staged(panel: DataFrame, calls: list[Call]) -> DataFrame:
-        ranks, other = [e for e in calls if e.op == "rank"], [e for e in calls if e.op != "rank"]
-        if other:
-            panel = panel.withColumns({number[e]: _spark(e, names) for e in other})
-            names.update({e: number[e] for e in other})
-            for e in other:
-                left.pop(e)
+    def flushed(panel: DataFrame, calls: list[Call]) -> DataFrame:
+        ranks, windows = [e for e in calls if e.op == "rank"], [e for e in calls if e.op != "rank"]
         if ranks:
             panel = passed(panel, ranks, lambda p, inputs, held: ranked(p, {number[e]: inputs[e.args[0]] for e in ranks}, held, [DATE]))
+        if windows:
+            panel = passed(panel, windows, lambda p, inputs, held: rolled(p, {number[e]: (e.op, tuple(inputs[a] for a in e.args), e.params[0]) for e in windows}, held, INSTRUMENT, DATE))
+        return panel
+
+    def staged(panel: DataFrame, calls: list[Call]) -> DataFrame:
+        if calls:
+            panel = panel.withColumns({number[e]: _spark(e, names) for e in calls})
+        for e in calls:
+            names[e] = number[e]
+            left.pop(e)
         return panel
 
+    waits = lambda e: e.op == "rank" or e.op in ROLLING
     waiting: list[Call] = []
     for stage in stages:
         late = [e for e in stage if any(d in waiting for d in e.walk())]
-        panel = staged(panel, [e for e in stage if e not in late and e.op not in ROLLING])
-        soon = [e for e in stage if e not in late and e.op in ROLLING]
+        soon = [e for e in stage if e not in late]
+        panel = staged(panel, [e for e in soon if not waits(e)])
+        waiting += [e for e in soon if waits(e)]
         if late:
-            panel, waiting, soon = roll(panel, waiting + soon), [], []
-            panel = staged(panel, [e for e in late if e.op not in ROLLING])
-        waiting += soon + [e for e in late if e.op in ROLLING]
-    if waiting:
-        panel = roll(panel, waiting)
+            panel, waiting = flushed(panel, waiting), [e for e in late if waits(e)]
+            panel = staged(panel, [e for e in late if not waits(e)])
+    panel = flushed(panel, waiting)
     return panel.select(*kept, *[_spark(e, names).alias(n) for n, e in expressions.items()])
 
 

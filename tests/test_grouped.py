@@ -52,4 +52,5 @@ def test_windows_share_one_pass_and_ranks_sort_no_partition_twice(spark):
     for name, expressions, passes in (("ms_moments", MICROSTRUCTURE["ms_moments"], 1), ("alpha_026", {"a": ALPHAS["alpha_026"]}, 2), ("alpha_041", {"a": ALPHAS["alpha_041"]}, 1), ("alpha_002", {"a": ALPHAS["alpha_002"]}, 2)):
         text = plan(evaluate(bars, expressions, ["instrument", "date"]))
         assert text.count("FlatMapGroupsInArrow") == passes, name
-        assert not any(f in text for f in ("skewness(", "kurtosis(", "stddev_samp(", "covar_samp(", "rank(")), name
+        found = [f for f in ("skewness(", "kurtosis(", "stddev_samp(", "covar_samp(", "rank(") if f in text]
+        assert not found, (name, found)
