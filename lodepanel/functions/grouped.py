@@ -7,12 +7,14 @@ costs a few array operations a step and not an interpreted aggregate a row and s
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Operators of full windows: NULL until a window holds as many values as it is long.
@@ -163,3 +165,77 @@ def ranked(rows: DataFrame, asked: dict[str, str], keep: list[str], by: list[str
         return out
 
     return rows.select(*dict.fromkeys([*by, *keep, *asked.values()])).groupBy(*by).applyInArrow(group, schema)
+
+
+def _correlation(x: np.ndarray, y: np.ndarray, mean_x: float, mean_y: float) -> float | None:
+    a, b = x - mean_x, y - mean_y
+    spread = np.sqrt(a @ a) * np.sqrt(b @ b)
+    return None if spread == 0 else float(a @ b / spread)
+
+
+def group_ics(rows: DataFrame, features: list[str], label: str, by: list[str], plain: bool = False) -> DataFrame:
+    """(by, feature, n, ic) over complete pairs of each group: rank correlations, NULL without spread; with `plain` also plain_ic.
+
+    A group is dealt and sorted once for all features; what leaves it is a row a feature that has pairs.
+    """
+    schema = T.StructType([*(rows.schema[c] for c in by), T.StructField("feature", T.StringType()), T.StructField("n", T.LongType()), T.StructField("ic", T.DoubleType()), *([T.StructField("plain_ic", T.DoubleType())] if plain else [])])
+
+    def flat(v: np.ndarray) -> bool:
+        return bool((v == v[0]).all())
+
+    def group(key: tuple, table: pa.Table) -> pa.Table:
+        y, unlabelled = _doubles(table.column("_label"))
+        out = []
+        for i, f in enumerate(features):
+            x, missing = _doubles(table.column(f"_f{i}"))
+            kept = ~(missing | unlabelled)
+            a, b = x[kept], y[kept]
+            n = len(a)
+            if n:
+                with np.errstate(all="ignore"):
+                    ic = _correlation(average_ranks(a), average_ranks(b), (n + 1) / 2, (n + 1) / 2) if n > 1 else None
+                    own = None if n < 2 or flat(a) or flat(b) else _correlation(a, b, a.mean(), b.mean())
+                out.append((*(k.as_py() for k in key), f, n, ic, *([own] if plain else [])))
+        names = schema.fieldNames()
+        kinds = [*(k.type for k in key), pa.string(), pa.int64(), pa.float64(), *([pa.float64()] if plain else [])]
+        return pa.table({c: pa.array([r[i] for r in out], kind) for i, (c, kind) in enumerate(zip(names, kinds, strict=True))})
+
+    values = [F.col(f).cast("double").alias(f"_f{i}") for i, f in enumerate(features)]
+    return rows.select(*by, F.col(label).cast("double").alias("_label"), *values).groupBy(*by).applyInArrow(group, schema)
+
+
+def pooled_products(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """(i, j, n, aa, bb, ab) for each pair i <= j of columns: sums of products of deviations from the means, over rows that have both.
+
+    Each task adds up its batches; what is shuffled is a row a task and pair.
+    """
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
+    names = ("n", "ma", "mb", "aa", "bb", "ab")
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((len(pairs), len(names)))
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            each = [_doubles(table.column(k)) for k in range(len(columns))]
+            for p, (i, j) in enumerate(pairs):
+                kept = ~(each[i][1] | each[j][1])
+                n = np.count_nonzero(kept)
+                if not n:
+                    continue
+                x, y = each[i][0][kept], each[j][0][kept]
+                with np.errstate(all="ignore"):
+                    mx, my = (float(v[0]) if (v == v[0]).all() else float(v.mean()) for v in (x, y))
+                    a, b = x - mx, y - my
+                    m, ma, mb, aa, bb, ab = held[p] if held[p][0] else (0.0, mx, my, 0.0, 0.0, 0.0)
+                    share, da, db = m * n / (m + n), mx - ma, my - mb
+                    held[p] = (m + n, ma + da * n / (m + n), mb + db * n / (m + n), aa + a @ a + da * da * share, bb + b @ b + db * db * share, ab + a @ b + da * db * share)
+        yield pa.RecordBatch.from_pydict({"i": pa.array([i for i, _ in pairs], pa.int32()), "j": pa.array([j for _, j in pairs], pa.int32()), **{c: pa.array(held[:, k]) for k, c in enumerate(names)}})
+
+    parts = rows.select(*[F.col(c).cast("double").alias(f"_c{k}") for k, c in enumerate(columns)]).mapInArrow(add, "i int, j int, " + ", ".join(f"{c} double" for c in names))
+    pair = W.partitionBy("i", "j")  # a row a task
+    mean = lambda c: F.try_divide(F.sum(F.col("n") * F.col(c)).over(pair), F.sum("n").over(pair))
+    flat = lambda c: F.min(c).over(pair) == F.max(c).over(pair)
+    off = lambda c: F.when(flat(c), 0.0).otherwise(F.col(c) - mean(c))
+    moved = parts.where("n > 0").withColumns({"da": off("ma"), "db": off("mb")})
+    total = lambda a, x, y: F.sum(F.col(a) + F.col("n") * F.col(x) * F.col(y)).alias(a)
+    return moved.groupBy("i", "j").agg(F.sum("n").alias("n"), total("aa", "da", "da"), total("bb", "db", "db"), total("ab", "da", "db"))

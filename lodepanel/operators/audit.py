@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.expr import average_rank
+from ..functions.grouped import pooled_products
 from .evaluate import daily_ic, safe_corr
 from .settle import settled
 
@@ -260,11 +261,13 @@ def incremental_gate(df: DataFrame, feature: str, label: str, baselines: list[st
 
 
 def correlation_matrix(df: DataFrame, features: list[str]) -> DataFrame:
-    """(a, b, corr) for all pairs of features over rows that have both: one aggregation."""
-    pairs = [(a, b) for i, a in enumerate(features) for b in features[i:]]
-    got = df.agg(*[F.coalesce(safe_corr(F.col(a), F.col(b)), F.lit(0.0)).alias(f"c{k}") for k, (a, b) in enumerate(pairs)])
-    cells = [F.struct(F.lit(x).alias("a"), F.lit(y).alias("b"), F.col(f"c{k}").alias("corr")) for k, (a, b) in enumerate(pairs) for x, y in ({(a, b), (b, a)})]
-    return got.select(F.explode(F.array(*cells)).alias("e")).select("e.*")
+    """(a, b, corr) for all pairs of features over rows that have both: sums of all pairs in one pass of whole batches."""
+    sums = pooled_products(df, features)
+    names = F.array(*[F.lit(f) for f in features])
+    pairs = sums.select(F.get(names, "i").alias("x"), F.get(names, "j").alias("y"), F.when(F.col("n") > 1, F.try_divide(F.col("ab"), F.sqrt("aa") * F.sqrt("bb"))).alias("corr"))
+    grid = df.sparkSession.createDataFrame([(a, b) for i, a in enumerate(features) for b in features[i:]], "x string, y string")
+    each = F.array_distinct(F.array(F.struct(F.col("x").alias("a"), F.col("y").alias("b")), F.struct(F.col("y").alias("a"), F.col("x").alias("b"))))
+    return grid.join(pairs, ["x", "y"], "left").select(F.explode(each).alias("e"), F.coalesce("corr", F.lit(0.0)).alias("corr")).select("e.*", "corr")
 
 
 def correlation_clusters(matrix: DataFrame, threshold: float) -> DataFrame:

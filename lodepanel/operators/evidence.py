@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.expr import Expression, average_rank, evaluate
+from ..functions.expr import Expression, evaluate
+from ..functions.grouped import group_ics, pooled_products, ranked
 from .audit import longest_below_zero
-from .evaluate import safe_corr
 from .settle import settled
 
 
@@ -35,7 +35,7 @@ def date_folds(dates: DataFrame, folds: int = 4, embargo: int = 5, least: int =
 
 def evaluated(panel: DataFrame, expressions: dict[str, Expression], keep: list[str]) -> DataFrame:
     """`keep` and all expressions of a panel, written once; equal subtrees are computed once, infinities are missing."""
-    out = evaluate(panel, expressions)
+    out = evaluate(panel, expressions, keep)
     return settled(out.select(*keep, *[finite(F.col(n)).alias(n) for n in expressions]))
 
 
@@ -46,23 +46,28 @@ def fold_evidence(
     """A row a name: mean_ic, rank_ic, icir over valid folds, their ICs, worst run, valid folds and dates, turnover,
     coverage, and the largest pooled correlation with a baseline.
 
-    `rows(instrument, date, …)` hold all names as columns. Names are stacked once, and every measure comes from that
-    stack: ranks of all names share one window, folds are a map from dates. A fold with under `least` dates with an IC
-    is not valid.
+    `rows(instrument, date, …)` hold all names as columns, and stay that wide: ranks and ICs of all names come from one
+    group a date, pooled correlations from sums of whole batches, and folds are a map from dates. A fold with under
+    `least` dates with an IC is not valid.
     """
-    stack = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("x")) for n in names])).alias("e")
-    long = settled(rows.select("instrument", "date", F.col(label).alias("y"), *(baselines or []), stack).select("instrument", "date", "y", *(baselines or []), "e.*").where("x IS NOT NULL"))
-    size = F.count("x").over(W.partitionBy("name", "date"))
-    moved = long.select("name", "instrument", "date", (average_rank(F.col("x"), "name", "date") / size).alias("r"))
-    moved = moved.withColumn("moved", F.abs(F.col("r") - F.lag("r").over(W.partitionBy("name", "instrument").orderBy("date"))))
-    turned = moved.groupBy("name", "date").agg(F.avg("moved").alias("t")).groupBy("name").agg(F.avg("t").alias("turnover"))
-    pairs = long.where("y IS NOT NULL")
-    pooled = [F.abs(F.coalesce(safe_corr(F.col("x"), F.col(b)), F.lit(0.0))) for b in baselines or []]
-    corr = long.groupBy("name").agg(F.count("y").alias("coverage"), F.greatest(F.lit(0.0), F.lit(0.0), *pooled).alias("max_corr"))
+    baselines, places = baselines or [], {f"_r{k}": n for k, n in enumerate(names)}
+    before = W.partitionBy("instrument").orderBy("date").rowsBetween(W.unboundedPreceding, -1)
+    held = rows.select("instrument", "date", *[F.col(n).cast("double").alias(n) for n in names])
+    moved = ranked(held, places, ["instrument", "date"], ["date"])
+    moved = moved.select("date", *[F.abs(F.col(r) - F.last(r, ignorenulls=True).over(before)).alias(r) for r in places])
+    daily = moved.groupBy("date").agg(*[F.avg(r).alias(r) for r in places]).agg(*[F.avg(r).alias(r) for r in places])
+    turned = daily.select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(r).alias("turnover")) for r, n in places.items()])).alias("e")).select("e.*")
+    columns = list(dict.fromkeys([*names, *baselines]))
+    sums = pooled_products(rows, columns).where("n > 1")
+    at, size = F.array(*[F.lit(c) for c in columns]), F.abs(F.coalesce(F.try_divide(F.col("ab"), F.sqrt("aa") * F.sqrt("bb")), F.lit(0.0))).alias("size")
+    sides = F.array(F.struct(F.get(at, "i").alias("name"), F.get(at, "j").alias("base")), F.struct(F.get(at, "j").alias("name"), F.get(at, "i").alias("base")))
+    near = sums.select(F.explode(sides).alias("e"), size).select("e.*", "size").where(F.col("base").isin(baselines)).groupBy("name").agg(F.max("size").alias("max_corr"))
+    known = rows.agg(*[F.count(n).alias(f"_n{k}") for k, n in enumerate(names)], *[F.count(F.when(F.col(n).isNotNull(), F.col(label))).alias(f"_y{k}") for k, n in enumerate(names)])
+    covered = known.select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(f"_n{k}").alias("many"), F.col(f"_y{k}").alias("coverage")) for k, n in enumerate(names)])).alias("e")).select("e.*").where("many > 0")
+    corr = covered.join(near, "name", "left").select("name", "coverage", F.coalesce("max_corr", F.lit(0.0)).alias("max_corr"))
     mapped = F.broadcast(date_folds(rows, folds, embargo, least).select(F.col("date").alias("on_date"), "fold"))  # a row a date
-    tested = pairs.join(mapped, F.col("date") == F.col("on_date")).select("name", "fold", "date", "x", "y")
-    ranked = tested.select("name", "fold", "date", "x", "y", average_rank(F.col("x"), "name", "date").alias("rx"), average_rank(F.col("y"), "name", "date").alias("ry"))
-    daily = ranked.groupBy("name", "fold", "date").agg(safe_corr(F.col("x"), F.col("y")).alias("ic"), safe_corr(F.col("rx"), F.col("ry")).alias("rank_ic"))
+    daily = group_ics(rows.join(mapped, F.col("date") == F.col("on_date")), names, label, ["fold", "date"], plain=True)
+    daily = daily.select(F.col("feature").alias("name"), "fold", "date", F.col("plain_ic").alias("ic"), F.col("ic").alias("rank_ic"))
     each = daily.groupBy("name", "fold").agg(F.avg("ic").alias("ic"), F.avg("rank_ic").alias("rank_ic"), F.count("ic").alias("dates"))
     # All folds of all names, so that a fold that is not valid ends a run.
     grid = corr.select("name").select("name", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("fold"))

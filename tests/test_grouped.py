@@ -8,8 +8,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodepanel.functions.expr import OPERATORS, Var, average_rank, call, evaluate
-from lodepanel.functions.grouped import ROLLING, ranked
+from lodepanel.functions.grouped import ROLLING, group_ics, ranked
 from lodepanel.functions.library import ALPHAS, MICROSTRUCTURE
+from lodepanel.operators import audit, campaign, evidence
+from lodepanel.operators import evaluate as evaluate_ops
 
 PAIRS = ("ts_cov", "ts_corr")
 
@@ -54,3 +56,45 @@ def test_windows_share_one_pass_and_ranks_sort_no_partition_twice(spark):
         assert text.count("FlatMapGroupsInArrow") == passes, name
         found = [f for f in ("skewness(", "kurtosis(", "stddev_samp(", "covar_samp(", "rank(") if f in text]
         assert not found, (name, found)
+
+
+def test_pooled_correlations_over_tasks_and_constant_columns(spark):
+    rng = np.random.default_rng(6)
+    rows = [(float(x), float(x + rng.normal()), 0.1, None if rng.random() < 0.4 else float(rng.normal())) for x in rng.normal(1e6, 1.0, 400)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double").repartition(5)
+    got = {(r.a, r.b): r.corr for r in audit.correlation_matrix(df, ["a", "b", "c", "d"]).collect()}
+    assert len(got) == 16 and "covar_samp(" not in plan(audit.correlation_matrix(df, ["a", "b", "c", "d"]))
+    for i, x in enumerate("abcd"):
+        for j, y in enumerate("abcd"):
+            both = np.array([(r[i], r[j]) for r in rows if r[i] is not None and r[j] is not None])
+            assert abs(got[x, y] - (0.0 if "c" in (x, y) else np.corrcoef(both.T)[0, 1])) < 1e-9
+    assert {r.corr for r in audit.correlation_matrix(df.where("a IS NULL"), ["a", "b"]).collect()} == {0.0}
+
+
+def test_ics_of_groups_equal_those_of_window_ranks(spark):
+    rows = panel(spark).where("abs(x) < 1e9 AND abs(y) < 1e9").withColumn("c", F.lit(0.1))
+    pairs = rows.where("instrument IS NOT NULL").select("date", average_rank(F.col("x"), "date").alias("f"), average_rank(F.col("y"), "date").alias("l"), "x", "y")
+    want = {r.date: (r.n, r.ic, r.own) for r in pairs.groupBy("date").agg(F.count("x").alias("n"), evaluate_ops.safe_corr(F.col("f"), F.col("l")).alias("ic"), evaluate_ops.safe_corr(F.col("x"), F.col("y")).alias("own")).collect()}
+    got = group_ics(rows.where("instrument IS NOT NULL"), ["x", "c"], "y", ["date"], plain=True).collect()
+    for r in got:
+        if r.feature == "c":
+            assert r.ic is None and r.plain_ic is None
+        else:
+            n, *ics = want[r.date]
+            assert r.n == n
+            for a, b in zip((r.ic, r.plain_ic), ics, strict=True):
+                assert (a is None and b is None) or abs(a - b) < 1e-12
+    assert len([r for r in got if r.feature == "x"]) == len(want) and any(r.ic is not None for r in got)
+
+
+def test_campaign_steps_rank_in_one_group_and_stack_no_rows(spark, monkeypatch):
+    sizes = []
+    monkeypatch.setattr(evidence, "settled", lambda df: sizes.append(df.count()) or df)
+    rng = np.random.default_rng(7)
+    rows = [(i, date(2020, 1, 1) + timedelta(d), *map(float, rng.normal(size=3))) for i in range(8) for d in range(90)]
+    df = spark.createDataFrame(rows, "instrument int, date date, a double, b double, y double")
+    got = evidence.fold_evidence(df, ["a", "b"], "y", ["a"])
+    assert {r.name: (r.coverage, r.valid_folds) for r in got.collect()} == {"a": (720, 0), "b": (720, 0)} and not sizes
+    for each in (got, campaign.ridge_by_ic(df, ["a", "b"], "y"), campaign.robust_weights(df, ["a", "b"], "y"), evaluate_ops.daily_ic(df, "a", "y")):
+        text = plan(each)
+        assert "rank(a" not in text and "rank(x" not in text and " rank(" not in text
