@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.expr import average_rank, percent_rank
-from .evaluate import Fold, assign_folds, correlation_weights, safe_corr, shared_weights
+from ..functions.grouped import group_ics, ranked
+from .evaluate import Fold, assign_folds, correlation_weights, shared_weights
 from .fitting import nonnegative
 from .names import free_name
 from .pooled import rank_ics
@@ -123,12 +123,18 @@ def ridge_by_ic(df: DataFrame, features: list[str], label: str, date: str = "dat
             yield pd.DataFrame(out, columns=[day, l2, w])
 
     fits = daily.where((F.col("n") >= 2) & (F.col("n") < n)).select(F.col(date).alias(day), "gram", "right").mapInPandas(without, f"{day} {dict(df.dtypes)[date]}, {l2} double, {w} array<double>")
-    score = F.lit(0.0)
-    for i, f in enumerate(features):
-        score = score + F.col(f).cast("double") * F.element_at(w, i + 1)
-    scored = df.where(_finite([*features, label])).join(fits, F.col(date) == F.col(day)).select(F.col(l2).alias("l2"), F.col(day).alias("day"), score.alias("s"), F.col(label).alias("y"))
-    ranked = scored.select("l2", "day", average_rank(F.col("s"), "l2", "day").alias("s"), average_rank(F.col("y"), "l2", "day").alias("y"))
-    ics = ranked.groupBy("l2", "day").agg(F.coalesce(safe_corr(F.col("s"), F.col("y")), F.lit(0.0)).alias("ic"))
+    fits = fits.groupBy(day).agg(F.map_from_entries(F.collect_list(F.struct(l2, w))).alias(w))  # a row a date
+    names = [f"_s{k}" for k in range(len(candidates))]
+
+    def score(strength: float) -> Column:
+        own, total = F.try_element_at(w, F.lit(strength)), F.lit(0.0)
+        for i, f in enumerate(features):
+            total = total + F.col(f).cast("double") * F.element_at(own, i + 1)
+        return total
+
+    scored = df.where(_finite([*features, label])).join(F.broadcast(fits), F.col(date) == F.col(day)).select(F.col(day).alias("day"), *[score(s).alias(c) for c, s in zip(names, candidates, strict=True)], F.col(label).alias("y"))
+    strengths = F.create_map(*[F.lit(v) for pair in zip(names, candidates, strict=True) for v in pair])
+    ics = group_ics(scored, names, "y", ["day"]).select(F.element_at(strengths, F.col("feature")).alias("l2"), "day", F.coalesce("ic", F.lit(0.0)).alias("ic"))
     means = ics.groupBy("l2").agg(F.avg("ic").alias("mean_ic"), F.count(F.lit(1)).alias("dates"))
     spark = df.sparkSession
     best = F.row_number().over(W.orderBy(F.round("mean_ic", 12).desc_nulls_last(), "l2"))  # a row a candidate
@@ -163,11 +169,9 @@ def robust_weights(
     Dates of fewer than `min_names` rows do not count; a feature of fewer than `min_dates` dates, or below 0, weighs
     nothing; all zero gives equal weights. A missing value counts as 0, a flat date as an IC of 0.
     """
-    each = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias("x")) for f in features])).alias("e")
-    long = df.where(F.col(label).isNotNull()).select(*by, F.col(date).alias("at"), F.col(label).alias("l"), each).select(*by, "at", "l", "e.*")
     keys = [*by, "feature"]
-    ranked = long.select(*keys, "at", average_rank(F.col("x"), *keys, "at").alias("x"), average_rank(F.col("l"), *keys, "at").alias("l"))
-    daily = ranked.groupBy(*keys, "at").agg(F.count(F.lit(1)).alias("n"), F.coalesce(safe_corr(F.col("x"), F.col("l")), F.lit(0.0)).alias("ic")).where(F.col("n") >= min_names)
+    rows = df.select(*by, F.col(date).alias("at"), F.col(label).alias("_l"), *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features])
+    daily = group_ics(rows, features, "_l", [*by, "at"]).select(*keys, "at", "n", F.coalesce("ic", F.lit(0.0)).alias("ic")).where(F.col("n") >= min_names)
     line = W.partitionBy(*keys)  # a row a date
     placed = daily.withColumns({"nth": F.row_number().over(line.orderBy("ic", "at")), "many": F.count(F.lit(1)).over(line)})
     k = F.greatest(F.lit(1), F.floor(F.col("many") * worst))
@@ -197,11 +201,13 @@ def fold_scores(rows: DataFrame, weights: DataFrame, features: list[str], date:
     """The test rows of folds that have weights, with score: each feature's percentage rank of its date (missing: 0.5), weighed."""
     fold, of = free_name(rows, "of_fold"), free_name(rows, "weights")
     maps = weights.groupBy(F.col("fold").alias(fold)).agg(F.map_from_entries(F.collect_list(F.struct("feature", "weight"))).alias(of))  # a row a fold
-    test = rows.where(F.col("part") == "test").join(F.broadcast(maps), F.col("fold") == F.col(fold))
+    places = {f"_p{i}": f"_f{i}" for i in range(len(features))}
+    test = rows.where(F.col("part") == "test").withColumns({c: F.col(f).cast("double") for c, f in zip(places.values(), features, strict=True)})
+    test = ranked(test, places, rows.columns, ["fold", date]).join(F.broadcast(maps), F.col("fold") == F.col(fold))
     score = F.lit(0.0)
-    for f in features:
-        score = score + F.coalesce(percent_rank(F.col(f), "fold", date), F.lit(0.5)) * F.coalesce(F.try_element_at(of, F.lit(f)), F.lit(0.0))
-    return test.withColumn("score", score).drop(fold, of)
+    for place, f in zip(places, features, strict=True):
+        score = score + F.coalesce(place, F.lit(0.5)) * F.coalesce(F.try_element_at(of, F.lit(f)), F.lit(0.0))
+    return test.withColumn("score", score).drop(fold, of, *places)
 
 
 def fold_days(scored: DataFrame, label: str, realized: str, bps: float = 10.0, date: str = "date") -> DataFrame:
@@ -211,9 +217,7 @@ def fold_days(scored: DataFrame, label: str, realized: str, bps: float = 10.0, d
     held name without a row that day earns nothing. The IC is the rank correlation of score and label, 0 on a flat day.
     """
     rows = scored.select("fold", F.col(date).alias("date"), "instrument", "score", F.col(label).alias("l"), F.col(realized).alias("r"))
-    known = rows.where("l IS NOT NULL")
-    ranked = known.select("fold", "date", average_rank(F.col("score"), "fold", "date").alias("s"), average_rank(F.col("l"), "fold", "date").alias("l"))
-    ics = ranked.groupBy("fold", "date").agg(F.when(F.count(F.lit(1)) >= 2, F.coalesce(safe_corr(F.col("s"), F.col("l")), F.lit(0.0))).otherwise(0.0).alias("ic"))
+    ics = group_ics(rows, ["score"], "l", ["fold", "date"]).select("fold", "date", F.coalesce("ic", F.lit(0.0)).alias("ic"))
     starts = rows.groupBy(F.col("fold").alias("f")).agg(F.min("date").alias("start"))  # a row a fold
     first = rows.join(F.broadcast(starts), (F.col("fold") == F.col("f")) & (F.col("date") == F.col("start")))
     size = F.sum(F.abs("score")).over(W.partitionBy("fold"))
@@ -284,6 +288,7 @@ def walk_forward(samples: DataFrame, folds: list[Fold], features: list[str], lab
     samples = settled(samples.select(*needed))
     rows = fold_samples(samples, folds)
     weights = settled(fold_ic_weights(samples, folds, features, label) if model == "ic" else fold_weights(rows, features, label, model, **settings))
-    scored = settled(fold_scores(rows, weights, features).select("fold", "date", "instrument", "score", *dict.fromkeys([label, realized])))
+    tested = rows.select("fold", "part", "date", "instrument", *dict.fromkeys([*features, label, realized]))
+    scored = settled(fold_scores(tested, weights, features).select("fold", "date", "instrument", "score", *dict.fromkeys([label, realized])))
     days = settled(fold_days(scored, label, realized, bps))
     return weights, days, fold_report(rows, days, **(streak or {}))

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.expr import average_rank, percent_rank
+from ..functions.grouped import group_ics
+from ..functions.grouped import ranked as grouped_ranks
 
 
 def safe_corr(a: Column, b: Column) -> Column:
@@ -38,15 +39,16 @@ def forward_labels(bars: DataFrame, horizon: int = 21) -> DataFrame:
 
 def daily_ic(df: DataFrame, feature: str, label: str, rank: bool = True, by: str = "date") -> DataFrame:
     """(by, n, ic): correlation of feature and label over complete pairs of each date; of average ranks if `rank`."""
-    pairs = df.where(F.col(feature).isNotNull() & F.col(label).isNotNull()).select(by, F.col(feature).alias("f"), F.col(label).alias("l"))
     if rank:
-        pairs = pairs.select(by, average_rank(F.col("f"), by).alias("f"), average_rank(F.col("l"), by).alias("l"))
+        return group_ics(df, [feature], label, [by]).select(by, "n", "ic")
+    pairs = df.where(F.col(feature).isNotNull() & F.col(label).isNotNull()).select(by, F.col(feature).alias("f"), F.col(label).alias("l"))
     return pairs.groupBy(by).agg(F.count(F.lit(1)).alias("n"), safe_corr(F.col("f"), F.col("l")).alias("ic"))
 
 
 def rank_turnover(df: DataFrame, feature: str) -> DataFrame:
     """Mean absolute change of instruments' percentage ranks, per date."""
-    ranked = df.where(F.col(feature).isNotNull()).select("instrument", "date", percent_rank(F.col(feature), "date").alias("r"))
+    rows = df.where(F.col(feature).isNotNull()).select("instrument", "date", F.col(feature).cast("double").alias("x"))
+    ranked = grouped_ranks(rows, {"r": "x"}, ["instrument", "date"], ["date"])
     moved = F.abs(F.col("r") - F.lag("r").over(W.partitionBy("instrument").orderBy("date")))
     return ranked.withColumn("moved", moved).groupBy("date").agg(F.avg("moved").alias("turnover"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import library
 from ..functions.expr import Expression, NUDGE, evaluate, sql_average_rank, sql_percent_rank, sql_rounded, to_sql
+from ..functions.grouped import ranked
 from ..operators import audit, campaign, crosssection, decay, evaluate as ev, evidence, quality, regime, samples, sequences, targets
 from ..operators.settle import settled
 from ..sources import calendar, filings
@@ -83,7 +84,9 @@ said AS (SELECT numbered.*, ewma_ic, negative_run, CASE WHEN n < 4 THEN 'warmup'
 
 
 def _samples(spark, folder) -> DataFrame:
-    return ev.forward_labels(evaluate(bars(spark, folder), FEATURES))
+    """Labels first: their windows and the pass of the features share one shuffle."""
+    labelled = ev.forward_labels(bars(spark, folder).select("instrument", "date", "sector", "close"))
+    return evaluate(labelled, FEATURES)
 
 
 def _campaign(spark, folder):
@@ -131,7 +134,8 @@ SELECT fold, feature, dates, {R('robust_ic')} AS robust_ic, {R('CASE WHEN sum(w)
 
 @register("robust_ic_weights", _sql(_SAMPLES, _KEPT + _ROBUST))
 def robust_ic_weights(spark, folder):
-    train = settled(campaign.fold_samples(_samples(spark, folder), FOLDS).where("part = 'train'"))
+    rows = settled(_samples(spark, folder).select("date", "day", "label_end_index", *FEATURES, "forward_return"))
+    train = campaign.fold_samples(rows, FOLDS).where("part = 'train'")
     return out(campaign.robust_weights(train, list(FEATURES), "forward_return", by=("fold",), downside=0.25, min_names=3), ["fold", "feature", "dates"], ["robust_ic", "weight"])
 
 
@@ -162,7 +166,7 @@ ics AS (SELECT l2, date, coalesce({_corr('s', 'y')}, 0) AS ic FROM ranked GROUP
 @register("ridge_by_ic", _sql(_SAMPLES, _BY_IC + f" SELECT l2, {R('mean_ic')} AS mean_ic, dates FROM means"))
 def ridge_by_ic(spark, folder):
     """The choice among strengths of equal IC hangs on the last digit, so that it is tested, not compared."""
-    return out(campaign.ridge_by_ic(settled(_samples(spark, folder)), _TWO, "forward_return"), ["l2", "dates"], ["mean_ic"])
+    return out(campaign.ridge_by_ic(settled(_samples(spark, folder).select("date", *_TWO, "forward_return")), _TWO, "forward_return"), ["l2", "dates"], ["mean_ic"])
 
 
 @register("bloc_fit", _sql(_SAMPLES, f"""{_CLEAN}, s AS (SELECT year(date) AS year, {_GRAM} FROM clean GROUP BY 1), f AS ({_nonnegative('s', '0.01::DOUBLE')}),
@@ -332,10 +336,9 @@ SELECT instrument, date, {R('greatest(-1, least(1, 0.5 * t + 0.3 * v + CASE WHEN
 @register("ensemble_scores", _sql(_SAMPLES, _BLEND_SQL))
 def ensemble_scores(spark, folder):
     """Three sources, of which one does not score every row; so it is not required here."""
-    from ..functions.expr import percent_rank
-
     rows = _samples(spark, folder).where("ret_21d IS NOT NULL AND calm IS NOT NULL")
-    rows = rows.select("instrument", "date", (percent_rank(F.col("ret_21d"), "date") * 2 - 1).alias("t"), (percent_rank(F.col("calm"), "date") - 0.5).alias("v"), (percent_rank(F.col("reversal"), "date") * 3).alias("x"))
+    rows = ranked(rows, {"a": "ret_21d", "b": "calm", "c": "reversal"}, ["instrument", "date"], ["date"])
+    rows = rows.select("instrument", "date", (F.col("a") * 2 - 1).alias("t"), (F.col("b") - 0.5).alias("v"), (F.col("c") * 3).alias("x"))
     said = [("trend", "t", 0.9, F.lit(True)), ("value", "v", 0.5, F.lit(True)), ("text", "x", 0.2, F.col("instrument") % 3 > 0)]
     long = rows.select("instrument", "date", F.explode(F.array(*[F.when(has, F.struct(F.lit(s).alias("source"), F.col(c).alias("score"), F.lit(sure).alias("confidence"))) for s, c, sure, has in said])).alias("e"))
     long = long.where("e IS NOT NULL").select("instrument", "date", "e.*")
@@ -438,7 +441,7 @@ SELECT fw.instrument, fw.date, {', '.join(f'{R(f"fw.{f}")} AS {f}' for f in FACT
 @register("factor_bundle", _sql(FACTORS, _BUNDLE))
 def factor_bundle(spark, folder):
     alphas = [f for f in FACTORS if f != "realized_vol_21d"]
-    rows = settled(evaluate(bars(spark, folder), FACTORS).select("instrument", "date", *FACTORS))
+    rows = settled(evaluate(bars(spark, folder), FACTORS, ["instrument", "date"]))
     got = crosssection.factor_bundle(rows, alphas).join(rows.select("instrument", "date", "realized_vol_21d"), ["instrument", "date"])
     return out(got, ["instrument", "date"], [*alphas, "realized_vol_21d"])
 
