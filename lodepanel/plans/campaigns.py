@@ -452,16 +452,20 @@ def factor_bundle(spark, folder):
 'results & ' || l_returnflag AS description, CASE WHEN l_partkey % 2 = 0 THEN 'https://www.sec.gov/Archives/x/' || o_orderkey || '/ex99-' || l_partkey || '.htm' ELSE 'https://www.sec.gov/Archives/edgar/data/' || o_custkey || '/' || o_orderkey || '01/ex99-' || l_partkey || '.htm' END AS source_uri, l_partkey = first_value(l_partkey) OVER w AS is_primary, l_partkey % 4 <> 0 AS textual
 FROM (SELECT DISTINCT l_orderkey, l_partkey, l_returnflag FROM lineitem) JOIN orders ON o_orderkey = l_orderkey WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_partkey, l_returnflag)""")
 def filing_documents(spark, folder):
-    """Index pages written from the lines of each order, then parsed again by the table function."""
-    lines = load(spark, folder, "lineitem").select("l_orderkey", "l_partkey", "l_returnflag").distinct()
+    """Index pages written from the lines of each order, then parsed again."""
     cell = lambda *c: F.concat(F.lit("<td>"), *c, F.lit("</td>"))
-    name = F.concat(F.lit("ex99-"), F.col("l_partkey").cast("string"), F.lit(".htm"))
-    link = F.when(F.col("l_partkey") % 2 == 0, F.concat(F.lit('<a href="'), name, F.lit('">'), name, F.lit("</a>"))).otherwise(name)
-    kind = F.when(F.col("l_partkey") % 4 == 0, "graphic").otherwise("ex-99.1")
-    row = F.concat(F.lit("<tr>"), cell(F.lit("1")), cell(F.lit("results &amp; "), F.col("l_returnflag")), cell(link), cell(kind), F.lit("</tr>\n"))
-    pages = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_partkey", "l_returnflag", row.alias("row")))).alias("rows"))
+
+    def row(line):
+        part = line["l_partkey"]
+        name = F.concat(F.lit("ex99-"), part.cast("string"), F.lit(".htm"))
+        link = F.when(part % 2 == 0, F.concat(F.lit('<a href="'), name, F.lit('">'), name, F.lit("</a>"))).otherwise(name)
+        kind = F.when(part % 4 == 0, "graphic").otherwise("ex-99.1")
+        return F.concat(F.lit("<tr>"), cell(F.lit("1")), cell(F.lit("results &amp; "), line["l_returnflag"]), cell(link), cell(kind), F.lit("</tr>\n"))
+
+    # an order's lines meet once: the set drops repeats, and rows are written after the shuffle
+    pages = load(spark, folder, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_set(F.struct("l_partkey", "l_returnflag"))).alias("rows"))
     head = F.when(F.col("l_orderkey") % 3 == 0, F.lit("<table>")).otherwise(F.lit("<TABLE><tr><th>Seq<th>Description<th>Document<th>Type</tr>"))
-    html = F.concat(head, F.array_join(F.transform("rows", lambda x: x["row"]), ""), F.lit("</table>"))
+    html = F.concat(head, F.array_join(F.transform("rows", row), ""), F.lit("</table>"))
     orders = load(spark, folder, "orders").select("o_orderkey", F.col("o_custkey").alias("cik"))
     first = F.concat(F.lit("ex99-"), F.get("rows", F.lit(0))["l_partkey"].cast("string"), F.lit(".htm"))
     pages = pages.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
